@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, small
+from .common import NOT_SPACE, checkpointed, small
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -59,8 +59,6 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> D
     """(doc_id, source, size, source_size, target, copies, taken) for each row of docs(doc_id, text, source)."""
     order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")).withColumn("order", order)
-    from .common import checkpointed
-
     sized = checkpointed(sized.withColumn("slice", F.conv(F.substring("order", 1, 3), 16, 10).cast("int")))
     goal = checkpointed(targets(sized, weights, max_repeats)).withColumnRenamed("source", "g_source")
     slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("in_slice"))

@@ -14,10 +14,12 @@ which replaces them. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, small, words_of
+from .common import NOT_SPACE, SPACE, checkpointed, small, words_of
 
 MIN_WORDS = 50
 #: Rows a stratum needs for thresholds of its own.
@@ -31,27 +33,40 @@ SKETCH_K = 800
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once: an alias that a lambda reads could be put into it by the optimizer and worked out per element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def covered_by_repeats(words: Column) -> Column:
-    """How many words lie in 3-word windows that occur at least twice in the array."""
-    grams = F.transform(words, lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
-    return F.sort_array(F.slice(grams, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))))
+    """How many words lie in 3-word windows that occur at least twice in the array: sort the windows by hash, keep those equal to a neighbour, then add up the steps between their places, 3 at most."""
+
+    def windows(w: Column) -> Column:
+        hashed = F.transform(w, lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+        return F.sort_array(F.slice(hashed, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))))
+
+    def repeated(g: Column) -> Column:
+        return F.sort_array(F.transform(F.filter(g, lambda x, i: (x.h == F.get(g, i - 1).h) | (x.h == F.get(g, i + 1).h)), lambda x: x.i))
+
+    def total(at: Column) -> Column:
+        return F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+
+    return let(let(let(words, windows), repeated), total)
 
 
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     """df and the base columns; text null counts as empty."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE))
-    d = df.drop(*BASE).withColumns({"__w": words_of(t), "__l": lines})
-    d = d.withColumns({"__g": covered_by_repeats(F.col("__w")), "n_words": F.size("__w").cast("long"), "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"), "__n_lines": F.size("__l")})
-    g = F.col("__g")
-    twice = F.filter(g, lambda x, i: (x.h == F.get(g, i - 1).h) | (x.h == F.get(g, i + 1).h))
-    d = d.withColumn("__at", F.sort_array(F.transform(twice, lambda x: x.i)))
-    at = F.col("__at")
-    gaps = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
+    of_words = let(words_of(t), lambda w: F.struct(F.size(w).alias("n"), covered_by_repeats(w).alias("repeated")))
+    of_lines = let(F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE)), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("different")))
+    d = df.drop(*BASE, *MEASURES).withColumns({"__w": of_words, "__l": of_lines})
     d = d.withColumns({
+        "n_words": F.col("__w.n").cast("long"),
         "word_chars": F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_repeat_words": F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long"),
+        "n_dup_lines": (F.col("__l.n") - F.col("__l.different")).cast("long"),
+        "n_repeat_words": F.col("__w.repeated").cast("long"),
+        "__n_lines": F.col("__l.n"),
     })
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     per_mille = lambda a, b: F.floor(1000 * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long")
@@ -61,14 +76,13 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
         "repeat_pm": per_mille("n_repeat_words", "n_words"),
         "word_len_pm": per_mille("word_chars", "n_words"),
     })
-    return d.drop("__w", "__l", "__g", "__at", "__n_lines")
+    return d.drop("__w", "__l", "__n_lines")
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """One row per (lang, source) with a sketch of each measure over the rows that pass the base rules."""
-    return measured.where(~F.col("base_failed")).groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_bigint(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES)
-    )
+    passed = ~F.col("base_failed")
+    return measured.groupBy("lang", "source").agg(F.count_if(passed).alias("n"), *(F.kll_sketch_agg_bigint(F.when(passed, F.col(m)), F.lit(SKETCH_K)).alias(m) for m in MEASURES)).where("n > 0")
 
 
 def thresholds(strata: DataFrame) -> DataFrame:
@@ -100,12 +114,10 @@ def judge(measured: DataFrame, fence: DataFrame) -> DataFrame:
     for m in MEASURES:
         within = within & F.col(m).between(F.col(f"fence.{m}_low"), F.col(f"fence.{m}_high"))
     joined = measured.drop("kept").join(small(fence), F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False))).drop("t_lang", "t_source", "fence")
+    return joined.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(within, F.lit(False)))).drop("t_lang", "t_source", "fence")
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """docs with the base columns, the measures and kept."""
-    from .common import checkpointed
-
     measured = with_measures(docs)
     return judge(measured, thresholds(checkpointed(sketches(measured))))

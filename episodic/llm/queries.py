@@ -32,7 +32,7 @@ SQL: dict[str, str] = {
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{_W}') AS ws,
-  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '{_W}')) AS ls FROM d),
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_W}')) AS ls FROM d),
 g AS (SELECT r, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS gram
   FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
