@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import bpe, fingerprint, html, licenses, mixing, quality, toxicity
 from .common import table
 
 
@@ -16,13 +16,45 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "kept")
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_html_main_text": op2_html_main_text,
+    "op5_winnowing": op5_winnowing,
+    "op6_license_scan": op6_license_scan,
+    "op7_toxicity": op7_toxicity,
     "op9_mix_sources": op9_mix_sources,
+    "op10_bpe": op10_bpe,
 }
 
 _W = r"[^\x20\x09-\x0D]+"
