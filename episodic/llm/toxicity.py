@@ -1,11 +1,15 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks.
 
 The kernel of two words counts the subsequences of three characters that they share, each weighted by
-DECAY to the power of the length it spans in either word (spans over SPAN count nothing), and is
-normalised by the words' own kernels. Gaps are part of it, so an insult with inserted characters keeps
-most of its likeness. A text's kernel with a landmark word is that of its most alike word.
-
-Landmarks are the words that, in the labelled rows used for training, stand out most in toxic texts.
+DECAY to the power of the length it spans in either word (spans over SPAN count nothing). Gaps are part of
+it, so an insult with inserted characters keeps most of its likeness. It is divided by the landmark's
+own kernel, held at 1, so a longer word that begins like a landmark counts in full, and raised to the
+power SHARPEN (a power of a kernel is a kernel). A text's kernel with a landmark is the sum over its
+different words, held at MOST.
+
+Landmarks are beginnings of words (short words whole) that, in the labelled rows used for training,
+stand out most in toxic texts, by whether or how often a text has them, and are unlike those chosen
+before.
 The Nyström map (inverse square root of the landmarks' kernel) turns the kernels into features, a
 linear SVM (hinge loss) separates them, and a logistic curve fitted to its margins gives the score.
 Training uses at most MAX_ROWS labelled rows, those first in order of a hash of their id; nothing but
@@ -32,13 +36,19 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 12_000
+MAX_ROWS = 8_000
 LANDMARKS = 64
 MIN_TOXIC_TEXTS = 3
+#: Lengths of the beginnings of words that may become landmarks, and how alike two landmarks may be.
+LENGTHS = range(4, 9)
+ALIKE = 0.6
+SHARPEN = 8
+MOST = 4.0
 DECAY = 0.6
 SPAN = 6
 LONGEST = 32
 ALPHABET = 64
+START = ALPHABET - 1
 CACHE = 500_000
 PREDICT_AT = 0.7
 
@@ -46,11 +56,11 @@ EDGE = ".,;:!?\"'()[]{}|"
 
 
 def letters(word: str) -> list[int]:
-    """Classes of a word's characters: a to z, then digits, then all others dealt into the rest."""
-    out = []
+    """Classes of the word's start and its characters: a to z, then digits, then all others dealt into the rest."""
+    out = [START]
     for c in word:
         x = ord(c)
-        out.append(x - 96 if 97 <= x <= 122 else 27 if 48 <= x <= 57 else 28 + x % (ALPHABET - 28))
+        out.append(x - 96 if 97 <= x <= 122 else 27 if 48 <= x <= 57 else 28 + x % (START - 28))
     return out
 
 
@@ -92,7 +102,7 @@ class WordKernels:
     """Kernels of words with landmarks; words far from all of them have no entry."""
 
     #: Kernels below this count as 0.
-    floor = 0.2
+    floor = 0.5
 
     def __init__(self, landmarks: list[str]):
         self.n = len(landmarks)
@@ -103,7 +113,7 @@ class WordKernels:
         self.table = np.zeros((len(known) + 1, max(self.n, 1)), np.float32)
         at = {t: i + 1 for i, t in enumerate(known)}
         for i, m in enumerate(maps):
-            norm = np.sqrt(sum(v * v for v in m.values())) or 1
+            norm = sum(v * v for v in m.values()) or 1
             for t, v in m.items():
                 self.table[at[t], i] = v / norm
         self.known: dict[str, np.ndarray | None] = {}
@@ -130,8 +140,9 @@ class WordKernels:
         """Rows of words with some kernel over the floor, and their kernels."""
         n = len(words)
         raw = np.frombuffer("".join(w.ljust(LONGEST + SPAN, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, -1).astype(np.int32)
-        code = np.where((raw >= 97) & (raw <= 122), raw - 96, np.where((raw >= 48) & (raw <= 57), 27, np.where(raw == 0, 0, 28 + raw % (ALPHABET - 28))))
-        longest = max(map(len, words))
+        code = np.where((raw >= 97) & (raw <= 122), raw - 96, np.where((raw >= 48) & (raw <= 57), 27, np.where(raw == 0, 0, 28 + raw % (START - 28))))
+        code = np.hstack([np.full((n, 1), START), code])
+        longest = max(map(len, words)) + 1
         hits: list[tuple[np.ndarray, np.ndarray, float]] = []
         for j, k, weight in PLACES:
             m = max(longest - k, 0)
@@ -154,19 +165,15 @@ class WordKernels:
         row, weight, slots = place[row[keep]], weight[keep], np.concatenate([h[1] for h in hits])[keep]
         dots = np.zeros((len(some), self.n), np.float32)
         np.add.at(dots, row, self.table[slots] * weight[:, None].astype(np.float32))
-        norms = np.array([np.sqrt(sum(v * v for v in triples(words[i]).values())) for i in some[dots.max(1) > 0]]) if len(some) else np.empty(0)
-        live = dots.max(1) > 0
-        some, dots = some[live], dots[live] / np.maximum(norms, 1e-9)[:, None].astype(np.float32)
         over = dots.max(1, initial=0) >= self.floor
         dots[dots < self.floor] = 0
-        return some[over], np.minimum(dots[over], 1)
+        return some[over], np.minimum(dots[over], 1) ** SHARPEN
 
     def text(self, words: set[str]) -> np.ndarray:
-        best = np.zeros(self.n, np.float32)
-        for v in map(self.known.get, words):
-            if v is not None:
-                np.maximum(best, v, out=best)
-        return best
+        total = np.zeros(self.n, np.float32)
+        for v in filter(lambda v: v is not None, map(self.known.get, words)):
+            total += v
+        return np.minimum(total, MOST)
 
     def texts(self, texts: list[str]) -> np.ndarray:
         split = [{w.strip(EDGE) for w in t.lower().split()} for t in texts]
@@ -176,21 +183,40 @@ class WordKernels:
         return np.array([self.text(words) for words in split], np.float32).reshape(len(texts), self.n)
 
 
+def beginnings(text: str) -> Counter:
+    """How many different words of a text have each beginning."""
+    words = {w.strip(EDGE) for w in text.lower().split()}
+    return Counter(w[:n] for w in words for n in LENGTHS if len(w) >= n)
+
+
 def choose_landmarks(texts: list[str], toxic: list[int], most: int = LANDMARKS) -> list[str]:
-    """Words whose share of toxic texts stands out, by the log likelihood ratio of their counts; ties by name."""
-    inside, outside = Counter(), Counter()
-    for t, y in zip(texts, toxic, strict=True):
-        (inside if y else outside).update({w.strip(EDGE) for w in t.lower().split()})
+    """Beginnings of words that toxic texts have, or have twice, more often, by the larger log likelihood ratio; ties by length, then name."""
+    counts = {level: (Counter(), Counter()) for level in (1, 2)}
+    wanted: set[str] = set()
+    for label in (1, 0):
+        for t in (t for t, y in zip(texts, toxic, strict=True) if y == label):
+            found = beginnings(t)
+            for level, by_label in counts.items():
+                by_label[label].update(w for w, n in found.items() if n >= level and (label or w in wanted))
+        wanted = wanted or {w for w, n in counts[1][1].items() if n >= MIN_TOXIC_TEXTS}
     n1 = sum(toxic)
     n0 = len(toxic) - n1
 
-    def strength(a: int, b: int) -> float:
+    def ratio(a: int, b: int) -> float:
         p, q, r = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1), (a + b + 1) / (n1 + n0 + 2)
         part = lambda k, n, x, y: k * np.log(x / y) + (n - k) * np.log((1 - x) / (1 - y))
         return part(a, n1, p, r) + part(b, n0, q, r) if p > q else 0.0
 
-    ranked = sorted(((strength(a, outside[w]), w) for w, a in inside.items() if a >= MIN_TOXIC_TEXTS and 3 <= len(w) <= LONGEST), key=lambda x: (-x[0], x[1]))
-    return [w for s, w in ranked[:most] if s > 3]
+    inside = {w: max(ratio(by_label[1][w], by_label[0][w]) for by_label in counts.values()) for w in wanted}
+    ranked = sorted(((s, w) for w, s in inside.items()), key=lambda x: (-x[0], -len(x[1]), x[1]))
+    chosen: list[tuple[str, dict[int, float]]] = []
+    for s, w in ranked:
+        if s <= 4 or len(chosen) == most:
+            break
+        m = triples(w)
+        if all(kernel(m, other) < ALIKE for _, other in chosen):
+            chosen.append((w, m))
+    return [w for w, _ in chosen]
 
 
 def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
