@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html, licenses, mixing, quality, toxicity
+from . import bpe, fingerprint, html, licenses, mixing, quality, suffix_array, suffix_tree, toxicity
 from .common import table
 
 
@@ -20,6 +20,17 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_array.removed_bytes(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s.b - s.a).cast("long"))
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_tree.removed_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(table(spark, sf_dir, "documents"))
 
@@ -50,6 +61,8 @@ def tokenizer_path() -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_main_text": op2_html_main_text,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_winnowing": op5_winnowing,
     "op6_license_scan": op6_license_scan,
     "op7_toxicity": op7_toxicity,
@@ -91,6 +104,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND m3 <= z3 + {quality.FENCE} * (z3 - a3) + 150
   AND m4 BETWEEN a4 - {quality.FENCE} * (z4 - a4) - 3000 AND z4 + {quality.FENCE} * (z4 - a4) + 3000 AS kept
 FROM f""",
+    "op4_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)),
+x AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM w),
+e AS (SELECT DISTINCT doc_id, i + k AS p FROM x, range(0, 20) AS r(k) WHERE n > 1),
+v AS (SELECT d.doc_id, ws[p] AS word, p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d) AS d
+  ANTI JOIN e USING (doc_id, p)),
+g AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM v GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
     "op9_mix_sources": rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_W}')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS o FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(sum(size)) OVER () AS DOUBLE) AS total,
