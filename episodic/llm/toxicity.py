@@ -36,7 +36,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 8_000
+MAX_ROWS = 4_000
 LANDMARKS = 64
 MIN_TOXIC_TEXTS = 3
 #: Lengths of the beginnings of words that may become landmarks, and how alike two landmarks may be.
@@ -219,10 +219,16 @@ def choose_landmarks(texts: list[str], toxic: list[int], most: int = LANDMARKS)
     return [w for w, _ in chosen]
 
 
-def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """A model from rows (doc_id, text, toxic) of which the first max_rows in order of a hash of the id are used."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(text, toxic) of the first max_rows labelled rows outside the held-out part, in order of a hash of their id."""
+    chosen = labels.select("doc_id", "toxic").where("toxic IN (0, 1)").where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+
+
+def train(rows: DataFrame) -> Model:
+    """A model from a bounded number of rows (text, toxic)."""
     spark = rows.sparkSession
-    used = rows.where("toxic IN (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toPandas()
+    used = rows.toPandas()
     texts, toxic = [t if isinstance(t, str) else "" for t in used["text"]], [int(y) for y in used["toxic"]]
     share = float(np.mean(toxic)) if toxic else 0.0
     landmarks = choose_landmarks(texts, toxic) if 0 < share < 1 else []
@@ -233,7 +239,12 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     gram = np.array([[kernel(a, b) for b in maps] for a in maps])
     value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(len(gram)))
     whiten = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
-    features = WordKernels(landmarks).texts(texts).astype(float) @ whiten
+    kernels = WordKernels(landmarks)
+    parts = []
+    for i in range(0, len(texts), 500):
+        kernels.known.clear()
+        parts.append(kernels.texts(texts[i : i + 500]))
+    features = np.concatenate(parts).astype(float) @ whiten
     weight = np.where(np.array(toxic) == 1, 0.5 / share, 0.5 / (1 - share))
     frame = spark.createDataFrame(pd.DataFrame({"x": features.tolist(), "label": np.array(toxic, float), "weight": weight})).select(array_to_vector("x").alias("features"), "label", "weight")
     svm = LinearSVC(maxIter=60, regParam=1e-3, weightCol="weight").fit(frame)
@@ -265,6 +276,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of docs(doc_id, text), trained on labels(doc_id, toxic) outside the held-out part."""
-    seen = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").where("toxic IS NOT NULL"), "doc_id").where(~held_out())
-    out = scored(docs.select("doc_id", held_out().alias("held_out"), "text"), train(seen))
+    model = train(training_rows(docs, labels))
+    out = scored(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
     return out.withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int"))
