@@ -4,9 +4,10 @@ A window of K tokens is anchored at its smallest m-gram (by hash, leftmost of eq
 windows have their anchor at the same place. Consecutive windows with one anchor form a run. Only runs
 whose anchor gram occurs more than once can hold a repeat:
 
-1. runs are listed as (gram, document, start); grams are counted with partial sums, single ones dropped;
-2. the remaining runs' tokens are cut from their documents and equal ones become one content with its
-   count and first occurrence (copies end here, before anything is compared);
+1. grams of runs are listed with their document and counted with partial sums, single ones dropped;
+2. runs at the remaining grams are cut from their documents; equal ones become one content with its
+   count and first occurrence (copies end here, before anything is compared), and a task sends a
+   content's tokens once;
 3. contents are dealt by gram, read in sorted order and compared in chunks of bounded size by the
    operator's matcher; a gram with more than HOT runs is not compared in one task, but window by window
    with partial sums over window hashes;
@@ -25,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 HOT = 20_000
 #: Tokens compared at once, and tokens of a document looked at at once.
 CHUNK = 1_000_000
@@ -86,25 +89,28 @@ def repeated_windows(keyed: DataFrame, tokens_of: Callable[[str], np.ndarray], k
     """
     item = "Q" if tokens_of("a").dtype == np.uint64 else "B"
 
-    def list_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def list_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for rid, text in zip(batch["rid"].tolist(), batch["text"], strict=True):
-                start, n, anchor, gram = runs(tokens_of(text), k, m)
-                out.append((np.full(len(start), rid), gram, start, n, anchor - start))
-            cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[]] * 5
-            yield pd.DataFrame(dict(zip(("rid", "gram", "start", "n", "off"), cols, strict=True)))
+            grams = [runs(tokens_of(text), k, m)[3] for text in batch["text"]]
+            rid = np.repeat(batch["rid"].to_numpy(), [len(g) for g in grams])
+            yield pd.DataFrame({"rid": rid, "gram": np.concatenate(grams) if grams else rid})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent: set[int] = set()  # contents this task has given already
         for batch in batches:
             for i in range(0, len(batch), 256):
                 out = []
-                for rid, order, text, found in batch.iloc[i : i + 256][["rid", "ord", "text", "found"]].itertuples(index=False):
-                    tokens = tokens_of(text)
-                    for r in found:
-                        content = tokens[r["start"] : r["start"] + r["n"] + k - 1].tobytes()
-                        out.append((r["gram"], content, xxhash.xxh3_64_intdigest(content, 7) - (1 << 63), rid, order, r["start"], r["n"], r["off"], r["often"]))
-                yield pd.DataFrame(out, columns=["gram", "content", "hash", "rid", "ord", "start", "n", "off", "often"])
+                for rid, order, text, grams, often in batch.iloc[i : i + 256][["rid", "ord", "text", "grams", "often"]].itertuples(index=False):
+                    tokens, times = tokens_of(text), dict(zip(grams.tolist(), often.tolist(), strict=True))
+                    for start, n, anchor, gram in zip(*(x.tolist() for x in runs(tokens, k, m)), strict=True):
+                        if gram in times:
+                            content = tokens[start : start + n + k - 1].tobytes()
+                            h = xxhash.xxh3_128_intdigest(content, anchor - start)
+                            out.append((gram, None if h in sent else content, h % (1 << 64) - (1 << 63), (h >> 64) - (1 << 63), rid, order, start, n, anchor - start, times[gram]))
+                            sent.add(h)
+                if len(sent) > 500_000:
+                    sent.clear()
+                yield pd.DataFrame(out, columns=["gram", "content", "h1", "h2", "rid", "ord", "start", "n", "off", "often"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
@@ -137,30 +143,31 @@ def repeated_windows(keyed: DataFrame, tokens_of: Callable[[str], np.ndarray], k
                 for w in range(0, len(content) - width + 1, step):
                     h = xxhash.xxh3_128_intdigest(content[w : w + width])
                     out.append((h % (1 << 64) - (1 << 63), (h >> 64) - (1 << 63), cnt, order, rid, start + w // step))
-            yield pd.DataFrame(out, columns=["h1", "h2", "cnt", "ord", "rid", "start"])
+            yield pd.DataFrame(out, columns=["w1", "w2", "cnt", "ord", "rid", "start"])
 
     texts = keyed.select("rid", "ord", "text")
-    listed = texts.mapInPandas(list_runs, "rid long, gram long, start int, n int, off int")
+    listed = keyed.select("rid", "text").mapInPandas(list_grams, "rid long, gram long")
     often = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    wanted = listed.join(often, "gram").groupBy("rid").agg(F.collect_list(F.struct("gram", "start", "n", "off", "often")).alias("found"))
-    pieces = texts.join(wanted, "rid").mapInPandas(cut, "gram long, content binary, hash long, rid long, ord long, start int, n int, off int, often long")
+    wanted = listed.join(often, "gram").select("rid", "gram", "often").distinct()
+    wanted = stored(wanted.groupBy("rid").agg(F.collect_list("gram").alias("grams"), F.collect_list("often").alias("often")))
+    pieces = stored(texts.join(wanted, "rid").mapInPandas(cut, "gram long, content binary, h1 long, h2 long, rid long, ord long, start int, n int, off int, often long"))
     pieces = pieces.withColumn("at", F.struct("ord", "rid", "start"))
-    contents = pieces.groupBy("gram", "content", "hash", "off").agg(F.count(F.lit(1)).alias("cnt"), F.min("at").alias("first"), F.max("often").alias("often"))
-    contents = contents.select("gram", "content", "hash", "off", "cnt", "often", F.col("first.ord").alias("f_ord"), F.col("first.rid").alias("f_rid"), F.col("first.start").alias("f_start"))
-    cold = contents.where(F.col("often") <= hot).repartition("gram").sortWithinPartitions("gram", "hash")
+    contents = pieces.groupBy("gram", "h1", "h2").agg(F.count(F.lit(1)).alias("cnt"), F.min("at").alias("lead"), F.first("content", ignorenulls=True).alias("content"), F.first("off").alias("off"), F.first("often").alias("often"))
+    contents = stored(contents.select("gram", "h1", "h2", "content", "off", "cnt", "often", "lead", F.col("lead.ord").alias("f_ord"), F.col("lead.rid").alias("f_rid"), F.col("lead.start").alias("f_start")))
+    cold = contents.where(F.col("often") <= hot).repartition("gram").sortWithinPartitions("gram", "h1")
     once = cold.mapInPandas(compare, "rid long, a int, b int")
     # windows of hot grams: sums over window hashes, then back to the first occurrences
-    wide = contents.where(F.col("often") > hot).mapInPandas(windows, "h1 long, h2 long, cnt long, ord long, rid long, start int")
-    total = wide.groupBy("h1", "h2").agg(F.sum("cnt").alias("total"), F.min(F.struct("ord", "rid", "start")).alias("lead"))
-    back = wide.join(total, ["h1", "h2"])
+    wide = contents.where(F.col("often") > hot).mapInPandas(windows, "w1 long, w2 long, cnt long, ord long, rid long, start int")
+    total = wide.groupBy("w1", "w2").agg(F.sum("cnt").alias("total"), F.min(F.struct("ord", "rid", "start")).alias("lead"))
+    back = wide.join(total, ["w1", "w2"])
     back = back.where(F.struct("ord", "rid", "start") > F.col("lead")) if first_stays else back.where("total > 1")
     once = once.unionByName(back.select("rid", F.col("start").alias("a"), (F.col("start") + 1).alias("b")))
     # further occurrences of a content are repeats as a whole; so is the first, unless it stays
-    many = contents.where("cnt > 1").select("gram", "hash", "off", F.struct("f_ord", "f_rid", "f_start").alias("lead"))
-    whole = pieces.select("gram", "hash", "off", "rid", "start", "n", "at").join(many, ["gram", "hash", "off"])
+    many = contents.where("cnt > 1").select("h1", "h2", "lead")
+    whole = pieces.select("h1", "h2", "rid", "start", "n", "at").join(many, ["h1", "h2"])
     whole = whole.where(F.col("at") > F.col("lead")) if first_stays else whole
     found = once.unionByName(whole.select("rid", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
-    return found.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return stored(found.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
 
 def keyed_rows(df: DataFrame, text: str = "text") -> DataFrame:
