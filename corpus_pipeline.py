@@ -1,3 +1,71 @@
-STAGES = []
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Quality rules drop what they reject; near duplicates (five-word shingles, 0.8 and more) leave one
+document of each group; repeated 20-word windows are cut from later documents; sources are mixed to
+target weights, a document being repeated as often as the mix takes it; the rest is encoded and decoded.
+
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns the columns of
+documents, but for the last, which returns doc_id, source, n_tokens, ids and decoded.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from episodic.llm import bpe, lsh_forest, mixing, quality, suffix_tree
+from episodic.llm.common import shared_folder, table
+from episodic.llm.queries import tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.quality_filter(docs).where("kept").select(*COLUMNS)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows equal in id and text one stays, too."""
+    kept = lsh_forest.near_duplicates(docs, n=5, threshold=80).where("kept").select("doc_id").distinct()
+    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts keep their layout where nothing is removed; documents of which nothing is left go."""
+    done = suffix_tree.removed_words(docs.withColumn("__was", F.col("text")))
+    text = F.when(F.col("n_removed") == 0, F.col("__was")).otherwise(F.col("text"))
+    return done.withColumn("text", text).where("n_words > n_removed OR n_words = 0").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = mixing.mixed(docs).where("copies > 0").select("doc_id", "copies")
+    return docs.join(taken, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(docs.select("doc_id", "source", "text"), tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("substring dedup", substring_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", encoding_stage),
+]
+
+#: No SQL: the encoding stage can't be said in it.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = f"{shared_folder(spark)}/stage-{i}-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
