@@ -2,12 +2,13 @@
 
 A document's set is its distinct shingles of SHINGLE words. TREES sorted orders are kept, each over the
 documents' labels of DEPTH min-hashes. In an order, documents with a common prefix stand together;
-where many share a short prefix the next min-hash is looked at too, so depth adapts to each region:
-a region of at most REGION documents yields all its pairs as candidates. A region that is still larger
-at full depth yields, for each document, the next NEAR in the order (their longest common prefixes) and
-the region's HUBS: the documents that over all orders stand in the largest regions, which in a large
-group of copies are those the others were made from. Pairs found there are confirmed; what a round
-has not joined to its region's main component then meets every document of its region in the next.
+a region with a common prefix of SHORTEST min-hashes and at most REGION documents yields all its pairs
+as candidates; a larger one is parted by its next min-hash, so depth adapts to each region. A region
+that is still larger at full depth is not paired in full: first every document meets the region's hub,
+the document that over all orders stands in the largest regions (in a large group of copies that is
+the one the others were made from). Then, once these links are confirmed, every document that is not in
+the region's main component meets every document of another component in its region; so nothing is
+left out, and the work is that of the documents left over.
 
 Documents with equal sets are one class from the start, represented by its smallest id, so a group of
 copies costs one comparison. Candidates whose min-hash signatures differ too much are dropped (by more
@@ -31,15 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hash_words
+from .common import checkpointed, hash_words, stored
 
 TREES = 24
 DEPTH = 6
 HASHES = TREES * DEPTH
 SHORTEST = 3
 REGION = 32
-NEAR = 4
-HUBS = 3
 SLACK = 0.16
 _SEEDS = np.random.RandomState(20240501).randint(1, 1 << 32, (2, HASHES), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -105,51 +104,67 @@ def orders(reps: DataFrame) -> DataFrame:
 
 
 def region_pairs(rows: list[tuple], threshold: int, depth: int = SHORTEST) -> Iterator[tuple[int, int]]:
-    """Candidates of rows (label, id, size, weight) in order of their labels, which share depth min-hashes."""
-    fits = lambda x, y: 100 * min(x[2], y[2]) >= threshold * max(x[2], y[2])
-    pair = lambda x, y: (min(x[1], y[1]), max(x[1], y[1]))
-    if len(rows) < 2:
-        return
+    """Candidates of rows (label, id, size) in order of their labels, which share depth min-hashes; nothing from a region larger than REGION at full depth."""
     if len(rows) <= REGION:
-        yield from (pair(x, y) for x, y in combinations(rows, 2) if fits(x, y))
-        return
-    if depth < DEPTH:
+        for x, y in combinations(rows, 2):
+            if 100 * min(x[2], y[2]) >= threshold * max(x[2], y[2]):
+                yield min(x[1], y[1]), max(x[1], y[1])
+    elif depth < DEPTH:
         at = 0
         for i in range(1, len(rows) + 1):
             if i == len(rows) or rows[i][0][: 2 * depth + 2] != rows[at][0][: 2 * depth + 2]:
                 yield from region_pairs(rows[at:i], threshold, depth + 1)
                 at = i
-    hubs = sorted(rows, key=lambda x: (-x[3], x[1]))[:HUBS]
-    for i, x in enumerate(rows):
-        yield from (pair(x, y) for y in rows[i + 1 : i + 1 + NEAR] if fits(x, y))
-        yield from (pair(x, y) for y in hubs if y[1] != x[1] and fits(x, y))
 
 
-def candidates(reps: DataFrame, threshold: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ids that stand near each other in some order."""
-    placed = orders(reps)
-    # how many stand at the same full label, summed over the orders: high for the middle of a large group
-    same = placed.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REGION)
-    weight = placed.join(same, ["tree", "label"]).groupBy("id").agg(F.sum("n").alias("weight"))
-    placed = placed.join(weight, "id", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+def small_regions(placed: DataFrame, threshold: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, from regions of at most REGION documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         at = None
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for tree, prefix, label, i, size, w in batch.itertuples(index=False, name=None):
+            for tree, prefix, label, i, size in batch.itertuples(index=False, name=None):
                 if (tree, prefix) != at:
                     found.update(region_pairs(held, threshold))
                     held, at = [], (tree, prefix)
-                held.append((label, i, size, w))
+                held.append((label, i, size))
             yield pd.DataFrame(list(found), columns=["a", "b"]).astype("int64")
         yield pd.DataFrame(list(set(region_pairs(held, threshold))), columns=["a", "b"]).astype("int64")
 
-    dealt = placed.select("tree", "prefix", "label", "id", "size", "weight").repartition("tree", "prefix").sortWithinPartitions("tree", "prefix", "label", "id")
+    dealt = placed.select("tree", "prefix", "label", "id", "size").repartition("tree", "prefix").sortWithinPartitions("tree", "prefix", "label", "id")
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
+def met(x: DataFrame, y: DataFrame, threshold: int, also: str = "TRUE") -> DataFrame:
+    """Distinct pairs of the rows x(tree, label, id, size) and y(tree, label, id2, size2) of one region whose sizes allow a link."""
+    both = x.join(y, ["tree", "label"]).where(f"id <> id2 AND 100 * least(size, size2) >= {threshold} * greatest(size, size2) AND {also}")
+    return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def large_regions(placed: DataFrame) -> DataFrame:
+    """Rows of regions larger than REGION at full depth, with weight: in how large regions the document stands over all orders."""
+    same = placed.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REGION)
+    rows = placed.select("tree", "label", "id", "size").join(same, ["tree", "label"])
+    weight = rows.groupBy("id").agg(F.sum("n").alias("weight"))
+    return stored(rows.drop("n").join(weight, "id"))
+
+
+def hub_pairs(large: DataFrame, threshold: int) -> DataFrame:
+    hubs = large.groupBy("tree", "label").agg(F.max(F.struct("weight", (-F.col("id")).alias("low"), "size")).alias("h"))
+    return met(large, hubs.select("tree", "label", (-F.col("h.low")).alias("id2"), F.col("h.size").alias("size2")), threshold)
+
+
+def rest_pairs(large: DataFrame, grouped: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of a document outside its region's main component and one of another component in the region."""
+    d = large.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    main = d.groupBy("tree", "label", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("tree", "label").agg(F.max(F.struct("n", "component")).alias("m"))
+    out = d.join(main.select("tree", "label", F.col("m.component").alias("main")), ["tree", "label"]).where("component <> main").drop("main", "weight")
+    others = d.select("tree", "label", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("component").alias("component2"))
+    return met(out, others, threshold, "component <> component2")
+
+
 def likely(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose signatures don't rule out a link."""
     least = (threshold / 100 - SLACK) * HASHES
@@ -209,12 +224,20 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs(doc_id, text); linked at threshold percent of n-word shingles."""
-    rows = checkpointed(signed(docs, n))
+    rows = stored(signed(docs, n))
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
     reps = rows.join(classes, ["d1", "d2"]).where("doc_id = id").select("id", "n_shingles", "sig").dropDuplicates(["id"])
-    pairs = checkpointed(likely(candidates(reps, threshold), reps, threshold))
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL AND id IS NOT NULL").dropDuplicates(["id"])
-    grouped = components(confirmed(pairs, texts, n, threshold))
+    placed = orders(reps)
+    large = large_regions(placed)
+    pairs = small_regions(placed, threshold).unionByName(hub_pairs(large, threshold)).distinct()
+    links = confirmed(stored(likely(pairs, reps, threshold)), texts, n, threshold)
+    grouped = components(links)
+    if not large.isEmpty():
+        rest = stored(likely(rest_pairs(large, grouped, threshold), reps, threshold))
+        if not rest.isEmpty():
+            more = confirmed(rest, texts, n, threshold)
+            grouped = components(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
     out = out.join(grouped, "id", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
