@@ -6,8 +6,8 @@ whose anchor gram occurs more than once can hold a repeat:
 
 1. grams of runs are listed with their document and counted with partial sums, single ones dropped;
 2. runs at the remaining grams are cut from their documents; equal ones become one content with its
-   count and first occurrence (copies end here, before anything is compared), and a task sends a
-   content's tokens once;
+   count and first occurrence (copies end here, before anything is compared), a task sends a content's
+   tokens once, and what recurs inside a document (text with a period) is settled there;
 3. contents are dealt by gram, read in sorted order and compared in chunks of bounded size by the
    operator's matcher; a gram with more than HOT runs is not compared in one task, but window by window
    with partial sums over window hashes;
@@ -82,18 +82,23 @@ def ranges(starts: np.ndarray) -> Iterator[tuple[int, int]]:
             yield int(part[0]), int(part[-1]) + 1
 
 
-def repeated_windows(keyed: DataFrame, tokens_of: Callable[[str], np.ndarray], k: int, m: int, match: Matcher, first_stays: bool, hot: int = HOT) -> DataFrame:
+#: A text's tokens, and the bytes of its tokens from one place to another.
+Parse = Callable[[str], tuple[np.ndarray, Callable[[int, int], bytes]]]
+
+
+def repeated_windows(keyed: DataFrame, parse: Parse, unpack: Callable[[bytes], np.ndarray], k: int, m: int, match: Matcher, first_stays: bool, hot: int = HOT) -> DataFrame:
     """(rid, spans) of keyed(rid, ord, text): per document with repeats, the ranges of window starts that are repeats.
 
-    first_stays: the first occurrence of a window, in order of (ord, start), is no repeat. rid is unique.
+    first_stays: the first occurrence of a window, in order of (ord, start), is no repeat. rid is unique;
+    unpack gives the tokens of what parse cut.
     """
-    item = "Q" if tokens_of("a").dtype == np.uint64 else "B"
 
     def list_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            grams = [runs(tokens_of(text), k, m)[3] for text in batch["text"]]
-            rid = np.repeat(batch["rid"].to_numpy(), [len(g) for g in grams])
-            yield pd.DataFrame({"rid": rid, "gram": np.concatenate(grams) if grams else rid})
+            found = [np.unique(runs(parse(text)[0], k, m)[3], return_counts=True) for text in batch["text"]]
+            rid = np.repeat(batch["rid"].to_numpy(), [len(g) for g, _ in found])
+            grams, times = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (rid, rid)
+            yield pd.DataFrame({"rid": rid, "gram": grams, "times": times})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sent: set[int] = set()  # contents this task has given already
@@ -101,58 +106,67 @@ def repeated_windows(keyed: DataFrame, tokens_of: Callable[[str], np.ndarray], k
             for i in range(0, len(batch), 256):
                 out = []
                 for rid, order, text, grams, often in batch.iloc[i : i + 256][["rid", "ord", "text", "grams", "often"]].itertuples(index=False):
-                    tokens, times = tokens_of(text), dict(zip(grams.tolist(), often.tolist(), strict=True))
+                    tokens, piece = parse(text)
+                    times = dict(zip(grams.tolist(), often.tolist(), strict=True))
+                    here: dict[int, list] = {}
+                    again: list[int] = []  # windows of contents met before in this document
                     for start, n, anchor, gram in zip(*(x.tolist() for x in runs(tokens, k, m)), strict=True):
                         if gram in times:
-                            content = tokens[start : start + n + k - 1].tobytes()
+                            content = piece(start, start + n + k - 1)
                             h = xxhash.xxh3_128_intdigest(content, anchor - start)
-                            out.append((gram, None if h in sent else content, h % (1 << 64) - (1 << 63), (h >> 64) - (1 << 63), rid, order, start, n, anchor - start, times[gram]))
-                            sent.add(h)
+                            if h in here:
+                                here[h][-1] += 1
+                                again.extend(range(start, start + n))
+                            else:
+                                here[h] = [gram, None if h in sent else content, h % (1 << 64) - (1 << 63), (h >> 64) - (1 << 63), rid, order, start, n, anchor - start, times[gram], 1]
+                                sent.add(h)
+                    out.extend(here.values())
+                    out.extend((None, None, None, None, rid, order, a, b - a, None, None, None) for a, b in ranges(np.unique(np.array(again, np.int64))))
                 if len(sent) > 500_000:
                     sent.clear()
-                yield pd.DataFrame(out, columns=["gram", "content", "h1", "h2", "rid", "ord", "start", "n", "off", "often"])
+                frame = pd.DataFrame(out, columns=["gram", "content", "h1", "h2", "rid", "ord", "start", "n", "off", "often", "times"])
+                yield frame.astype(dict.fromkeys(("gram", "h1", "h2", "off", "often", "times"), "Int64"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
         size, last = 0, None
 
         def flush() -> pd.DataFrame:
-            contents = [np.frombuffer(c, item_type) for c in (x[1] for x in held)]
+            contents = [unpack(x[1]) for x in held]
             found = match(contents, np.array([x[2] for x in held], np.int64), [(x[3], x[5]) for x in held], np.array([x[6] for x in held], np.int64))
             rows = [(x[4], x[5] + a, x[5] + b) for x, starts in zip(held, found, strict=True) for a, b in ranges(starts)]
             return pd.DataFrame(rows, columns=["rid", "a", "b"]).astype("int64")
 
-        item_type = np.uint64 if item == "Q" else np.uint8
         for batch in batches:
             for row in batch[["gram", "content", "cnt", "f_ord", "f_rid", "f_start", "off"]].itertuples(index=False, name=None):
                 if size > CHUNK and row[0] != last:
                     yield flush()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[1]) // (8 if item == "Q" else 1)
+                size += len(row[1])
                 last = row[0]
         if held:
             yield flush()
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = k * (8 if item == "Q" else 1)
-        step = 8 if item == "Q" else 1
         for batch in batches:
             out = []
             for content, cnt, order, rid, start in batch[["content", "cnt", "f_ord", "f_rid", "f_start"]].itertuples(index=False, name=None):
-                for w in range(0, len(content) - width + 1, step):
-                    h = xxhash.xxh3_128_intdigest(content[w : w + width])
-                    out.append((h % (1 << 64) - (1 << 63), (h >> 64) - (1 << 63), cnt, order, rid, start + w // step))
+                tokens = unpack(content)
+                for w in range(len(tokens) - k + 1):
+                    h = xxhash.xxh3_128_intdigest(tokens[w : w + k].tobytes())
+                    out.append((h % (1 << 64) - (1 << 63), (h >> 64) - (1 << 63), cnt, order, rid, start + w))
             yield pd.DataFrame(out, columns=["w1", "w2", "cnt", "ord", "rid", "start"])
 
     texts = keyed.select("rid", "ord", "text")
-    listed = keyed.select("rid", "text").mapInPandas(list_grams, "rid long, gram long")
-    often = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    wanted = listed.join(often, "gram").select("rid", "gram", "often").distinct()
+    listed = keyed.select("rid", "text").mapInPandas(list_grams, "rid long, gram long, times long")
+    often = listed.groupBy("gram").agg(F.sum("times").alias("often")).where("often > 1")
+    wanted = listed.join(often, "gram")
     wanted = stored(wanted.groupBy("rid").agg(F.collect_list("gram").alias("grams"), F.collect_list("often").alias("often")))
-    pieces = stored(texts.join(wanted, "rid").mapInPandas(cut, "gram long, content binary, h1 long, h2 long, rid long, ord long, start int, n int, off int, often long"))
-    pieces = pieces.withColumn("at", F.struct("ord", "rid", "start"))
-    contents = pieces.groupBy("gram", "h1", "h2").agg(F.count(F.lit(1)).alias("cnt"), F.min("at").alias("lead"), F.first("content", ignorenulls=True).alias("content"), F.first("off").alias("off"), F.first("often").alias("often"))
+    pieces = stored(texts.join(wanted, "rid").mapInPandas(cut, "gram long, content binary, h1 long, h2 long, rid long, ord long, start int, n int, off int, often long, times long"))
+    again = pieces.where("gram IS NULL").select("rid", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
+    pieces = pieces.where("gram IS NOT NULL").withColumn("at", F.struct("ord", "rid", "start"))
+    contents = pieces.groupBy("gram", "h1", "h2").agg(F.sum("times").alias("cnt"), F.min("at").alias("lead"), F.first("content", ignorenulls=True).alias("content"), F.first("off").alias("off"), F.first("often").alias("often"))
     contents = stored(contents.select("gram", "h1", "h2", "content", "off", "cnt", "often", "lead", F.col("lead.ord").alias("f_ord"), F.col("lead.rid").alias("f_rid"), F.col("lead.start").alias("f_start")))
     cold = contents.where(F.col("often") <= hot).repartition("gram").sortWithinPartitions("gram", "h1")
     once = cold.mapInPandas(compare, "rid long, a int, b int")
@@ -166,12 +180,12 @@ def repeated_windows(keyed: DataFrame, tokens_of: Callable[[str], np.ndarray], k
     many = contents.where("cnt > 1").select("h1", "h2", "lead")
     whole = pieces.select("h1", "h2", "rid", "start", "n", "at").join(many, ["h1", "h2"])
     whole = whole.where(F.col("at") > F.col("lead")) if first_stays else whole
-    found = once.unionByName(whole.select("rid", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
+    found = once.unionByName(again).unionByName(whole.select("rid", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
     return stored(found.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
 
 def keyed_rows(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with rid (of the row's id and text), ord (the id, nulls last), text never null, and how often the row is repeated."""
+    """df with rid (of the row's id and text), ord (the id, nulls last) and text never null."""
     d = df.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("rid", F.xxhash64("doc_id", "__t"))
     return d.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).drop(text).withColumnRenamed("__t", "text")
 

@@ -151,10 +151,19 @@ def bytes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def unpack_bytes(content: bytes) -> np.ndarray:
+    return np.frombuffer(content, np.uint8)
+
+
+def parse_bytes(text: str):
+    data = bytes_of(text)
+    return data, lambda a, b: data[a:b].tobytes()
+
+
 def removed_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, kept (binary), spans (array of removed byte ranges a to b) of each row of docs(doc_id, text)."""
     rows = keyed_rows(docs.select("doc_id", "text"))
-    found = repeated_windows(rows, bytes_of, K, M, match_bytes, first_stays=False, hot=hot)
+    found = repeated_windows(rows, parse_bytes, unpack_bytes, K, M, match_bytes, first_stays=False, hot=hot)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

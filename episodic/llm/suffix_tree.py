@@ -10,8 +10,8 @@ repeats; their suffixes carry the first occurrence of the repeat.
 A window is removed if its words also start earlier (smaller id, or same document and earlier start).
 Windows are judged on the input. Words are compared by 64-bit hashes, K in a row.
 
-Null texts have no words; null ids come last; rows with equal id and text are removed but for the
-first of them. An empty table gives an empty result; extra columns are passed on.
+Null texts have no words; null ids come last; rows with equal id and text are one document and each
+keeps what it keeps. An empty table gives an empty result; extra columns are passed on.
 """
 
 from __future__ import annotations
@@ -77,15 +77,20 @@ def words_of_text(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def word_hashes(text: str) -> np.ndarray:
-    return hash_words(words_of_text(text))
+def unpack_words(content: bytes) -> np.ndarray:
+    return hash_words(content.split())
+
+
+def parse_words(text: str):
+    words = words_of_text(text)
+    return hash_words(words), lambda a, b: b" ".join(words[a:b])
 
 
 def removed_words(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """docs with text replaced by its kept words, joined by one space, and n_words and n_removed."""
     kept_columns = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
     rows = keyed_rows(docs.select(*kept_columns, "text"))
-    found = repeated_windows(rows, word_hashes, K, M, match_words, first_stays=True, hot=hot)
+    found = repeated_windows(rows, parse_words, unpack_words, K, M, match_words, first_stays=True, hot=hot)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
