@@ -69,9 +69,7 @@ def suffix_class(suffix: Column) -> Column:
     s = F.lower(F.trim(suffix))
     # Beginnings and their classes, in order.
     rules = (("m", "mixed"), ("hx", "mixed"), ("e", "pulse"), ("o", "pulse"), ("h", "hot"))
-    out = None
-    for start, label in rules:
-        out = (out or F).when(s.startswith(start), label)
+    out = reduce(lambda acc, rule: acc.when(s.startswith(rule[0]), rule[1]), rules, F.when(F.lit(False), ""))
     return out.otherwise("ignore")
 
 

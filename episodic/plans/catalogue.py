@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import series  # noqa: F401
+from . import series, tables  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
