@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import learners, series, tables  # noqa: F401
+from . import forecasts, learners, series, tables  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
