@@ -121,15 +121,16 @@ def repeated_windows(keyed: DataFrame, parse: Parse, unpack: Callable[[bytes], n
                                 here[h] = [gram, None if h in sent else content, h % (1 << 64) - (1 << 63), (h >> 64) - (1 << 63), rid, order, start, n, anchor - start, times[gram], 1]
                                 sent.add(h)
                     out.extend(here.values())
-                    out.extend((None, None, None, None, rid, order, a, b - a, None, None, None) for a, b in ranges(np.unique(np.array(again, np.int64))))
+                    out.extend((0, None, 0, 0, rid, order, a, b - a, 0, 0, 0) for a, b in ranges(np.unique(np.array(again, np.int64))))
                 if len(sent) > 500_000:
                     sent.clear()
-                frame = pd.DataFrame(out, columns=["gram", "content", "h1", "h2", "rid", "ord", "start", "n", "off", "often", "times"])
-                yield frame.astype(dict.fromkeys(("gram", "h1", "h2", "off", "often", "times"), "Int64"))
+                # times 0: settled here. No nulls among numbers, which pandas would keep as rounded floats
+                yield pd.DataFrame(out, columns=["gram", "content", "h1", "h2", "rid", "ord", "start", "n", "off", "often", "times"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
-        size, last = 0, None
+        group: list = []  # of one gram; a single content has nothing to be compared with
+        size = 0
 
         def flush() -> pd.DataFrame:
             contents = [unpack(x[1]) for x in held]
@@ -139,12 +140,17 @@ def repeated_windows(keyed: DataFrame, parse: Parse, unpack: Callable[[bytes], n
 
         for batch in batches:
             for row in batch[["gram", "content", "cnt", "f_ord", "f_rid", "f_start", "off"]].itertuples(index=False, name=None):
-                if size > CHUNK and row[0] != last:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[1])
-                last = row[0]
+                if group and row[0] != group[-1][0]:
+                    if len(group) > 1:
+                        held += group
+                        size += sum(len(x[1]) for x in group)
+                    group = []
+                    if size > CHUNK:
+                        yield flush()
+                        held, size = [], 0
+                group.append(row)
+        if len(group) > 1:
+            held += group
         if held:
             yield flush()
 
@@ -164,8 +170,8 @@ def repeated_windows(keyed: DataFrame, parse: Parse, unpack: Callable[[bytes], n
     wanted = listed.join(often, "gram")
     wanted = stored(wanted.groupBy("rid").agg(F.collect_list("gram").alias("grams"), F.collect_list("often").alias("often")))
     pieces = stored(texts.join(wanted, "rid").mapInPandas(cut, "gram long, content binary, h1 long, h2 long, rid long, ord long, start int, n int, off int, often long, times long"))
-    again = pieces.where("gram IS NULL").select("rid", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
-    pieces = pieces.where("gram IS NOT NULL").withColumn("at", F.struct("ord", "rid", "start"))
+    again = pieces.where("times = 0").select("rid", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
+    pieces = pieces.where("times > 0").withColumn("at", F.struct("ord", "rid", "start"))
     contents = pieces.groupBy("gram", "h1", "h2").agg(F.sum("times").alias("cnt"), F.min("at").alias("lead"), F.first("content", ignorenulls=True).alias("content"), F.first("off").alias("off"), F.first("often").alias("often"))
     contents = stored(contents.select("gram", "h1", "h2", "content", "off", "cnt", "often", "lead", F.col("lead.ord").alias("f_ord"), F.col("lead.rid").alias("f_rid"), F.col("lead.start").alias("f_start")))
     cold = contents.where(F.col("often") <= hot).repartition("gram").sortWithinPartitions("gram", "h1")

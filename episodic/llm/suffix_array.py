@@ -139,6 +139,8 @@ def match_bytes(contents: list[np.ndarray], count: np.ndarray, first: list[tuple
         right = word[at[fits] + BLOCK * full]
         loose = (left << bits | right >> np.uint64(8 * r)) if r else right
         group, w, c = together[fits], start[fits], who[fits]
+        if not len(w):
+            continue
         by = np.lexsort((loose, group))
         equal = (loose[by][1:] == loose[by][:-1]) & (group[by][1:] == group[by][:-1])
         twice = by[np.append(equal, False) | np.append(False, equal)]
@@ -174,6 +176,7 @@ def removed_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 edge = np.nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))[0].tolist()
                 kept = data[~gone].tobytes()
                 out.append((doc_id, len(data), [{"a": a, "b": b} for a, b in zip(edge[::2], edge[1::2], strict=True)], kept))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept"]).astype({"doc_id": "Int64"})
+            frame = pd.DataFrame([x[1:] for x in out], columns=["n_bytes", "spans", "kept"])
+            yield frame.assign(doc_id=batch["doc_id"].astype("Int64").array)[["doc_id", "n_bytes", "spans", "kept"]]
 
     return rows.select("rid", "doc_id", "text").join(found, "rid", "left").mapInPandas(cut, "doc_id long, n_bytes long, spans array<struct<a: int, b: int>>, kept binary")
