@@ -5,8 +5,12 @@ Elements that never hold article text (scripts, menus, forms, ...) and those who
 advert, notice, sidebar or comments are marked. Per path, text length and punctuation are summed over
 its blocks and divided by their number; both ratios are smoothed along the page with a Gaussian, fused
 by multiplication, and a path is content if its fused ratio exceeds the page's standard deviation
-around zero, that is if it stands out. The content region is the deepest path that holds the selected
-paths; all unmarked blocks inside it (short headings too) are the text.
+around zero, that is if it stands out. No block of a selected path is dropped. If a page's <article> (or
+else <main>) elements hold most of the selected text, the text is every unmarked block in them (short
+headings too) and the selected ones elsewhere. Else the content region is the deepest container that holds
+all selected paths, and the text is every unmarked block in the region or between the h1 and it, and the
+headings and paragraphs with a sentence that adjoin these (leads and closing lines outside an inner
+container; copyright lines end that).
 
 Blocks: character references decoded, white space runs one space, trimmed, empty ones left out, joined
 by an empty line. Null and empty html give an empty text; broken markup, unclosed elements and very
@@ -42,6 +46,12 @@ NOISE_NAME = re.compile(
 ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# Elements that are parts of a text and no containers of one.
+LEAF = frozenset("p li pre blockquote td th tr tbody thead tfoot table caption ul ol dl dt dd figure figcaption center address summary hgroup h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p pre blockquote table li dd".split())
+SENTENCE = re.compile(r"[.!?…。！？؟।]")
+LEGAL = re.compile(r"©|\(c\)\s*\d|copyright|all rights reserved", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？؟،।]")
 
 
@@ -152,20 +162,38 @@ def content_paths(found: list[tuple[tuple[str, ...], bool, str]]) -> set[tuple[s
     return {p for p, i in order.items() if fused[i] >= limit}
 
 
+def kept_blocks(found: list[tuple[tuple[str, ...], bool, str]], paths: set[tuple[str, ...]], scope: str = "") -> list[bool]:
+    """Which blocks are the text: those in elements named scope and selected ones elsewhere, or, without scope, those in, between and next to the selected ones."""
+    if scope:
+        return [scope in p or p in paths for p, _, _ in found]
+    first, last = min(paths), max(paths)
+    same = next((i for i, (x, y) in enumerate(zip(first, last, strict=False)) if x != y), min(len(first), len(last)))
+    region = first[:same]
+    while region and region[-1] in LEAF:
+        region = region[:-1]
+    kept = [p[: len(region)] == region for p, _, _ in found]
+    anchors = [i for i, (p, _, _) in enumerate(found) if kept[i] or "h1" in p]
+    a, b = anchors[0], anchors[-1]
+
+    def adjoins(i: int) -> bool:
+        p, _, t = found[i]
+        return not HEADINGS.isdisjoint(p) or not PARAGRAPHS.isdisjoint(p) and bool(SENTENCE.search(t)) and not LEGAL.search(t)
+
+    while a > 0 and adjoins(a - 1):
+        a -= 1
+    while b + 1 < len(found) and adjoins(b + 1):
+        b += 1
+    return [a <= i <= b for i in range(len(found))]
+
+
 def main_text(html: str) -> str:
     found = [b for b in blocks(html) if not b[1]]
     if not found:
         return ""
-    inside = [b for b in found if "article" in b[0]] or [b for b in found if "main" in b[0]] or found
-    paths = content_paths(inside)
-    mass: dict[tuple[str, ...], int] = {}
-    for p, _, t in inside:
-        if p in paths:
-            for k in range(len(p) + 1):
-                mass[p[:k]] = mass.get(p[:k], 0) + len(t)
-    total = mass[()]
-    region = max((p for p, m in mass.items() if m >= 0.8 * total and (not p or p[-1] not in ("p", "li", "pre", "blockquote", "td", "tr", "ul", "ol", "h1", "h2", "h3"))), key=len, default=())
-    return "\n\n".join(t for p, _, t in inside if p[: len(region)] == region)
+    paths = content_paths(found)
+    total = sum(len(t) for p, _, t in found if p in paths)
+    scope = next((x for x in ("article", "main") if 2 * sum(len(t) for p, _, t in found if x in p and p in paths) > total), "")
+    return "\n\n".join(b[2] for b, k in zip(found, kept_blocks(found, paths, scope), strict=True) if k)
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:

@@ -58,6 +58,26 @@ def test_html():
     assert html.main_text("<p>a < b</p>") == "a < b"
 
 
+def test_html_keeps_all_of_a_nested_text():
+    para = "A long paragraph, with commas, full stops and words enough to stand out. It goes on; and on. " * 3
+    lead, many = "The lead, short as it is, tells all.", f"<p>{para}</p>" * 9
+    body = "\n\n".join([para.strip()] * 9)
+    menu, foot = "<div class=menu><a href=/>Home</a></div>", "<div class=footer>Terms, and more.</div>"
+    # a section inside, its heading and lead outside
+    assert html.main_text(f"{menu}<article><h1>Head</h1><p>{lead}</p><section>{many}</section></article>{foot}") == f"Head\n\n{lead}\n\n{body}"
+    assert html.main_text(f"<main><h1>Head</h1><section>{many}</section><p>{lead}</p></main>") == f"Head\n\n{body}\n\n{lead}"
+    # an inner container, prose beside it
+    assert html.main_text(f"<body>{menu}<div><p>{para}</p><p>{lead}</p><div>{many}</div></div>{foot}") == f"{para.strip()}\n\n{lead}\n\n{body}"
+    assert html.main_text(f"<body>{menu}<div><h2>Head</h2><div>{many}</div><p>{lead}</p><p>© x. All rights reserved.</p></div>") == f"Head\n\n{body}\n\n{lead}"
+    # nearly all of the text in table cells
+    table = "<table><tbody>" + f"<tr><td>{para}</td><td>{para}</td></tr>" * 8 + "</tbody></table>"
+    cells = "\n\n".join([para.strip()] * 16)
+    assert html.main_text(f"<body>{menu}<div><p>{lead}</p>{table}<p>{lead}</p></div>{foot}") == f"{lead}\n\n{cells}\n\n{lead}"
+    assert html.main_text(f"<article><p>{lead}</p>{table}<p>{lead}</p></article>") == f"{lead}\n\n{cells}\n\n{lead}"
+    # teasers are articles too
+    assert html.main_text(f"<body><div>{many}</div><article><p>Teaser, short.</p></article>").startswith(body)
+
+
 def test_html_frame(spark):
     d = spark.createDataFrame([(1, None, "u"), (2, "<p>Hi, there.</p>", "v")], "page_id long, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract(d).collect()}
