@@ -4,10 +4,13 @@ The kernel of two words counts the subsequences of three characters that they sh
 DECAY to the power of the length it spans in either word (spans over SPAN count nothing). Gaps are part of
 it, so an insult with inserted characters keeps most of its likeness. It is divided by the landmark's
 own kernel, held at 1, so a longer word that begins like a landmark counts in full, and raised to the
-power SHARPEN (a power of a kernel is a kernel). A text's kernel with a landmark is the sum over its
-different words, held at MOST.
+power SHARPEN (a power of a kernel is a kernel). A word is read as it stands, with its letters only and,
+from STRIDE characters on, with every second character only, so that characters put between all letters
+cost nothing; a word with a kernel of NEAR or more before it is raised is also read without each of its
+characters, so that one put in costs nothing. The best reading counts. A text's kernel with a landmark is the sum over its
+different words, held at MOST. Kernels under floor (0.0016 once raised) are left out of the sum.
 
-Landmarks are beginnings of words (short words whole) that, in the labelled rows used for training,
+Landmarks are beginnings of words (words too short for that whole, with a space as their end) that, in the labelled rows used for training,
 stand out most in toxic texts, by whether or how often a text has them, and are unlike those chosen
 before.
 The Nyström map (inverse square root of the landmarks' kernel) turns the kernels into features, a
@@ -42,11 +45,13 @@ MIN_TOXIC_TEXTS = 3
 #: Lengths of the beginnings of words that may become landmarks, and how alike two landmarks may be.
 LENGTHS = range(4, 9)
 ALIKE = 0.6
-SHARPEN = 8
+SHARPEN = 4
 MOST = 4.0
 DECAY = 0.6
 SPAN = 6
 LONGEST = 32
+STRIDE = 7
+NEAR = 0.4
 ALPHABET = 64
 START = ALPHABET - 1
 CACHE = 500_000
@@ -55,6 +60,23 @@ PREDICT_AT = 0.7
 EDGE = ".,;:!?\"'()[]{}|"
 
 
+def whole(word: str) -> str:
+    """A word too short for a beginning is marked by its end."""
+    return word if len(word) >= LENGTHS[0] else word + " "
+
+
+def readings(word: str) -> list[str]:
+    """The word as it stands, without what is no letter, and by every second character."""
+    out = [whole(word)]
+    if not word.isalpha():
+        plain = "".join(filter(str.isalpha, word))
+        if plain:
+            out.append(whole(plain))
+    if len(word) >= STRIDE:
+        out.append(word[::2])
+    return out
+
+
 def letters(word: str) -> list[int]:
     """Classes of the word's start and its characters: a to z, then digits, then all others dealt into the rest."""
     out = [START]
@@ -102,7 +124,7 @@ class WordKernels:
     """Kernels of words with landmarks; words far from all of them have no entry."""
 
     #: Kernels below this count as 0.
-    floor = 0.5
+    floor = 0.2
 
     def __init__(self, landmarks: list[str]):
         self.n = len(landmarks)
@@ -117,6 +139,7 @@ class WordKernels:
             for t, v in m.items():
                 self.table[at[t], i] = v / norm
         self.known: dict[str, np.ndarray | None] = {}
+        self.words: dict[str, np.ndarray | None] = {}  # by the best of their readings
 
     def learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 20_000):
@@ -157,36 +180,51 @@ class WordKernels:
             return np.empty(0, np.int64), np.empty((0, self.n), np.float32)
         # few words have enough triples to come over the floor
         weight = np.concatenate([np.full(len(h[0]), h[2]) for h in hits])
-        enough = np.bincount(row, weight, n) >= 2 * DECAY**3
+        enough = np.bincount(row, weight, n) >= self.floor / self.table.max()
         some = np.nonzero(enough)[0]
         place = np.full(n, -1)
         place[some] = np.arange(len(some))
         keep = enough[row]
         row, weight, slots = place[row[keep]], weight[keep], np.concatenate([h[1] for h in hits])[keep]
-        dots = np.zeros((len(some), self.n), np.float32)
-        np.add.at(dots, row, self.table[slots] * weight[:, None].astype(np.float32))
+        order = np.argsort(row, kind="stable")
+        row, weight, slots = row[order], weight[order], slots[order]
+        dots, wide, step = np.zeros((len(some), self.n), np.float32), len(self.table), 1_000
+        edges = np.searchsorted(row, np.arange(0, len(some) + step, step))
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            m = min(step, len(some) - i * step)
+            held = np.bincount((row[a:b] - i * step) * wide + slots[a:b], weight[a:b], m * wide).reshape(m, wide)
+            dots[i * step : i * step + m] = held.astype(np.float32) @ self.table
         over = dots.max(1, initial=0) >= self.floor
         dots[dots < self.floor] = 0
         return some[over], np.minimum(dots[over], 1) ** SHARPEN
 
     def text(self, words: set[str]) -> np.ndarray:
         total = np.zeros(self.n, np.float32)
-        for v in filter(lambda v: v is not None, map(self.known.get, words)):
+        for v in filter(lambda v: v is not None, map(self.words.get, words)):
             total += v
         return np.minimum(total, MOST)
 
     def texts(self, texts: list[str]) -> np.ndarray:
         split = [{w.strip(EDGE) for w in t.lower().split()} for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        self.learn(list(set().union(*split) - self.known.keys()))
+        if len(self.words) > CACHE:
+            self.words.clear()
+        new = {w: readings(w) for w in set().union(*split) - self.words.keys()}
+        self.learn(list({r for rs in new.values() for r in rs}))
+        near = [w for w in new if (v := self.known.get(w)) is not None and 4 < len(w) <= LONGEST and NEAR**SHARPEN <= v.max() < 0.999]
+        for w in near:
+            new[w] += [w[:i] + w[i + 1 :] for i in range(1, len(w))]
+        self.learn(list({r for w in near for r in new[w]} - self.known.keys()))
+        for w, rs in new.items():
+            found = [v for v in map(self.known.get, rs) if v is not None]
+            self.words[w] = (found[0] if len(found) == 1 else np.max(found, 0)) if found else None
+        self.known.clear()
         return np.array([self.text(words) for words in split], np.float32).reshape(len(texts), self.n)
 
 
 def beginnings(text: str) -> Counter:
     """How many different words of a text have each beginning."""
     words = {w.strip(EDGE) for w in text.lower().split()}
-    return Counter(w[:n] for w in words for n in LENGTHS if len(w) >= n)
+    return Counter(w[:n] for w in words for n in LENGTHS if len(w) >= n) + Counter(whole(w) for w in words if 0 < len(w) < LENGTHS[0])
 
 
 def choose_landmarks(texts: list[str], toxic: list[int], most: int = LANDMARKS) -> list[str]:
@@ -242,7 +280,7 @@ def train(rows: DataFrame) -> Model:
     kernels = WordKernels(landmarks)
     parts = []
     for i in range(0, len(texts), 500):
-        kernels.known.clear()
+        kernels.words.clear()
         parts.append(kernels.texts(texts[i : i + 500]))
     features = np.concatenate(parts).astype(float) @ whiten
     weight = np.where(np.array(toxic) == 1, 0.5 / share, 0.5 / (1 - share))

@@ -215,6 +215,30 @@ def test_toxicity_learns(spark):
     assert len(none) == 1
 
 
+def test_toxicity_finds_disguised_insults(spark):
+    rnd = random.Random(6)
+    parts = ["an", "der", "ho", "ing", "ka", "lu", "men", "or", "pe", "ri", "so", "ver", "wa"]
+    bad = ["idiot", "moron", "stupid", "zug"]
+    text = lambda more: " ".join(["".join(rnd.choices(parts, k=rnd.randrange(1, 5))) for _ in range(60)] + more)
+    toxic = [int(i % 4 == 0) for i in range(480)]
+    texts = [text(rnd.choices(bad, k=2) if y else []) for y in toxic]
+    put = lambda w, k, c: w[:k] + c + w[k:]
+    disguised = {
+        "one sign": lambda w: put(w, rnd.randrange(1, len(w)), rnd.choice(".*-_")),
+        "one letter": lambda w: put(w, rnd.randrange(2, len(w) - 1), rnd.choice("bfqx")) if len(w) > 3 else w,
+        "every sign": lambda w: rnd.choice(".*-_").join(w),
+        "every letter": lambda w: "".join(c + rnd.choice("bfqx") for c in w) if len(w) > 3 else w,
+    }
+    kinds = [*disguised, "clean"]
+    for kind in kinds:
+        texts += [text([disguised[kind](w) for w in rnd.choices(bad, k=2)] if kind != "clean" else []) for _ in range(50)]
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.classify(documents(spark, texts), labels).collect()}
+    found = {kind: np.mean([got[len(toxic) + 50 * n + i] for i in range(50)]) for n, kind in enumerate(kinds)}
+    assert found.pop("clean") <= 0.04
+    assert min(found.values()) >= 0.8, found
+
+
 def test_near_duplicates(spark):
     rnd = random.Random(5)
     vocabulary = ["w%d" % i for i in range(3000)]
