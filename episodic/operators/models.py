@@ -71,7 +71,7 @@ def permuted(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
     return a.join(b, "__i").withColumn(column, F.col("__v")).drop("__i", "__v")
 
 
-def clusters(df: DataFrame, k: int, rank_by: str, seeds: range = range(3)) -> DataFrame:
+def clusters(df: DataFrame, k: int, rank_by: str, seeds: range = range(20)) -> DataFrame:
     """df(features, ...) with cluster: the cheapest of some starts, numbered by the median of a column."""
     best = min((KMeans(k=k, seed=s, maxIter=20).fit(df) for s in seeds), key=lambda m: m.summary.trainingCost)
     placed = best.transform(df)

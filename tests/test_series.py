@@ -88,3 +88,14 @@ def test_prefix_sum_matches_window(spark):
     d = spark.range(500).select((F.col("id") * 37 % 101).alias("k"), "id", F.lit(1).alias("one"))
     got = W.prefix_sum(d, ["k", "id"], "one", slices=8).orderBy("k", "id").collect()
     assert [r.running for r in got] == list(range(1, 501))
+
+
+def test_lead_times_at_any_date(spark):
+    from episodic.plans import forecasts
+
+    start = datetime(2031, 5, 1)
+    rows = [(s, start + timedelta(hours=i), 0.0, 1.0, 70.0 if i % 150 < 3 else float(i * 13 % 50), 1.0, 0.0) for s in (0, 1) for i in range(600)]
+    readings = spark.createDataFrame(rows, "series_id long, ts timestamp_ntz, target double, sal double, lvl double, temp double, precip double")
+    got = forecasts.lead_time_skill(readings).collect()
+    assert sorted(r.lead_h for r in got) == [6, 12, 24, 48, 72]
+    assert all(0 <= r.auc <= 1 for r in got)
