@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,9 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 #: Tables below this row count may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 20_000
 
+#: Removes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,10 +41,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder: the session's spark.checkpoint.dir; only where that is unset (local tests) a temporary one is made."""
+    """The cluster's shared checkpoint folder, from the session's spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves in local mode only; on a cluster the setting is asked for.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -53,14 +63,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again; for large tables.
 
-    The shuffle files of what came before are of no use then; a collection of the driver's garbage lets
-    Spark's cleaner remove them, so that steps don't add up on disk.
+    Spark removes the write's own shuffle files at its end, so that steps don't add up on disk.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    out._stored_at = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete the folders of steps that stored gave and nothing reads any more."""
+    for df in steps:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until none of the columns is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
     return out
 
 
@@ -72,7 +103,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 class WordHash(dict):
     """64-bit hashes of byte strings, remembered for up to limit of them."""
 
-    limit = 1_000_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
