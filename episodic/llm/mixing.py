@@ -11,8 +11,10 @@ Running sums are two-level (sums per bucket of the shuffled order, then inside t
 with a third of all rows is spread over many tasks. Only the sums per source and per bucket, whose
 number does not grow with the documents, are ordered in one task.
 
-Null sources form one source, ordered last; null texts have size 0 and are never taken. Ties of id are
-broken by the text's hash and then don't matter. An empty table gives an empty result.
+Null sources form one source, ordered last; null texts have size 0 and are never taken; null ids are
+shuffled like others. Ties of id are broken by a hash of id, source and text; rows equal in these are
+interchangeable and share what is taken of them. Texts of any length are counted whole. An empty table
+gives an empty result; extra columns are passed on by repeated() and not looked at by mixed().
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, checkpointed, small
+from .common import NOT_SPACE, checkpointed, small, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -33,6 +35,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACE + "+")), F.lit(0)).cast("long")
 
 
+def tie(text: Column) -> Column:
+    return F.xxhash64("doc_id", "source", text)
+
+
 def targets(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(source, source_size, target) of rows (source, size).
 
@@ -58,7 +64,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -
 def mixed(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for each row of docs(doc_id, text, source)."""
     order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")).withColumn("order", order)
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), tie(F.col("text")).alias("tie")).withColumn("order", order)
     sized = checkpointed(sized.withColumn("slice", F.conv(F.substring("order", 1, 3), 16, 10).cast("int")))
     goal = checkpointed(targets(sized, weights, max_repeats)).withColumnRenamed("source", "g_source")
     slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("in_slice"))
@@ -69,7 +75,6 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> D
     d = d.join(small(slices), d.source.eqNullSafe(F.col("s_source")) & (d.slice == F.col("s_slice")))
     d = d.join(small(goal), d.source.eqNullSafe(F.col("g_source")))
     d = d.withColumn("cum", F.col("cum") + F.col("base")).drop("s_source", "s_slice", "g_source", "base")
-    d = d.withColumn("row", F.xxhash64("order", "doc_id", "tie", "cum", "source"))
     copies = d.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
     copies = copies.withColumn("finish", (F.col("cum") + F.col("pass") * F.col("source_size")) / F.col("target"))
     copies = copies.withColumn("tick", F.floor(F.col("finish") * TICKS).cast("long"))
@@ -81,6 +86,19 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> D
     copies = copies.join(small(ticks), copies.tick == F.col("t_tick"))
     within = Window.partitionBy("tick").orderBy("finish", "order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     taken = copies.withColumn("spent", F.sum("size").over(within) + F.col("so_far")).where("spent <= budget")
-    taken = taken.groupBy(F.col("row").alias("t_row")).agg(F.count(F.lit(1)).alias("copies"))
-    d = d.join(taken, d.row == taken.t_row, "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+    # running sums of rows with words differ inside a source, so they tell its rows apart
+    taken = taken.groupBy(F.col("source").alias("t_source"), F.col("cum").alias("t_cum")).agg(F.count(F.lit(1)).alias("copies"))
+    d = d.join(taken, d.source.eqNullSafe(F.col("t_source")) & (d.cum == F.col("t_cum")) & (d.size > 0), "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
     return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "tie")
+
+
+def repeated(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """Rows of docs, each as often as the mix takes it; of rows equal in id, source and text the first ones get what is left over of equal shares."""
+    one, two, all_, many, place, copy = unused(docs.columns, "id_key", "tie_key", "all_copies", "rows_alike", "place", "copy")
+    zero = F.lit(0).cast("long")
+    shares = mixed(docs, weights, max_repeats).groupBy(F.coalesce(F.col("doc_id").cast("long"), zero).alias(one), F.col("tie").alias(two))
+    shares = shares.agg(F.sum("copies").alias(all_), F.count(F.lit(1)).alias(many)).where(F.col(all_) > 0)
+    keyed = docs.withColumns({one: F.coalesce(F.col("doc_id").cast("long"), zero), two: tie(F.col("text"))})
+    d = keyed.join(shares, [one, two]).withColumn(place, F.row_number().over(Window.partitionBy(one, two).orderBy(one)))
+    times = F.floor(F.col(all_) / F.col(many)) + (F.col(place) <= F.col(all_) % F.col(many)).cast("long")
+    return d.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)

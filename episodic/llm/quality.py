@@ -7,9 +7,12 @@ is rejected that lies far beyond the quartiles of its own stratum. A stratum wit
 the merged sketch of its language, a small language that of the corpus. Thresholds are joined back to
 the documents; nothing is fixed in advance but how far beyond the quartiles is too far.
 
+Rows are measured once; their measures are stored, sketched and judged from there.
+
 Nulls: a null text is an empty one and fails the base rules; null lang or source is a stratum of its
-own. Repeated rows are judged each. Extra columns stay, unless they bear the name of a result column,
-which replaces them. An empty table gives an empty result.
+own. Very long texts are measured whole. Repeated rows are judged each; a measure that ties with its
+threshold is kept. Extra columns stay, unless they bear the name of a result column, which replaces
+them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, checkpointed, small, words_of
+from .common import NOT_SPACE, SPACE, checkpointed, small, stored, unused, words_of
 
 MIN_WORDS = 50
 #: Rows a stratum needs for thresholds of its own.
@@ -59,24 +62,25 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     of_words = let(words_of(t), lambda w: F.struct(F.size(w).alias("n"), covered_by_repeats(w).alias("repeated")))
     of_lines = let(F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE)), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("different")))
-    d = df.drop(*BASE, *MEASURES).withColumns({"__w": of_words, "__l": of_lines})
+    w, l, n = unused(df.columns, "of_words", "of_lines", "n_lines")
+    d = df.drop(*BASE, *MEASURES).withColumns({w: of_words, l: of_lines})
     d = d.withColumns({
-        "n_words": F.col("__w.n").cast("long"),
+        "n_words": F.col(w)["n"].cast("long"),
         "word_chars": F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_dup_lines": (F.col("__l.n") - F.col("__l.different")).cast("long"),
-        "n_repeat_words": F.col("__w.repeated").cast("long"),
-        "__n_lines": F.col("__l.n"),
+        "n_dup_lines": (F.col(l)["n"] - F.col(l)["different"]).cast("long"),
+        "n_repeat_words": F.col(w)["repeated"].cast("long"),
+        n: F.col(l)["n"],
     })
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     per_mille = lambda a, b: F.floor(1000 * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long")
     d = d.withColumns({
         "symbol_pm": per_mille("n_symbols", "word_chars"),
-        "dup_line_pm": per_mille("n_dup_lines", "__n_lines"),
+        "dup_line_pm": per_mille("n_dup_lines", n),
         "repeat_pm": per_mille("n_repeat_words", "n_words"),
         "word_len_pm": per_mille("word_chars", "n_words"),
     })
-    return d.drop("__w", "__l", "__n_lines")
+    return d.drop(w, l, n)
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -110,14 +114,17 @@ def thresholds(strata: DataFrame) -> DataFrame:
 
 def judge(measured: DataFrame, fence: DataFrame) -> DataFrame:
     """measured with kept: false if a base rule or a threshold of its stratum is broken."""
+    lang, source, box = unused(measured.columns, "t_lang", "t_source", "fence")
+    fence = fence.withColumnsRenamed({"t_lang": lang, "t_source": source, "fence": box})
     within = F.lit(True)
     for m in MEASURES:
-        within = within & F.col(m).between(F.col(f"fence.{m}_low"), F.col(f"fence.{m}_high"))
-    joined = measured.drop("kept").join(small(fence), F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    return joined.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(within, F.lit(False)))).drop("t_lang", "t_source", "fence")
+        within = within & F.col(m).between(F.col(box)[f"{m}_low"], F.col(box)[f"{m}_high"])
+    joined = measured.drop("kept").join(small(fence), F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source)), "left")
+    return joined.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(within, F.lit(False)))).drop(lang, source, box)
 
 
-def quality_filter(docs: DataFrame) -> DataFrame:
-    """docs with the base columns, the measures and kept."""
+def quality_filter(docs: DataFrame, text: bool = True) -> DataFrame:
+    """docs (without the text, if that is not wanted) with the base columns, the measures and kept."""
     measured = with_measures(docs)
+    measured = stored(measured if text else measured.drop("text"))
     return judge(measured, thresholds(checkpointed(sketches(measured))))

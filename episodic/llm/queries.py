@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.quality_filter(table(spark, sf_dir, "documents"))
+    judged = quality.quality_filter(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), text=False)
     return judged.select("doc_id", *quality.BASE, "kept")
 
 

@@ -6,14 +6,17 @@ whose anchor gram occurs more than once can hold a repeat:
 
 1. grams of runs are listed with their document and counted with partial sums, single ones dropped;
 2. runs at the remaining grams are cut from their documents; equal ones become one content with its
-   count and first occurrence (copies end here, before anything is compared), a task sends a content's
-   tokens once, and what recurs inside a document (text with a period) is settled there;
-3. contents are dealt by gram, read in sorted order and compared in chunks of bounded size by the
-   operator's matcher; a gram with more than HOT runs is not compared in one task, but window by window
-   with partial sums over window hashes;
-4. repeated windows come back as ranges per document.
+   count and first occurrence (a combine before the shuffle: a task sends a content's tokens once);
+3. contents are dealt by gram, read in sorted order and judged in chunks of bounded size by the
+   operator's matcher, which knows a content's count: all repeats, those of copies and those inside a
+   document too, are the matcher's;
+4. a gram with more than HOT contents is not one group: its windows are dealt by longer prefixes (half a
+   window, then a whole one, where a group is one content), and judged like the others;
+5. what the matcher found comes back as ranges per document: of the first occurrence of a content directly,
+   of its further ones by a join on the content's hash.
 
 No pair of documents, no list of a gram's members and no group is ever held whole; chunks are bounded.
+Documents are known by their id and a 64-bit hash of id and text, contents by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,16 +29,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import checkpointed, discard, small, stored
 
 HOT = 20_000
-#: Tokens compared at once, and tokens of a document looked at at once.
+#: Tokens judged at once; tokens of documents looked at at once, and of one document.
 CHUNK = 1_000_000
+BATCH = 300_000
 SEGMENT = 4_000_000
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
-#: (batch of contents as token arrays, count of each, its first occurrence (document, start), anchor's place in it) -> per content the starts of repeated windows of its first occurrence
-Matcher = Callable[[list[np.ndarray], np.ndarray, list[tuple[int, int]], np.ndarray], list[np.ndarray]]
+#: Places in contents: which content, and the start of a window in it.
+Places = tuple[np.ndarray, np.ndarray]
+#: (contents as token arrays, count of each, its first occurrence as rows (document, row, start), anchor's place in it)
+#: -> windows that are repeats in the first occurrence of their content, and those that are in further ones
+Matcher = Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray], tuple[Places, Places]]
+
+_PIECES = "gram long, content binary, h1 long, h2 long, ord long, rid long, starts array<int>, n int, off int, times long"
 
 
 def gram_hashes(tokens: np.ndarray, m: int) -> np.ndarray:
@@ -54,94 +63,81 @@ def gram_hashes(tokens: np.ndarray, m: int) -> np.ndarray:
     return h * _A[2]
 
 
-def runs(tokens: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, anchor and anchor gram of each run of windows with one anchor."""
-    parts = []
-    for at in range(0, max(len(tokens) - k + 1, 0), SEGMENT):
-        part = tokens[at : at + SEGMENT + k - 1]
-        gram = gram_hashes(part, m)
+def runs(texts: list[np.ndarray], k: int, m: int) -> tuple[np.ndarray, ...]:
+    """Document, first window, number of windows, anchor and anchor gram of each run of windows with one anchor.
+
+    Documents are looked at many at a time; a very long one in overlapping parts.
+    """
+    parts = [(i, at, t[at : at + SEGMENT + k - 1]) for i, t in enumerate(texts) for at in range(0, len(t) - k + 1, SEGMENT)]
+    out, held, size = [], [], 0
+    for i, part in enumerate(parts):
+        held.append(part)
+        size += len(part[2])
+        if size < BATCH and i + 1 < len(parts):
+            continue
+        length = np.array([len(x[2]) for x in held])
+        end = np.cumsum(length)
+        owner = np.repeat(np.arange(len(held)), length)
+        gram = gram_hashes(np.concatenate([x[2] for x in held]), m)
         low = (gram >> np.uint64(24) << np.uint64(24)) | np.arange(len(gram), dtype=np.uint64)
         width, most = 1, k - m + 1
         while width < most:
             step = min(width, most - width)
             low = np.minimum(low[:-step], low[step:])
             width += step
-        anchor = (low & np.uint64(0xFFFFFF)).astype(np.int64)
+        window = np.nonzero(np.arange(size - k + 1) + k <= end[owner[: size - k + 1]])[0]  # windows don't cross documents
+        anchor = (low[window] & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.nonzero(np.append(True, anchor[1:] != anchor[:-1]))[0]
-        parts.append((first + at, np.diff(np.append(first, len(anchor))), anchor[first] + at, gram[anchor[first]].view(np.int64)))
-    if not parts:
-        return (np.empty(0, np.int64),) * 4
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        who = owner[window[first]]
+        shift = np.array([x[1] for x in held])[who] - (end - length)[who]
+        out.append((np.array([x[0] for x in held])[who], window[first] + shift, np.diff(np.append(first, len(anchor))), anchor[first] + shift, gram[anchor[first]].view(np.int64)))
+        held, size = [], 0
+    if not out:
+        return (np.empty(0, np.int64),) * 5
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def ranges(starts: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Maximal runs of consecutive starts, as (first, one after the last)."""
-    if len(starts):
-        cut = np.nonzero(np.diff(starts) > 1)[0] + 1
-        for part in np.split(starts, cut):
-            yield int(part[0]), int(part[-1]) + 1
+def ranges(who: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of consecutive places, given in any order: owner, first, one after the last."""
+    by = np.lexsort((at, who))
+    who, at = who[by], at[by]
+    first = np.nonzero(np.append(True, (who[1:] != who[:-1]) | (at[1:] - at[:-1] > 1)))[0] if len(who) else by
+    last = np.append(first[1:], len(who)) - 1 if len(who) else by
+    return who[first], at[first], at[last] + 1
 
 
 #: A text's tokens, and the bytes of its tokens from one place to another.
 Parse = Callable[[str], tuple[np.ndarray, Callable[[int, int], bytes]]]
 
 
-def repeated_windows(keyed: DataFrame, parse: Parse, unpack: Callable[[bytes], np.ndarray], k: int, m: int, match: Matcher, first_stays: bool, hot: int = HOT) -> DataFrame:
-    """(rid, spans) of keyed(rid, ord, text): per document with repeats, the ranges of window starts that are repeats.
+def halves(hashed: int) -> tuple[int, int]:
+    return hashed % (1 << 64) - (1 << 63), (hashed >> 64) - (1 << 63)
 
-    first_stays: the first occurrence of a window, in order of (ord, start), is no repeat. rid is unique;
-    unpack gives the tokens of what parse cut.
-    """
-
-    def list_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [np.unique(runs(parse(text)[0], k, m)[3], return_counts=True) for text in batch["text"]]
-            rid = np.repeat(batch["rid"].to_numpy(), [len(g) for g, _ in found])
-            grams, times = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (rid, rid)
-            yield pd.DataFrame({"rid": rid, "gram": grams, "times": times})
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sent: set[int] = set()  # contents this task has given already
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                out = []
-                for rid, order, text, grams, often in batch.iloc[i : i + 256][["rid", "ord", "text", "grams", "often"]].itertuples(index=False):
-                    tokens, piece = parse(text)
-                    times = dict(zip(grams.tolist(), often.tolist(), strict=True))
-                    here: dict[int, list] = {}
-                    again: list[int] = []  # windows of contents met before in this document
-                    for start, n, anchor, gram in zip(*(x.tolist() for x in runs(tokens, k, m)), strict=True):
-                        if gram in times:
-                            content = piece(start, start + n + k - 1)
-                            h = xxhash.xxh3_128_intdigest(content, anchor - start)
-                            if h in here:
-                                here[h][-1] += 1
-                                again.extend(range(start, start + n))
-                            else:
-                                here[h] = [gram, None if h in sent else content, h % (1 << 64) - (1 << 63), (h >> 64) - (1 << 63), rid, order, start, n, anchor - start, times[gram], 1]
-                                sent.add(h)
-                    out.extend(here.values())
-                    out.extend((0, None, 0, 0, rid, order, a, b - a, 0, 0, 0) for a, b in ranges(np.unique(np.array(again, np.int64))))
-                if len(sent) > 500_000:
-                    sent.clear()
-                # times 0: settled here. No nulls among numbers, which pandas would keep as rounded floats
-                yield pd.DataFrame(out, columns=["gram", "content", "h1", "h2", "rid", "ord", "start", "n", "off", "often", "times"])
+def judged(pieces: DataFrame, unpack: Callable[[bytes], np.ndarray], slice_: Callable[[bytes, int], list[bytes]], k: int, match: Matcher, hot: int, prefixes: tuple[int, ...]) -> DataFrame:
+    """(ord, rid, a, b): ranges of window starts that are repeats, of the occurrences in pieces; prefixes: the lengths by which hot groups are dealt."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
-        group: list = []  # of one gram; a single content has nothing to be compared with
+        group: list = []  # of one gram; a single content that occurs once has nothing to be compared with
         size = 0
 
         def flush() -> pd.DataFrame:
-            contents = [unpack(x[1]) for x in held]
-            found = match(contents, np.array([x[2] for x in held], np.int64), [(x[3], x[5]) for x in held], np.array([x[6] for x in held], np.int64))
-            rows = [(x[4], x[5] + a, x[5] + b) for x, starts in zip(held, found, strict=True) for a, b in ranges(starts)]
-            return pd.DataFrame(rows, columns=["rid", "a", "b"]).astype("int64")
+            columns = [np.array(x) for x in zip(*(r[2:] for r in held), strict=True)]  # cnt, ord, rid, start, off, h1, h2
+            first = np.stack(columns[1:4], 1)
+            parts = []
+            for later, places in enumerate(match([unpack(r[1]) for r in held], columns[0], first, columns[4])):
+                c, a, b = ranges(*places)
+                if later:
+                    c, a, b = (x[columns[0][c] > 1] for x in (c, a, b))
+                shift = 0 if later else first[c, 2]
+                parts.append(pd.DataFrame({"later": bool(later), "h1": columns[5][c], "h2": columns[6][c], "ord": first[c, 0], "rid": first[c, 1], "start": first[c, 2], "a": a + shift, "b": b + shift}))
+            return pd.concat(parts, ignore_index=True)
 
         for batch in batches:
-            for row in batch[["gram", "content", "cnt", "f_ord", "f_rid", "f_start", "off"]].itertuples(index=False, name=None):
+            for row in batch[["gram", "content", "cnt", "f_ord", "f_rid", "f_start", "off", "h1", "h2"]].itertuples(index=False, name=None):
                 if group and row[0] != group[-1][0]:
-                    if len(group) > 1:
+                    if len(group) > 1 or group[0][2] > 1:
                         held += group
                         size += sum(len(x[1]) for x in group)
                     group = []
@@ -149,51 +145,95 @@ def repeated_windows(keyed: DataFrame, parse: Parse, unpack: Callable[[bytes], n
                         yield flush()
                         held, size = [], 0
                 group.append(row)
-        if len(group) > 1:
+        if len(group) > 1 or group and group[0][2] > 1:
             held += group
         if held:
             yield flush()
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lengthened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each window as a piece of its own, dealt by its first tokens."""
         for batch in batches:
             out = []
             for content, cnt, order, rid, start in batch[["content", "cnt", "f_ord", "f_rid", "f_start"]].itertuples(index=False, name=None):
-                tokens = unpack(content)
-                for w in range(len(tokens) - k + 1):
-                    h = xxhash.xxh3_128_intdigest(tokens[w : w + k].tobytes())
-                    out.append((h % (1 << 64) - (1 << 63), (h >> 64) - (1 << 63), cnt, order, rid, start + w))
-            yield pd.DataFrame(out, columns=["w1", "w2", "cnt", "ord", "rid", "start"])
-
-    texts = keyed.select("rid", "ord", "text")
-    listed = keyed.select("rid", "text").mapInPandas(list_grams, "rid long, gram long, times long")
-    often = listed.groupBy("gram").agg(F.sum("times").alias("often")).where("often > 1")
-    wanted = listed.join(often, "gram")
-    wanted = stored(wanted.groupBy("rid").agg(F.collect_list("gram").alias("grams"), F.collect_list("often").alias("often")))
-    pieces = stored(texts.join(wanted, "rid").mapInPandas(cut, "gram long, content binary, h1 long, h2 long, rid long, ord long, start int, n int, off int, often long, times long"))
-    again = pieces.where("times = 0").select("rid", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
-    pieces = pieces.where("times > 0").withColumn("at", F.struct("ord", "rid", "start"))
-    contents = pieces.groupBy("gram", "h1", "h2").agg(F.sum("times").alias("cnt"), F.min("at").alias("lead"), F.first("content", ignorenulls=True).alias("content"), F.first("off").alias("off"), F.first("often").alias("often"))
-    contents = stored(contents.select("gram", "h1", "h2", "content", "off", "cnt", "often", "lead", F.col("lead.ord").alias("f_ord"), F.col("lead.rid").alias("f_rid"), F.col("lead.start").alias("f_start")))
-    cold = contents.where(F.col("often") <= hot).repartition("gram").sortWithinPartitions("gram", "h1")
-    once = cold.mapInPandas(compare, "rid long, a int, b int")
-    # windows of hot grams: sums over window hashes, then back to the first occurrences
-    wide = contents.where(F.col("often") > hot).mapInPandas(windows, "w1 long, w2 long, cnt long, ord long, rid long, start int")
-    total = wide.groupBy("w1", "w2").agg(F.sum("cnt").alias("total"), F.min(F.struct("ord", "rid", "start")).alias("lead"))
-    back = wide.join(total, ["w1", "w2"])
-    back = back.where(F.struct("ord", "rid", "start") > F.col("lead")) if first_stays else back.where("total > 1")
-    once = once.unionByName(back.select("rid", F.col("start").alias("a"), (F.col("start") + 1).alias("b")))
-    # further occurrences of a content are repeats as a whole; so is the first, unless it stays
-    many = contents.where("cnt > 1").select("h1", "h2", "lead")
-    whole = pieces.select("h1", "h2", "rid", "start", "n", "at").join(many, ["h1", "h2"])
-    whole = whole.where(F.col("at") > F.col("lead")) if first_stays else whole
-    found = once.unionByName(again).unionByName(whole.select("rid", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
-    return stored(found.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-
-
-def keyed_rows(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with rid (of the row's id and text), ord (the id, nulls last) and text never null."""
-    d = df.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("rid", F.xxhash64("doc_id", "__t"))
-    return d.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).drop(text).withColumnRenamed("__t", "text")
+                for w, (window, prefix) in enumerate(zip(slice_(content, k), slice_(content, prefixes[0]), strict=False)):
+                    out.append((xxhash.xxh3_64_intdigest(prefix) - (1 << 63), window, *halves(xxhash.xxh3_128_intdigest(window)), order, rid, [start + w], 1, 0, cnt))
+            yield pd.DataFrame(out, columns=["gram", "content", "h1", "h2", "ord", "rid", "starts", "n", "off", "times"])
+
+    lead = F.struct("ord", "rid", F.col("starts")[0].alias("start"))
+    contents = pieces.groupBy("gram", "h1", "h2").agg(F.sum("times").alias("cnt"), F.min(lead).alias("lead"), F.first("content", ignorenulls=True).alias("content"), F.first("off").alias("off"), F.first("n").alias("n"))
+    contents = stored(contents.select("gram", "h1", "h2", "content", "off", "n", "cnt", F.col("lead.ord").alias("f_ord"), F.col("lead.rid").alias("f_rid"), F.col("lead.start").alias("f_start")))
+    over = checkpointed(contents.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot).select("gram"))
+    split = bool(prefixes) and not over.isEmpty()
+    whole = contents.join(small(over), "gram", "left_anti") if split else contents
+    dealt = whole.repartition("gram").sortWithinPartitions("gram", "h1")
+    found = stored(dealt.mapInPandas(compare, "later boolean, h1 long, h2 long, ord long, rid long, start int, a int, b int"))
+    out = found.where("NOT later").select("ord", "rid", "a", "b")
+    later = found.where("later").drop("later")
+    if split:
+        rest = contents.join(small(over), "gram", "left_semi")
+        out = out.unionByName(judged(stored(rest.mapInPandas(lengthened, _PIECES)), unpack, slice_, k, match, hot, prefixes[1:]))
+        # each window of a content that occurs more than once is a repeat in its further occurrences
+        later = later.unionByName(rest.where("cnt > 1").selectExpr("h1", "h2", "f_ord AS ord", "f_rid AS rid", "f_start AS start", "0 AS a", "n AS b"))
+    later = later.withColumnsRenamed({"ord": "f_ord", "rid": "f_rid", "start": "f_start"})
+    places = pieces.select("h1", "h2", "ord", "rid", F.col("starts")).join(later, ["h1", "h2"])
+    places = places.select("ord", "rid", "f_ord", "f_rid", "f_start", "a", "b", F.explode("starts").alias("start")).where("NOT (ord = f_ord AND rid = f_rid AND start = f_start)")
+    return out.unionByName(places.selectExpr("ord", "rid", "start + a AS a", "start + b AS b"))
+
+
+def repeated_windows(keyed: DataFrame, parse: Parse, unpack: Callable[[bytes], np.ndarray], slice_: Callable[[bytes, int], list[bytes]], k: int, m: int, match: Matcher, hot: int = HOT) -> DataFrame:
+    """(ord, rid, spans) of keyed(ord, rid, text): per document with repeats, the ranges of window starts that are repeats by match.
+
+    unpack gives the tokens of what parse cut, slice_ all its slices of so many tokens.
+    """
+
+    def list_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.iloc[i : i + 256]
+                who, _, _, _, gram = runs([parse(text)[0] for text in part["text"]], k, m)
+                by = np.lexsort((gram, who))
+                who, gram = who[by], gram[by]
+                first = np.nonzero(np.append(True, (who[1:] != who[:-1]) | (gram[1:] != gram[:-1])))[0] if len(who) else by
+                yield pd.DataFrame({"ord": part["ord"].to_numpy()[who[first]], "rid": part["rid"].to_numpy()[who[first]], "gram": gram[first], "times": np.diff(np.append(first, len(who)))})
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent: set[int] = set()  # contents this task has given already
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.iloc[i : i + 256]
+                parsed = [parse(text) for text in part["text"]]
+                found = runs([p[0] for p in parsed], k, m)
+                frequent = np.isin(found[4], np.unique(np.concatenate(part["grams"].to_list())))  # a gram is frequent everywhere
+                here: dict[tuple[int, int], list] = {}
+                order, rid = part["ord"].tolist(), part["rid"].tolist()
+                for who, start, n, anchor, gram in zip(*(x[frequent].tolist() for x in found), strict=True):
+                    content = parsed[who][1](start, start + n + k - 1)
+                    h = xxhash.xxh3_128_intdigest(content, anchor - start)
+                    if (at := here.get((who, h))) is not None:
+                        at[6].append(start)
+                        at[9] += 1
+                    else:
+                        here[who, h] = [gram, None if h in sent else content, *halves(h), order[who], rid[who], [start], n, anchor - start, 1]
+                        sent.add(h)
+                if len(sent) > 200_000:
+                    sent.clear()
+                yield pd.DataFrame(list(here.values()), columns=["gram", "content", "h1", "h2", "ord", "rid", "starts", "n", "off", "times"])
+
+    texts = keyed.select("ord", "rid", "text")
+    listed = stored(texts.mapInPandas(list_grams, "ord long, rid long, gram long, times long"))
+    often = listed.groupBy("gram").agg(F.sum("times").alias("often")).where("often > 1").select("gram")
+    wanted = stored(listed.join(often, "gram").groupBy("ord", "rid").agg(F.collect_list("gram").alias("grams")))
+    discard(listed)
+    pieces = stored(texts.join(wanted, ["ord", "rid"]).mapInPandas(cut, _PIECES))
+    discard(wanted)
+    found = judged(pieces, unpack, slice_, k, match, hot, (k // 2, k))
+    return stored(found.groupBy("ord", "rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+
+
+def keyed_rows(df: DataFrame, text: str, order: str, rid: str) -> DataFrame:
+    """df with text never null, order (the id, nulls last) and rid (a hash of the id and the text)."""
+    d = df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return d.withColumns({order: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), rid: F.xxhash64("doc_id", text)})
 
 
 def covered(spans, k: int, n: int) -> np.ndarray:

@@ -13,8 +13,13 @@ of 8, aligned at its anchor, so equal windows have equal blocks; the suffix arra
 suffixes that share the blocks of a whole window stand together in it. The window's loose bytes
 before and after its blocks (8 together) are then compared exactly.
 
-Null texts are empty; texts shorter than the window keep all bytes. Matches never cross documents.
-Rows with equal id and text are judged as copies of one another. An empty table gives an empty result.
+A content that has copies counts as often as it occurs, so its windows are repeats wherever they stand
+in the array.
+
+Null texts are empty; texts shorter than the window keep all bytes; texts of any length are read whole.
+Matches never cross documents. Null ids and rows with equal ids are documents like others; rows with
+equal id and text are judged as copies of one another. An empty table gives an empty result; extra
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,9 +30,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .repeats import HOT, covered, keyed_rows, repeated_windows
+from .repeats import HOT, Places, covered, keyed_rows, repeated_windows
 
 K = 200
 M = 64
@@ -95,11 +99,8 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return np.array(out[1:], np.int64)
 
 
-def match_bytes(contents: list[np.ndarray], count: np.ndarray, first: list[tuple[int, int]], anchor: np.ndarray) -> list[np.ndarray]:
-    """Per content, the starts of windows of K bytes that some other content or another place of it has too.
-
-    Windows of a content that occurs more than once as a whole are left to the caller.
-    """
+def match_bytes(contents: list[np.ndarray], count: np.ndarray, first: np.ndarray, anchor: np.ndarray) -> tuple[Places, Places]:
+    """Windows of K bytes that some other content, another place or a copy of it has too; the same for first and further occurrences."""
     full = (K - BLOCK + 1) // BLOCK  # blocks that every window holds
     length = np.array([len(c) for c in contents])
     pad = np.zeros(K + 2 * BLOCK, np.uint8)
@@ -127,10 +128,10 @@ def match_bytes(contents: list[np.ndarray], count: np.ndarray, first: list[tuple
     for i in range(full):
         same &= padded[order[:-1] + i] == padded[order[1:] + i]
     together = np.cumsum(np.append(True, ~same))
-    shared = np.append(same, False) | np.append(False, same)
+    shared = np.append(same, False) | np.append(False, same) | (room[order] & (count[owner[order]] > 1))
     suffix, together = order[shared], together[shared]
     who, at = owner[suffix], where[suffix]
-    found: list[list[np.ndarray]] = [[] for _ in contents]
+    found: list[Places] = []
     for r in range(BLOCK):
         start = at - r
         fits = (start >= begin[who]) & (start + K <= begin[who] + length[who])
@@ -143,10 +144,10 @@ def match_bytes(contents: list[np.ndarray], count: np.ndarray, first: list[tuple
             continue
         by = np.lexsort((loose, group))
         equal = (loose[by][1:] == loose[by][:-1]) & (group[by][1:] == group[by][:-1])
-        twice = by[np.append(equal, False) | np.append(False, equal)]
-        for x, y in zip(c[twice].tolist(), (w[twice] - begin[c[twice]]).tolist(), strict=True):
-            found[x].append(y)
-    return [np.unique(np.array(x, np.int64)) for x in found]
+        twice = by[np.append(equal, False) | np.append(False, equal) | (count[c][by] > 1)]
+        found.append((c[twice], w[twice] - begin[c[twice]]))
+    places = tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    return places, places
 
 
 def bytes_of(text: str) -> np.ndarray:
@@ -157,6 +158,10 @@ def unpack_bytes(content: bytes) -> np.ndarray:
     return np.frombuffer(content, np.uint8)
 
 
+def byte_slices(content: bytes, n: int) -> list[bytes]:
+    return [content[i : i + n] for i in range(len(content) - n + 1)]
+
+
 def parse_bytes(text: str):
     data = bytes_of(text)
     return data, lambda a, b: data[a:b].tobytes()
@@ -164,8 +169,8 @@ def parse_bytes(text: str):
 
 def removed_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, kept (binary), spans (array of removed byte ranges a to b) of each row of docs(doc_id, text)."""
-    rows = keyed_rows(docs.select("doc_id", "text"))
-    found = repeated_windows(rows, parse_bytes, unpack_bytes, K, M, match_bytes, first_stays=False, hot=hot)
+    rows = keyed_rows(docs.select("doc_id", "text"), "text", "ord", "rid")
+    found = repeated_windows(rows, parse_bytes, unpack_bytes, byte_slices, K, M, match_bytes, hot=hot)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -179,4 +184,4 @@ def removed_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
             frame = pd.DataFrame([x[1:] for x in out], columns=["n_bytes", "spans", "kept"])
             yield frame.assign(doc_id=batch["doc_id"].astype("Int64").array)[["doc_id", "n_bytes", "spans", "kept"]]
 
-    return rows.select("rid", "doc_id", "text").join(found, "rid", "left").mapInPandas(cut, "doc_id long, n_bytes long, spans array<struct<a: int, b: int>>, kept binary")
+    return rows.join(found, ["ord", "rid"], "left").select("doc_id", "text", "spans").mapInPandas(cut, "doc_id long, n_bytes long, spans array<struct<a: int, b: int>>, kept binary")
