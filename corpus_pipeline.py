@@ -23,28 +23,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts fail the base rules and go; null ids, langs and sources are judged like others, repeated rows each."""
     return quality.quality_filter(docs).where("kept").select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows equal in id and text one stays, too."""
-    kept = lsh_forest.near_duplicates(docs, n=5, threshold=80).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of rows equal in id and text one stays, too; null ids and texts without words stay, as nothing links them; one id may have several texts."""
+    key, kept = "text_hash", lsh_forest.near_duplicates(docs, n=5, threshold=80).where("kept AND doc_id IS NOT NULL").select("doc_id", "text_hash").distinct()
+    known = docs.select(*COLUMNS).where("doc_id IS NOT NULL").withColumn(key, F.xxhash64("text"))
+    known = known.join(kept, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return known.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts keep their layout where nothing is removed; documents of which nothing is left go."""
-    done = suffix_tree.removed_words(docs.withColumn("__was", F.col("text")))
-    text = F.when(F.col("n_removed") == 0, F.col("__was")).otherwise(F.col("text"))
-    return done.withColumn("text", text).where("n_words > n_removed OR n_words = 0").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Texts keep their layout where nothing is removed; documents of which nothing is left go; null and empty texts, null ids and repeated rows stay."""
+    done = suffix_tree.removed_words(docs.select(*COLUMNS), layout=True)
+    return done.where("n_words > n_removed OR n_words = 0").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mixed(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(taken, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
+    """A document comes as often as the mix takes it; null sources are one source, null ids are mixed like others, texts without words are never taken."""
+    return mixing.repeated(docs.select(*COLUMNS))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids, decoded of every row; null texts are empty, nulls elsewhere and repeated rows stay."""
     return bpe.encode_decode(docs.select("doc_id", "source", "text"), tokenizer_path())
 
 
