@@ -8,7 +8,9 @@ time: each batch is a table of trees of one size, and one step does the next mer
 Words already met by a worker are remembered, up to CACHE of them.
 
 Null texts are empty ones; an empty text has no ids and an empty decoded text. Rows are independent,
-so repeated rows, ties and extra columns pass through; result columns replace others of the same name.
+so repeated rows, ties, null ids and extra columns pass through; result columns replace others of the same
+name. Texts are encoded whole; a very long word takes time in proportion to its length. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 CACHE = 600_000
 FAR = np.iinfo(np.int64).max
 
@@ -177,17 +181,18 @@ def encode_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     path: a tokenizer file that every executor has.
     """
     kept = [c for c in df.columns if c not in (text, "n_tokens", "ids", "decoded")]
+    (own,) = unused(kept, "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer(path)
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.iloc[i : i + 500]
-                texts = [t if isinstance(t, str) else "" for t in part["__text"]]
+                texts = [t if isinstance(t, str) else "" for t in part[own]]
                 ids, shown = bpe.encode_batch(texts)
-                out = part.drop(columns="__text")
+                out = part.drop(columns=own)
                 yield out.assign(n_tokens=[len(x) // 4 for x in ids], ids=ids, decoded=shown)
 
-    source = df.select(*kept, F.col(text).cast("string").alias("__text"))
+    source = df.select(*kept, F.col(text).cast("string").alias(own))
     fields = [*source.select(*kept).schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
     return source.mapInPandas(run, T.StructType(fields))

@@ -9,8 +9,10 @@ labels of their own.
 
 Score: 1 for a well-formed expression of known identifiers, 0.9 for a longer notice phrase, 0.6 for a
 base phrase alone, 0.3 for a tag whose expression can't be read, else 0. Null texts are empty ones:
-no words, no places, empty labels, score 0. Rows are independent, result columns replace others of
-the same name, and long texts are scanned to their end.
+no words, no places, empty labels, score 0. Rows are independent, so repeated rows and null ids pass; an
+empty table gives an empty result; result columns replace others of the same name; long texts are scanned
+to their end, and of a line after a tag the longest beginning that is an expression counts. Places that
+tie (overlapping phrases) all count.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 # Phrases and the labels they give.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 NOTICES = {
@@ -51,6 +55,7 @@ NOTICES = {
     "all rights reserved": "reserved",
 }
 TAGS = ("spdx-license-identifier:", "license-expression:")
+SOME_TAG = re.compile("license-(?:identifier|expression):", re.I | re.A)
 # Identifier families, their label and whether they are permissive.
 FAMILIES = {
     "mit": ("mit", True), "apache": ("apache", True), "bsd": ("bsd", True), "isc": ("isc", True), "unlicense": ("unlicense", True), "cc0": ("cc0", True),
@@ -104,14 +109,32 @@ def postfix(tokens: list[str]) -> list[str] | None:
     return out + waiting[::-1]
 
 
+def leading(tokens: list[str]) -> int:
+    """How many of the first tokens are an expression, at most."""
+    most, depth, operand_next = 0, 0, True
+    for i, token in enumerate(tokens):
+        if token == "(":
+            if not operand_next:
+                break
+            depth += 1
+        elif (token in PRECEDENCE or token == ")") == operand_next:
+            break
+        elif token == ")":
+            depth -= 1
+            if depth < 0:
+                break
+        else:
+            operand_next = token in PRECEDENCE
+        if not depth and not operand_next:
+            most = i + 1
+    return most
+
+
 def evaluate(expression: str) -> tuple[set[str], bool, bool]:
     """Labels, whether it can be met permissively, whether it is well-formed with known identifiers only."""
     tokens = [t.rstrip("+,;.*/-") if t not in "()" else t for t in WORD.findall(expression.lower())]
     tokens = [t for t in tokens if t]
-    order = postfix(tokens)
-    while order is None and tokens:  # what follows an expression on its line may be prose
-        tokens.pop()
-        order = postfix(tokens)
+    order = postfix(tokens[: leading(tokens)])  # what follows an expression on its line may be prose
     if not order:
         return set(), False, False
     stack: list[tuple[set[str], bool, bool]] = []
@@ -158,7 +181,7 @@ class Scanner:
                 labels.add(NOTICES[phrase])
                 score = max(score, 0.9)
         permissive = None
-        if "icense" in text or "ICENSE" in text:
+        if SOME_TAG.search(text):
             folded = text.lower() if text.isascii() else text.translate({c: c + 32 for c in range(65, 91)})
             for end, _ in self.tags.iter(folded):
                 stop = folded.find("\n", end)
@@ -176,13 +199,14 @@ COLUMNS = {"n_words": T.LongType(), "n_base": T.LongType(), "first_word": T.Long
 def scanned(df: DataFrame, text: str = "text") -> DataFrame:
     """df without its text, and the columns of Scanner.scan."""
     kept = [c for c in df.columns if c != text and c not in COLUMNS]
+    (own,) = unused(kept, "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner()
         for batch in batches:
-            rows = [scanner.scan(t if isinstance(t, str) else "") for t in batch["__text"]]
+            rows = [scanner.scan(t if isinstance(t, str) else "") for t in batch[own]]
             found = pd.DataFrame(rows, columns=list(COLUMNS), index=batch.index).astype({"first_word": "Int64", "last_word": "Int64", "permissive": "boolean"})
-            yield pd.concat([batch.drop(columns="__text"), found], axis=1)
+            yield pd.concat([batch.drop(columns=own), found], axis=1)
 
-    source = df.select(*kept, F.col(text).cast("string").alias("__text"))
+    source = df.select(*kept, F.col(text).cast("string").alias(own))
     return source.mapInPandas(run, T.StructType([*source.select(*kept).schema.fields, *(T.StructField(k, v) for k, v in COLUMNS.items())]))

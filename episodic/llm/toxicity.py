@@ -10,38 +10,48 @@ cost nothing; a word with a kernel of NEAR or more before it is raised is also r
 characters, so that one put in costs nothing. The best reading counts. A text's kernel with a landmark is the sum over its
 different words, held at MOST. Kernels under floor (0.0016 once raised) are left out of the sum.
 
-Landmarks are beginnings of words (words too short for that whole, with a space as their end) that, in the labelled rows used for training,
-stand out most in toxic texts, by whether or how often a text has them, and are unlike those chosen
-before.
-The Nyström map (inverse square root of the landmarks' kernel) turns the kernels into features, a
-linear SVM (hinge loss) separates them, and a logistic curve fitted to its margins gives the score.
-Training uses at most MAX_ROWS labelled rows, those first in order of a hash of their id; nothing but
-texts and labels goes into it. All documents are scored whole.
+A word of over LONGEST characters is as alike as its best stretch of that many.
+
+Landmarks are beginnings of words (words too short for that whole, with a space as their end) that, in the
+labelled rows used for training, stand out most in toxic texts, by whether or how often a text has them,
+and are unlike those chosen before. The Nyström map (inverse square root of this kernel among the
+landmarks, made symmetric) turns the kernels into features, a linear SVM (hinge loss) separates them, and a
+logistic curve fitted to its margins gives the score. Training uses at most MAX_ROWS labelled rows, those
+first in order of a hash of their id; nothing but texts and labels goes into it. Beginnings are counted
+and features made on the executors; the driver gets the CANDIDATES best beginnings and the fitted
+numbers. All documents are scored whole.
 
 Words are scored a batch at a time: places of possible triples are looked up in a table of the
 landmarks' triples. Words met before are remembered, up to CACHE of them.
 
-Nulls: a null text is an empty one (the score of a text without words), a null label is left out. With
-fewer than two classes among the training rows every score is the share of toxic rows.
+Nulls: a null text is an empty one (the score of a text without words), a null label is left out, a null id
+is held out. With fewer than two classes among the training rows every score is the share of toxic rows.
+Rows are scored each by its text, so repeated rows tie; of two labels of one id both count. An empty table
+gives an empty result; scored() passes extra columns on, a score among them is replaced.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import checkpointed, unused
 
 MAX_ROWS = 4_000
 LANDMARKS = 64
 MIN_TOXIC_TEXTS = 3
+#: Beginnings that the driver looks at, those first in rank.
+CANDIDATES = 4_000
 #: Lengths of the beginnings of words that may become landmarks, and how alike two landmarks may be.
 LENGTHS = range(4, 9)
 ALIKE = 0.6
@@ -54,7 +64,7 @@ STRIDE = 7
 NEAR = 0.4
 ALPHABET = 64
 START = ALPHABET - 1
-CACHE = 500_000
+CACHE = 300_000
 PREDICT_AT = 0.7
 
 EDGE = ".,;:!?\"'()[]{}|"
@@ -227,32 +237,35 @@ def beginnings(text: str) -> Counter:
     return Counter(w[:n] for w in words for n in LENGTHS if len(w) >= n) + Counter(whole(w) for w in words if 0 < len(w) < LENGTHS[0])
 
 
-def choose_landmarks(texts: list[str], toxic: list[int], most: int = LANDMARKS) -> list[str]:
-    """Beginnings of words that toxic texts have, or have twice, more often, by the larger log likelihood ratio; ties by length, then name."""
-    counts = {level: (Counter(), Counter()) for level in (1, 2)}
-    wanted: set[str] = set()
-    for label in (1, 0):
-        for t in (t for t, y in zip(texts, toxic, strict=True) if y == label):
-            found = beginnings(t)
-            for level, by_label in counts.items():
-                by_label[label].update(w for w, n in found.items() if n >= level and (label or w in wanted))
-        wanted = wanted or {w for w, n in counts[1][1].items() if n >= MIN_TOXIC_TEXTS}
-    n1 = sum(toxic)
-    n0 = len(toxic) - n1
-
-    def ratio(a: int, b: int) -> float:
+def ranked_beginnings(rows: DataFrame) -> DataFrame:
+    """(beginning, ratio) of rows (text, toxic): the larger log likelihood ratio of toxic texts having it, or having it twice, more often."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text, label in zip(batch["text"], batch["toxic"], strict=True):
+                found = beginnings(text if isinstance(text, str) else "")
+                yield pd.DataFrame({"beginning": list(found), "times": list(found.values())}, dtype=object).astype({"times": "int64"}).assign(label=int(label))
+
+    n1, n0 = (F.lit(float(rows.where(f"toxic = {y}").count())) for y in (1, 0))
+    having = lambda y, n: F.count_if((F.col("label") == y) & (F.col("times") >= n)).alias(f"has_{y}_{n}")
+    counts = rows.mapInPandas(run, "beginning string, times long, label int").groupBy("beginning").agg(*(having(y, n) for y in (1, 0) for n in (1, 2)))
+
+    def ratio(a: Column, b: Column) -> Column:
         p, q, r = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1), (a + b + 1) / (n1 + n0 + 2)
-        part = lambda k, n, x, y: k * np.log(x / y) + (n - k) * np.log((1 - x) / (1 - y))
-        return part(a, n1, p, r) + part(b, n0, q, r) if p > q else 0.0
+        part = lambda k, n, x, y: k * F.log(x / y) + (n - k) * F.log((1 - x) / (1 - y))
+        return F.when(p > q, part(a, n1, p, r) + part(b, n0, q, r)).otherwise(0.0)
+
+    both = F.greatest(*(ratio(F.col(f"has_1_{n}"), F.col(f"has_0_{n}")) for n in (1, 2)))
+    return counts.where(F.col("has_1_1") >= MIN_TOXIC_TEXTS).select("beginning", both.alias("ratio"))
 
-    inside = {w: max(ratio(by_label[1][w], by_label[0][w]) for by_label in counts.values()) for w in wanted}
-    ranked = sorted(((s, w) for w, s in inside.items()), key=lambda x: (-x[0], -len(x[1]), x[1]))
+
+def choose_landmarks(ranked: DataFrame, most: int = LANDMARKS) -> list[str]:
+    """The beginnings of highest ratio that are unlike those before; ties by length, then name."""
+    first = ranked.where("ratio > 4").orderBy(F.col("ratio").desc(), F.length("beginning").desc(), "beginning").limit(CANDIDATES)
     chosen: list[tuple[str, dict[int, float]]] = []
-    for s, w in ranked:
-        if s <= 4 or len(chosen) == most:
-            break
+    for (w,) in first.select("beginning").collect():
         m = triples(w)
-        if all(kernel(m, other) < ALIKE for _, other in chosen):
+        if len(chosen) < most and all(kernel(m, other) < ALIKE for _, other in chosen):
             chosen.append((w, m))
     return [w for w, _ in chosen]
 
@@ -263,48 +276,46 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
+def kernel_columns(df: DataFrame, landmarks: list[str], text: str, result: str, then: Callable[[np.ndarray], list], kind: T.DataType) -> DataFrame:
+    """df without its text, and then(kernels of the texts with the landmarks) as result."""
+    kept = [c for c in df.columns if c not in (text, result)]
+    (own,) = unused(kept, "text")
+    source = df.select(*kept, F.col(text).cast("string").alias(own))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kernels = WordKernels(landmarks)
+        for batch in batches:
+            for i in range(0, len(batch), 500):
+                part = batch.iloc[i : i + 500]
+                texts = [t if isinstance(t, str) else "" for t in part[own]]
+                yield part.drop(columns=own).assign(**{result: then(kernels.texts(texts).astype(float))})
+
+    return source.mapInPandas(run, T.StructType([*source.select(*kept).schema.fields, T.StructField(result, kind)]))
+
+
 def train(rows: DataFrame) -> Model:
     """A model from a bounded number of rows (text, toxic)."""
-    spark = rows.sparkSession
-    used = rows.toPandas()
-    texts, toxic = [t if isinstance(t, str) else "" for t in used["text"]], [int(y) for y in used["toxic"]]
-    share = float(np.mean(toxic)) if toxic else 0.0
-    landmarks = choose_landmarks(texts, toxic) if 0 < share < 1 else []
+    rows = checkpointed(rows)
+    share = rows.agg(F.avg("toxic")).first()[0] or 0.0
+    landmarks = choose_landmarks(ranked_beginnings(rows)) if 0 < share < 1 else []
     if not landmarks:
-        base = np.clip(share, 1e-3, 1 - 1e-3)
+        base = float(np.clip(share, 1e-3, 1 - 1e-3))
         return Model([], np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, float(np.log(base / (1 - base))))
-    maps = [triples(w) for w in landmarks]
-    gram = np.array([[kernel(a, b) for b in maps] for a in maps])
-    value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(len(gram)))
+    gram = WordKernels(landmarks).texts([w.strip() for w in landmarks]).astype(float)
+    value, vector = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(gram)))
     whiten = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
-    kernels = WordKernels(landmarks)
-    parts = []
-    for i in range(0, len(texts), 500):
-        kernels.words.clear()
-        parts.append(kernels.texts(texts[i : i + 500]))
-    features = np.concatenate(parts).astype(float) @ whiten
-    weight = np.where(np.array(toxic) == 1, 0.5 / share, 0.5 / (1 - share))
-    frame = spark.createDataFrame(pd.DataFrame({"x": features.tolist(), "label": np.array(toxic, float), "weight": weight})).select(array_to_vector("x").alias("features"), "label", "weight")
+    features = kernel_columns(rows, landmarks, "text", "x", lambda k: (k @ whiten).tolist(), T.ArrayType(T.DoubleType()))
+    weight = F.when(F.col("toxic") == 1, 0.5 / share).otherwise(0.5 / (1 - share))
+    frame = checkpointed(features.select(array_to_vector("x").alias("features"), F.col("toxic").cast("double").alias("label"), weight.alias("weight")))
     svm = LinearSVC(maxIter=60, regParam=1e-3, weightCol="weight").fit(frame)
-    w, b = svm.coefficients.toArray(), float(svm.intercept)
-    margins = spark.createDataFrame(pd.DataFrame({"m": features @ w + b, "label": np.array(toxic, float)})).select(array_to_vector(F.array("m")).alias("features"), "label")
+    margins = svm.transform(frame).select(array_to_vector(F.slice(vector_to_array("rawPrediction"), 2, 1)).alias("features"), "label")
     curve = LogisticRegression(regParam=1e-3, maxIter=60).fit(margins)
-    return Model(landmarks, whiten, w, b, float(curve.coefficients[0]), float(curve.intercept))
+    return Model(landmarks, whiten, svm.coefficients.toArray(), float(svm.intercept), float(curve.coefficients[0]), float(curve.intercept))
 
 
 def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df without its text, and score (0 to 1)."""
-    kept = [c for c in df.columns if c not in (text, "score")]
-    source = df.select(*kept, F.col(text).cast("string").alias("__text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kernels = WordKernels(model.landmarks)
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["__text"]]
-            score = np.concatenate([model.score(kernels.texts(texts[i : i + 1000]).astype(float)) for i in range(0, len(texts), 1000)]) if texts else []
-            yield batch.drop(columns="__text").assign(score=score)
-
-    return source.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in source.select(*kept).dtypes) + (", " if kept else "") + "score double")
+    return kernel_columns(df, model.landmarks, text, "score", lambda k: model.score(k).tolist(), T.DoubleType())
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
