@@ -53,7 +53,7 @@ SLACK = 0.16
 NEIGHBOURS = 3
 #: Shingles in a block of queries, and in a chunk of the documents that stream past it.
 BLOCK = 200_000
-CHUNK = 1_000_000
+CHUNK = 250_000
 _SEEDS = np.random.RandomState(20240501).randint(1, 1 << 32, (2, HASHES), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -356,7 +356,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
 
     def texts(ids: DataFrame) -> DataFrame:
         keys = reps.join(ids, "id", "left_semi").select("doc_id", "text_hash", "id")
-        return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(small(keys), ["doc_id", "text_hash"]).select("id", "text").dropDuplicates(["id"])
+        # both sides grow with the documents
+        return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(keys.hint("merge"), ["doc_id", "text_hash"]).select("id", "text").dropDuplicates(["id"])
 
     found = stored(forest(orders(reps, frequent_prefixes(reps)), threshold))
     large = found.where("region IS NOT NULL").select("tree", "region", F.col("a").alias("id"), "size")
