@@ -58,3 +58,33 @@ def strays(df: DataFrame, column: str) -> DataFrame:
     """df with a time nulled out where it lies outside the row's own start and end, and stray to report it."""
     stray = F.coalesce((F.col(column) < F.col("start_time")) | (F.col(column) > F.col("end_time")), F.lit(False))
     return df.withColumn("stray", stray).withColumn(column, F.when(~F.col("stray"), F.col(column)))
+
+
+def without(cells: DataFrame, ignored: DataFrame) -> DataFrame:
+    """Cells but for the rows (sheet, row_idx) that are listed as ignored."""
+    return cells.join(ignored, ["sheet", "row_idx"], "left_anti")
+
+
+def children(attached: DataFrame, blocks: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows with a filled block, with type; a parent row with one is a child too."""
+    return attached.withColumn("type", block_class(blocks)).where("type IS NOT NULL")
+
+
+def adopted(attached: DataFrame, own: str, slipped: str) -> DataFrame:
+    """(parent_id, own): each parent's count, or the first one found on a row below it."""
+    first = F.min_by(slipped, F.when(~F.col("is_parent") & F.col(slipped).isNotNull(), F.col("row_idx")))
+    return attached.groupBy("parent_id").agg(F.coalesce(F.max(F.when(F.col("is_parent"), F.col(own))), first).alias(own))
+
+
+def parted(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parents (type umbrella) and children (any other or no type) with unit_id = parent#idx."""
+    umbrella = F.coalesce("type", F.lit("_")) == "umbrella"
+    return flat.where(umbrella), flat.where(~umbrella).withColumn("unit_id", F.concat_ws("#", F.col("parent_id").cast("string"), F.col("moment_idx").cast("string")))
+
+
+def tally_from_sheet(sheet: DataFrame, classes: list[str]) -> DataFrame:
+    """(water_year, cls, n_expert) of a sheet of text cells: a year and a column per class; headers and blanks go."""
+    year, *counts = sheet.columns
+    d = sheet.where(F.trim(year).rlike("^[0-9]+$")).withColumnsRenamed(dict(zip(counts, classes, strict=True)))
+    long = d.select(F.trim(year).try_cast("long").alias("water_year"), *classes).unpivot("water_year", classes, "cls", "n")
+    return long.withColumn("n_expert", F.trim("n").try_cast("double").cast("long")).where("n_expert IS NOT NULL").select("water_year", "cls", "n_expert")

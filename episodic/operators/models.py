@@ -9,10 +9,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRe
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import class_metrics
+from .windows import prefix_sum
 
 
 def matrix(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -63,11 +64,16 @@ def fold_metrics(predicted: DataFrame, fold: str = "fold") -> DataFrame:
     return out
 
 
+def ranked(df: DataFrame, key: Column, name: str, slices: int = 64) -> DataFrame:
+    """df with its rows numbered from 1 in order of an ordering key of type long, no task holding more than a range of keys."""
+    return prefix_sum(df.withColumns({"__k": key, "__one": F.lit(1)}), ["__k"], "__one", name, slices).drop("__k", "__one")
+
+
 def permuted(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
-    """df with a column's values dealt anew by a seeded order; totals stay. For tables of labelled units, which one window can order."""
-    order = F.xxhash64(F.lit(seed), F.col(key))
-    a = df.withColumn("__i", F.row_number().over(Window.orderBy(F.col(key))))
-    b = df.select(F.col(column).alias("__v"), F.row_number().over(Window.orderBy(order, F.col(key))).alias("__i"))
+    """df with a column's values dealt anew in a seeded order of a unique key; totals stay."""
+    shuffled = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 13), 16, 10).cast("long")
+    a = ranked(df, F.col(key).cast("long"), "__i")
+    b = ranked(df.select(key, F.col(column).alias("__v")), shuffled, "__i").select("__v", "__i")
     return a.join(b, "__i").withColumn(column, F.col("__v")).drop("__i", "__v")
 
 

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import micros
 
-HOURS = {"day": 24.0, "half_day": 12.0, "week": 168.0}
+# Periods in hours of the tides M2, S2, N2, K1 and O1, the solar day, the fortnight, half a year and the year.
+HOURS = {"M2": 12.4206, "S2": 12.0, "N2": 12.6583, "K1": 23.9345, "O1": 25.8193, "day": 24.0, "fortnight": 327.86, "half_year": 4383.0, "year": 8766.0}
+#: Timescales and their periods; a trend and the rest come besides.
+BANDS = {"seasonal": ("half_year", "year"), "fortnightly": ("fortnight",), "diurnal": ("K1", "O1", "day"), "semidiurnal": ("M2", "S2", "N2")}
 
 
 def harmonics(t_hours: Column, periods: dict[str, float]) -> dict[str, list[Column]]:
@@ -48,12 +51,13 @@ def explained(df: DataFrame, column: str, fit: str = "fit") -> DataFrame:
     return d.agg((1 - F.var_pop(F.col(column) - F.col(fit)) / F.var_pop(column)).alias("r2"))
 
 
-def variance_bands(df: DataFrame, column: str, periods: dict[str, float] = HOURS) -> DataFrame:
-    """(band, share): share of a column's variance in a trend, in each harmonic block and in the rest, fitted together."""
+def variance_bands(df: DataFrame, column: str, bands: dict[str, tuple[str, ...]] = BANDS) -> DataFrame:
+    """(band, share): share of a column's variance in a trend, in each band of harmonics and in the rest, fitted together."""
     t = micros(F.col("ts")) / F.lit(3.6e9)
     first = df.agg(F.min(t).alias("a")).first()["a"]
-    blocks = harmonics(t, periods)
-    blocks["trend"] = [(t - F.lit(first)) / F.lit(1000.0)]
+    by_period = harmonics(t, HOURS)
+    blocks = {"intercept": by_period["intercept"], "trend": [(t - F.lit(first)) / F.lit(1000.0)]}
+    blocks |= {band: [c for p in names for c in by_period[p]] for band, names in bands.items()}
     terms = [c for b in blocks.values() for c in b]
     d = df.where(F.col(column).isNotNull())
     w = iter(solve(d, terms, F.col(column)).tolist())
@@ -74,7 +78,7 @@ def periodogram(df: DataFrame, column: str, per_day: float, bins_per_decade: int
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "freq": freq[1:], "power": power[1 : len(freq)]})
 
     raw = df.select("series_id", "ts", column).groupBy("series_id").applyInPandas(run, "series_id long, freq double, power double")
-    raw = raw.where(F.col("freq").between(1 / 2000, 48)).withColumn("bin", F.floor(F.log10("freq") * bins_per_decade).cast("long"))
+    raw = raw.where(F.col("freq").between(1 / 2000, 48)).withColumn("bin", F.round(F.log10("freq") * bins_per_decade).cast("long"))
     g = raw.groupBy("series_id", "bin").agg(F.max("power").alias("power"), F.median("freq").alias("freq"))
     top = g.groupBy("series_id").agg(F.max("power").alias("top"))
     return g.join(top, "series_id").select("series_id", "freq", (F.col("power") / F.col("top")).alias("power"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,13 +16,18 @@ def bank(n: int, channels: int, steps: int, seed: int = 0) -> list[dict]:
     out = []
     for _ in range(n):
         length = int(rng.choice([7, 9, 11]))
-        most = np.log2(max((steps - 1) / (length - 1), 1))
-        dilation = int(2 ** np.floor(rng.random() * most))
+        dilation = 2 ** int(rng.integers(1 + max(int(np.log2((steps - 1) / (length - 1))), 0)))
         w = rng.normal(size=length)
         out.append({"channel": int(rng.integers(channels)), "length": length, "dilation": dilation, "padding": (length - 1) * dilation // 2 if rng.random() < 0.5 else 0, "weights": (w - w.mean()).tolist(), "bias": float(rng.uniform(-1, 1))})
     return out
 
 
+def described(spark: SparkSession, kernels: list[dict]) -> DataFrame:
+    """(kernel, channel, length, dilation, padding) of a bank, one row a kernel."""
+    rows = [(i, *(k[c] for c in ("channel", "length", "dilation", "padding"))) for i, k in enumerate(kernels)]
+    return spark.createDataFrame(rows, "kernel long, channel long, length long, dilation long, padding long")
+
+
 def convolve(x: np.ndarray, kernel: dict) -> np.ndarray:
     """Rows of x (units by steps) with a kernel slid over them, not flipped."""
     p, d, w = kernel["padding"], kernel["dilation"], kernel["weights"]

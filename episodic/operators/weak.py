@@ -8,16 +8,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: voter -> (column, lower share, upper share, vote below, vote above)
-Voters = dict[str, tuple[str, float, float, int, int]]
+#: voter -> (column, lower share, upper share, vote below, vote above, whether the value's size counts without its sign)
+Voters = dict[str, tuple[str, float, float, int, int, bool]]
 
 
 def votes(df: DataFrame, voters: Voters) -> DataFrame:
     """df with a column per voter: its vote below the lower or above the upper quantile (above wins ties), 0 between and on null; voters without their column are left out."""
     used = {k: v for k, v in voters.items() if v[0] in df.columns}
-    q = df.agg(*(F.percentile(c, F.lit(p)).alias(f"__{k}_{s}") for k, (c, lo, hi, _, _) in used.items() for s, p in (("lo", lo), ("hi", hi))))
+    value = {k: F.abs(v[0]) if v[5] else F.col(v[0]) for k, v in used.items()}
+    q = df.agg(*(F.percentile(value[k], F.lit(p)).alias(f"__{k}_{s}") for k, v in used.items() for s, p in (("lo", v[1]), ("hi", v[2]))))
     d = df.crossJoin(F.broadcast(q))  # q is one row
-    out = {k: F.when(F.col(c) >= F.col(f"__{k}_hi"), up).when(F.col(c) <= F.col(f"__{k}_lo"), down).otherwise(0) for k, (c, _, _, down, up) in used.items()}
+    out = {k: F.when(value[k] >= F.col(f"__{k}_hi"), v[4]).when(value[k] <= F.col(f"__{k}_lo"), v[3]).otherwise(0) for k, v in used.items()}
     return d.withColumns(out).drop(*q.columns)
 
 
@@ -30,38 +31,40 @@ def agreement(voted: DataFrame, names: list[str]) -> DataFrame:
 
 
 def label_model(agree: DataFrame, names: list[str], rounds: int = 200) -> dict[str, float]:
-    """Weights of the voters: leading eigenvector of their agreement matrix by power iteration, sign fixed, held to 0..1; equal if it gives nothing. The matrix has one row a voter."""
-    m = np.eye(len(names))
+    """Weights of the voters: the leading factor of their agreement (without that with themselves) by power iteration, scaled to the root of its eigenvalue, sign fixed, held to 0..1; all 1 if it gives nothing. The matrix has one row a voter."""
+    m = np.zeros((len(names), len(names)))
     at = {k: i for i, k in enumerate(names)}
     for r in agree.collect():
         m[at[r["a"]], at[r["b"]]] = m[at[r["b"]], at[r["a"]]] = r["agree"] or 0.0
-    v = np.ones(len(names)) / np.sqrt(len(names))
+    v = np.full(len(names), len(names) ** -0.5)
     for _ in range(rounds):
-        w = m @ v
-        if not np.linalg.norm(w):
+        following = m @ v
+        length = np.linalg.norm(following)
+        if length < 1e-12:
             break
-        v, old = w / np.linalg.norm(w), v
-        if np.abs(v - old).max() < 1e-12:
+        v, old = following / length, v
+        if np.abs(np.abs(v) - np.abs(old)).max() < 1e-9:
             break
-    v = np.clip(v if v.sum() >= 0 else -v, 0, 1)
-    v = v if v.sum() > 0 else np.ones(len(names)) / len(names)
+    value = v @ m @ v
+    v = np.clip(np.sqrt(max(value, 0)) * (v if v.sum() >= 0 else -v), 0, 1)
+    v = v if value > 1e-9 and v.any() else np.ones(len(names))
     return dict(zip(names, v.tolist(), strict=True))
 
 
 def weighted(voted: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """voted with vote_score, vote_prob and vote_label (hot from 0 on)."""
-    score = sum((F.lit(w) * F.col(k) for k, w in weights.items()), F.lit(0.0))
-    d = voted.withColumn("vote_score", score)
-    return d.withColumns({"vote_prob": 1 / (1 + F.exp(-2 * F.col("vote_score"))), "vote_label": F.when(F.col("vote_score") >= 0, "hot").otherwise("pulse")})
+    """voted with vote_score, vote_label (hot from 0 on) and vote_prob, the confidence in that label."""
+    d = voted.withColumn("vote_score", sum((F.lit(w) * F.col(k) for k, w in weights.items()), F.lit(0.0)))
+    hot = 1 / (1 + F.exp(-F.col("vote_score")))
+    return d.withColumns({"vote_prob": F.when(F.col("vote_score") >= 0, hot).otherwise(1 - hot), "vote_label": F.when(F.col("vote_score") >= 0, "hot").otherwise("pulse")})
 
 
-def analysis(voted: DataFrame, names: list[str]) -> DataFrame:
-    """(voter, coverage, n_up, n_down, conflict): conflict is the share of rows where it votes and another votes otherwise."""
+def analysis(voted: DataFrame, names: list[str], weights: dict[str, float]) -> DataFrame:
+    """(voter, coverage, n_up, n_down, conflict, weight): conflict is the share of rows where it votes and another votes otherwise."""
     rows = []
     for k in names:
         other = F.lit(False)
         for j in names:
             if j != k:
                 other = other | ((F.col(j) != 0) & (F.col(j) != F.col(k)))
-        rows.append(F.struct(F.lit(k).alias("voter"), F.avg((F.col(k) != 0).cast("int")).alias("coverage"), F.count_if(F.col(k) > 0).alias("n_up"), F.count_if(F.col(k) < 0).alias("n_down"), F.avg(((F.col(k) != 0) & other).cast("int")).alias("conflict")))
+        rows.append(F.struct(F.lit(k).alias("voter"), F.avg((F.col(k) != 0).cast("int")).alias("coverage"), F.count_if(F.col(k) > 0).alias("n_up"), F.count_if(F.col(k) < 0).alias("n_down"), F.avg(((F.col(k) != 0) & other).cast("int")).alias("conflict"), F.lit(float(weights[k])).alias("weight")))
     return voted.agg(F.array(*rows).alias("r")).select(F.inline("r"))

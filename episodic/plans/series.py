@@ -109,12 +109,12 @@ def overlap_filter(readings, iv):
 
 @query("readings", "iv", sql="""WITH sp AS (SELECT series_id, min(ts) + INTERVAL 5 DAY AS r0, max(ts) - INTERVAL 5 DAY AS r1 FROM readings GROUP BY 1),
 o AS (SELECT series_id, interval_id, start_time, end_time, CASE WHEN end_time < r0 THEN 'before' ELSE 'after' END AS side FROM iv JOIN sp USING (series_id) WHERE end_time < r0 OR start_time > r1)
-SELECT series_id, side, count(*) AS n, min(start_time) AS band_start, max(end_time) AS band_end, CAST(floor(epoch(max(end_time) - min(start_time)) / 86400) AS BIGINT) AS days FROM o GROUP BY 1, 2""")
+SELECT series_id, side, count(*) AS n, min(start_time) AS band_start, max(end_time) AS band_end, CAST(floor(epoch(max(end_time) - min(start_time)) / 86400) AS BIGINT) AS days, min(start_time) + (max(end_time) - min(start_time)) / 2 AS mid FROM o GROUP BY 1, 2""")
 def gap_bands(readings, iv):
     trimmed = I.span(readings).selectExpr("series_id", "r0 + INTERVAL '5' DAY AS r0", "r1 - INTERVAL '5' DAY AS r1")
     ends = trimmed.select("series_id", F.col("r0").alias("ts")).unionByName(trimmed.select("series_id", F.col("r1").alias("ts")))
     both = I.covered(iv, ends, "before").withColumn("side", F.lit("before")).unionByName(I.covered(iv, ends, "after").withColumn("side", F.lit("after")))
-    return both.groupBy("series_id", "side").agg(F.count(F.lit(1)).alias("n"), F.min("start_time").alias("band_start"), F.max("end_time").alias("band_end"), F.floor(S.seconds_between(F.min("start_time"), F.max("end_time")) / 86400).cast("long").alias("days"))
+    return both.groupBy("series_id", "side").agg(F.count(F.lit(1)).alias("n"), F.min("start_time").alias("band_start"), F.max("end_time").alias("band_end"), F.floor(S.seconds_between(F.min("start_time"), F.max("end_time")) / 86400).cast("long").alias("days"), S.from_micros(F.floor((S.micros(F.min("start_time")) + S.micros(F.max("end_time"))) / 2).cast("long")).alias("mid"))
 
 
 @query("readings", "iv", sql=f"""WITH {SPAN} SELECT iv.series_id, interval_id, start_time BETWEEN r0 AND r1 AS is_covered, label || ' ' || interval_id || CASE WHEN start_time BETWEEN r0 AND r1 THEN '' ELSE ' *' END AS display,
@@ -241,11 +241,6 @@ def driver_steps(readings):
     return rounded(E.driver_steps(f, readings).select("series_id", "eid", "precip_24h", "wl_step"))
 
 
-@query("readings")
-def hysteresis_index(readings):
-    return rounded(E.hysteresis(E.member_rows(E.excursions(readings, PEAK, GAP), readings), "lvl"))
-
-
 CURVE = """ex AS (SELECT series_id, interval_id, start_time - least(0.5::DOUBLE * epoch(end_time - start_time), 43200) * INTERVAL 1 SECOND AS a, end_time + least(0.5::DOUBLE * epoch(end_time - start_time), 43200) * INTERVAL 1 SECOND AS b FROM iv),
 mm AS (SELECT ex.series_id, interval_id, a, b, ts, lvl FROM ex JOIN readings r ON ex.series_id = r.series_id AND ts BETWEEN a AND b),
 sp AS (SELECT series_id, interval_id, epoch(any_value(a)) AS a, epoch(any_value(b)) AS b, min(epoch(ts)) AS f, max(epoch(ts)) AS l, count(lvl) AS n FROM mm GROUP BY 1, 2),

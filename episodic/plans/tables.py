@@ -60,11 +60,11 @@ def id_set_diff(customer, orders):
     return customer.select(F.col("c_custkey").alias("id")).distinct().join(orders.select(F.col("o_custkey").alias("id")), "id", "left_anti")
 
 
-@query("customer", "orders", sql="""SELECT coalesce(c_custkey, o_custkey) AS id, CASE WHEN o_custkey IS NULL THEN 'missing' ELSE 'extra' END AS what FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 3 = 0) c
-FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 2 = 0) o ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_custkey IS NULL""")
+@query("customer", "orders", sql="""SELECT coalesce(c_custkey, o_custkey) AS id, CASE WHEN o_custkey IS NULL THEN 'missing' ELSE 'extra' END AS what FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') c
+FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') o ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_custkey IS NULL""")
 def unit_reconcile(customer, orders):
-    a = customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id")).distinct()
-    b = orders.where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("id")).distinct()
+    a = customer.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id")).distinct()
+    b = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")).distinct()
     return a.join(b, "id", "left_anti").withColumn("what", F.lit("missing")).unionByName(b.join(a, "id", "left_anti").withColumn("what", F.lit("extra")))
 
 
@@ -104,9 +104,9 @@ def class_list_filter(documents):
 # ---- joins, sorts
 
 
-@query("orders", "customer", sql="SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0")
+@query("orders", "customer", sql="SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
 def left_attach(orders, customer):
-    return orders.join(customer.where("c_custkey % 2 = 0"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_mktsegment")
+    return orders.join(customer.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_mktsegment")
 
 
 @query("orders", "customer", sql="SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
@@ -146,12 +146,12 @@ def curve_thin(readings):
 
 # ---- label cleaning over cells made of orders (parents) and their line items (children)
 
-CELLS = """cells AS (SELECT o_custkey % 50 AS sheet, o_orderkey * 10 AS row_idx, 'P' AS kind, o_orderkey AS k, NULL::BIGINT AS cls FROM orders WHERE o_orderkey % 3 = 0
+CELLS = """cells AS (SELECT o_custkey % 50 AS sheet, o_orderkey * 10 AS row_idx, 'P' AS kind, o_orderkey AS k, NULL::BIGINT AS cls FROM orders WHERE o_orderstatus <> 'O'
 UNION ALL SELECT o_custkey % 50, o_orderkey * 10 + l_linenumber, 'C', l_orderkey, l_linenumber % 3 FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def cells(orders, lineitem):
-    p = orders.where("o_orderkey % 3 = 0").selectExpr("o_custkey % 50 AS sheet", "o_orderkey * 10 AS row_idx", "'P' AS kind", "o_orderkey AS k", "CAST(NULL AS BIGINT) AS cls")
+    p = orders.where("o_orderstatus <> 'O'").selectExpr("o_custkey % 50 AS sheet", "o_orderkey * 10 AS row_idx", "'P' AS kind", "o_orderkey AS k", "CAST(NULL AS BIGINT) AS cls")
     c = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("o_custkey % 50 AS sheet", "o_orderkey * 10 + l_linenumber AS row_idx", "'C' AS kind", "l_orderkey AS k", "CAST(l_linenumber % 3 AS BIGINT) AS cls")
     return p.unionByName(c)
 
@@ -180,21 +180,28 @@ def block_typing(orders, lineitem):
 
 
 @query("orders", "lineitem", sql=f"""WITH {TYPED}, t AS (SELECT parent_id, count(*) FILTER (WHERE type = 'hot') AS h, count(*) FILTER (WHERE type = 'oxic') AS o FROM ch GROUP BY 1)
-SELECT o_orderkey AS parent_id, o_orderkey % 4 AS n_hot, 1::BIGINT AS n_oxic, coalesce(h, 0) AS actual_hot, coalesce(o, 0) AS actual_oxic FROM orders LEFT JOIN t ON parent_id = o_orderkey WHERE o_orderkey % 3 = 0 AND (o_orderkey % 4 <> coalesce(h, 0) OR 1 <> coalesce(o, 0))""")
+SELECT o_orderkey AS parent_id, o_orderkey % 4 AS n_hot, 1::BIGINT AS n_oxic, coalesce(h, 0) AS actual_hot, coalesce(o, 0) AS actual_oxic FROM orders LEFT JOIN t ON parent_id = o_orderkey WHERE o_orderstatus <> 'O' AND (o_orderkey % 4 <> coalesce(h, 0) OR 1 <> coalesce(o, 0))""")
 def count_mismatch(orders, lineitem):
-    declared = orders.where("o_orderkey % 3 = 0").selectExpr("o_orderkey AS parent_id", "o_orderkey % 4 AS n_hot", "1L AS n_oxic")
+    declared = orders.where("o_orderstatus <> 'O'").selectExpr("o_orderkey AS parent_id", "o_orderkey % 4 AS n_hot", "1L AS n_oxic")
     return L.mismatches(declared, L.tallies(_children(orders, lineitem), ["hot", "oxic"]), ["hot", "oxic"]).select("parent_id", "n_hot", "n_oxic", "actual_hot", "actual_oxic")
 
 
 WY = "CAST(year({t}) + CAST(month({t}) >= 10 AS INT) AS BIGINT)"
 
 
-@query("iv", "moments", sql=f"""WITH p AS (SELECT {WY.format(t="iv.start_time")} AS water_year, type AS cls FROM moments JOIN iv ON parent_id = interval_id)
-SELECT water_year, CASE WHEN grouping(cls) = 1 THEN 'total' ELSE cls END AS cls, count(*) AS n_parsed, CAST(20 AS BIGINT) AS n_declared, count(*) - 20 AS delta FROM p GROUP BY GROUPING SETS ((water_year, cls), (water_year))""")
+@query("iv", "moments", sql=f"""WITH p AS (SELECT {WY.format(t="iv.start_time")} AS water_year, type AS cls FROM moments JOIN iv ON parent_id = interval_id),
+n AS (SELECT water_year, CASE WHEN grouping(cls) = 1 THEN 'total' ELSE cls END AS cls, count(*) AS n_parsed FROM p GROUP BY GROUPING SETS ((water_year, cls), (water_year))),
+q AS (SELECT {WY.format(t="start_time")} AS water_year, CASE label WHEN 'pulse' THEN 'oxic' ELSE label END AS cls FROM iv),
+e AS (SELECT water_year, CASE WHEN grouping(cls) = 1 THEN 'total' ELSE cls END AS cls, count(*) AS n_declared FROM q GROUP BY GROUPING SETS ((water_year, cls), (water_year)))
+SELECT water_year, cls, coalesce(n_parsed, 0) AS n_parsed, coalesce(n_declared, 0) AS n_declared, coalesce(n_parsed, 0) - coalesce(n_declared, 0) AS delta FROM n FULL JOIN e USING (water_year, cls)""")
 def tally_reconcile(iv, moments):
-    parents = iv.select(F.col("interval_id").alias("parent_id"), S.water_year(F.col("start_time")).alias("water_year"))
-    d = L.counted_with_total(moments.join(parents, "parent_id").withColumnRenamed("type", "cls"), "water_year", "cls")
-    return d.select("water_year", "cls", F.col("n").alias("n_parsed"), F.lit(20).cast("long").alias("n_declared"), (F.col("n") - 20).alias("delta"))
+    """Parsed children per water year of the parent's start and class, against the tally of the parents' own labels."""
+    year = S.water_year(F.col("start_time")).alias("water_year")
+    parsed = moments.join(iv.select(F.col("interval_id").alias("parent_id"), year), "parent_id").withColumnRenamed("type", "cls")
+    declared = iv.select(year, S.remap(F.col("label"), {"pulse": "oxic"}).alias("cls"))
+    a, b = (L.counted_with_total(d, "water_year", "cls").withColumnRenamed("n", n) for d, n in ((parsed, "n_parsed"), (declared, "n_declared")))
+    d = a.join(b, ["water_year", "cls"], "full").fillna(0, ["n_parsed", "n_declared"])
+    return d.select("water_year", "cls", "n_parsed", "n_declared", (F.col("n_parsed") - F.col("n_declared")).alias("delta"))
 
 
 @query("iv", sql="SELECT interval_id, start_time + INTERVAL 1 HOUR * (interval_id % 23) AS healed FROM iv")
@@ -263,8 +270,9 @@ def class_base_rate(scored):
 
 # ---- weak supervision over readings
 
-VOTERS: K.Voters = {"sal_band": ("sal", 0.3, 0.7, -1, 1), "lvl_band": ("lvl", 0.25, 0.75, 1, -1), "temp_band": ("temp", 0.33, 0.67, -1, 1), "absent": ("nothing", 0.1, 0.9, 1, -1)}
+VOTERS: K.Voters = {"sal_band": ("sal", 0.3, 0.7, -1, 1, False), "lvl_band": ("lvl", 0.25, 0.75, 1, -1, False), "temp_band": ("temp", 0.33, 0.67, -1, 1, False), "absent": ("nothing", 0.1, 0.9, 1, -1, False)}
 NAMES = ["sal_band", "lvl_band", "temp_band"]
+FIXED = {"sal_band": 0.5, "lvl_band": 0.3, "temp_band": 0.2}
 VOTED = "q AS (SELECT " + ", ".join(f"quantile_cont({v[0]}, {v[1]}) AS {k}_lo, quantile_cont({v[0]}, {v[2]}) AS {k}_hi" for k, v in VOTERS.items() if k in NAMES) + " FROM readings), vt AS (SELECT readings.*, " + ", ".join(
     f"CASE WHEN {v[0]} >= {k}_hi THEN {v[4]} WHEN {v[0]} <= {k}_lo THEN {v[3]} ELSE 0 END AS {k}" for k, v in VOTERS.items() if k in NAMES
 ) + " FROM readings, q)"
@@ -280,15 +288,15 @@ def lf_agreement(readings):
     return rounded(K.agreement(K.votes(readings, VOTERS), NAMES))
 
 
-@query("readings", sql=f"WITH {VOTED}, s AS (SELECT *, 0.5::DOUBLE * sal_band + 0.3::DOUBLE * lvl_band + 0.2::DOUBLE * temp_band AS sc FROM vt) SELECT series_id, ts, round(sc, 5) AS vote_score, round(1 / (1 + exp(-2 * sc)), 5) AS vote_prob, CASE WHEN round(sc, 9) >= 0 THEN 'hot' ELSE 'pulse' END AS vote_label FROM s")
+@query("readings", sql=f"WITH {VOTED}, s AS (SELECT *, 0.5::DOUBLE * sal_band + 0.3::DOUBLE * lvl_band + 0.2::DOUBLE * temp_band AS sc FROM vt) SELECT series_id, ts, round(sc, 5) AS vote_score, round(CASE WHEN round(sc, 9) >= 0 THEN 1 / (1 + exp(-sc)) ELSE 1 - 1 / (1 + exp(-sc)) END, 5) AS vote_prob, CASE WHEN round(sc, 9) >= 0 THEN 'hot' ELSE 'pulse' END AS vote_label FROM s")
 def lf_score_fixed_weights(readings):
-    d = K.weighted(K.votes(readings, VOTERS), {"sal_band": 0.5, "lvl_band": 0.3, "temp_band": 0.2})
+    d = K.weighted(K.votes(readings, VOTERS), FIXED)
     return rounded(d.select("series_id", "ts", "vote_score", "vote_prob", F.when(F.round("vote_score", 9) >= 0, "hot").otherwise("pulse").alias("vote_label")))
 
 
-@query("readings", sql=f"WITH {VOTED} " + " UNION ALL ".join(f"SELECT '{k}' AS voter, round(avg(({k} <> 0)::INT), 5) AS coverage, count(*) FILTER (WHERE {k} > 0) AS n_up, count(*) FILTER (WHERE {k} < 0) AS n_down, round(avg(({k} <> 0 AND (" + " OR ".join(f"({j} <> 0 AND {j} <> {k})" for j in NAMES if j != k) + "))::INT), 5) AS conflict FROM vt" for k in NAMES))
+@query("readings", sql=f"WITH {VOTED} " + " UNION ALL ".join(f"SELECT '{k}' AS voter, round(avg(({k} <> 0)::INT), 5) AS coverage, count(*) FILTER (WHERE {k} > 0) AS n_up, count(*) FILTER (WHERE {k} < 0) AS n_down, round(avg(({k} <> 0 AND (" + " OR ".join(f"({j} <> 0 AND {j} <> {k})" for j in NAMES if j != k) + "))::INT), 5) AS conflict, {FIXED[k]} AS weight FROM vt" for k in NAMES))
 def lf_analysis(readings):
-    return rounded(K.analysis(K.votes(readings, VOTERS), NAMES))
+    return rounded(K.analysis(K.votes(readings, VOTERS), NAMES, FIXED))
 
 
 @query("readings")
@@ -334,12 +342,12 @@ def named_period_power(readings):
     return rounded(d.groupBy("series_id", "period_h").agg(((F.pow(F.sum(F.col("x") * F.cos(a)), F.lit(2)) + F.pow(F.sum(F.col("x") * F.sin(a)), F.lit(2))) / F.pow(F.count(F.lit(1)), F.lit(2))).alias("power")))
 
 
-@query("readings", sql="""WITH z AS (SELECT series_id, ts, lvl, (target - avg(target) OVER (PARTITION BY series_id)) / stddev_pop(target) OVER (PARTITION BY series_id) AS z FROM readings WHERE lvl IS NOT NULL AND target IS NOT NULL),
+@query("readings", sql="""WITH z AS (SELECT series_id, ts, lvl, (target - avg(target) OVER (PARTITION BY series_id)) / stddev_pop(target) OVER (PARTITION BY series_id) AS z FROM readings WHERE lvl IS NOT NULL AND target IS NOT NULL QUALIFY count(*) OVER (PARTITION BY series_id) >= 10 AND stddev_pop(target) OVER (PARTITION BY series_id) > 0),
 c AS (SELECT *, sum(z) OVER (PARTITION BY series_id ORDER BY lvl, ts ROWS UNBOUNDED PRECEDING) AS cs FROM z)
 SELECT series_id, CASE WHEN abs(min(cs)) >= abs(max(cs)) THEN 'bowl' ELSE 'dome' END AS form, round(CASE WHEN abs(min(cs)) >= abs(max(cs)) THEN arg_min(lvl, cs) ELSE arg_max(lvl, cs) END, 5) AS turning FROM c GROUP BY 1""")
 def cusum_inflection(readings):
     w = Window.partitionBy("series_id")
-    z = readings.where("lvl IS NOT NULL AND target IS NOT NULL").withColumn("z", (F.col("target") - F.avg("target").over(w)) / F.stddev_pop("target").over(w))
+    z = readings.where("lvl IS NOT NULL AND target IS NOT NULL").withColumn("z", (F.col("target") - F.avg("target").over(w)) / F.stddev_pop("target").over(w)).withColumn("rows", F.count(F.lit(1)).over(w)).where("rows >= 10 AND z IS NOT NULL")
     c = z.withColumn("cs", F.sum("z").over(w.orderBy("lvl", "ts").rowsBetween(Window.unboundedPreceding, 0)))
     bowl = F.abs(F.min("cs")) >= F.abs(F.max("cs"))
     return rounded(c.groupBy("series_id").agg(F.when(bowl, "bowl").otherwise("dome").alias("form"), F.when(bowl, F.min_by("lvl", "cs")).otherwise(F.max_by("lvl", "cs")).alias("turning")))
