@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import forecasts, learners, protocols, routes, series, tables  # noqa: F401
+from . import forecasts, learners, routes, series, tables  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -294,7 +294,7 @@ def lf_score_fixed_weights(readings):
     return rounded(d.select("series_id", "ts", "vote_score", "vote_prob", F.when(F.round("vote_score", 9) >= 0, "hot").otherwise("pulse").alias("vote_label")))
 
 
-@query("readings", sql=f"WITH {VOTED} " + " UNION ALL ".join(f"SELECT '{k}' AS voter, round(avg(({k} <> 0)::INT), 5) AS coverage, count(*) FILTER (WHERE {k} > 0) AS n_up, count(*) FILTER (WHERE {k} < 0) AS n_down, round(avg(({k} <> 0 AND (" + " OR ".join(f"({j} <> 0 AND {j} <> {k})" for j in NAMES if j != k) + "))::INT), 5) AS conflict, {FIXED[k]} AS weight FROM vt" for k in NAMES))
+@query("readings", sql=f"WITH {VOTED} " + " UNION ALL ".join(f"SELECT '{k}' AS voter, round(avg(({k} <> 0)::INT), 5) AS coverage, count(*) FILTER (WHERE {k} > 0) AS n_up, count(*) FILTER (WHERE {k} < 0) AS n_down, round(avg(({k} <> 0 AND (" + " OR ".join(f"({j} <> 0 AND {j} <> {k})" for j in NAMES if j != k) + f"))::INT), 5) AS conflict, round({FIXED[k]}::DOUBLE, 5) AS weight FROM vt" for k in NAMES))
 def lf_analysis(readings):
     return rounded(K.analysis(K.votes(readings, VOTERS), NAMES, FIXED))
 
