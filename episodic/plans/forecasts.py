@@ -73,16 +73,17 @@ def forecast_vs_actual(readings):
 
 @query("readings")
 def lead_time_skill(readings):
-    """Area under the curve and average precision of onset by lead time, from a logistic model of the rows up to the median time."""
+    """Area under the curve and average precision of onset by lead time, from a logistic model of the rows up to the median time; features end an hour before the label's hours."""
     d = _filled(readings)
     w, v = W.series(), F.col("lvl")
-    base = d.withColumns({"rise_6h": F.coalesce(v - F.lag(v, 6).over(w), F.lit(0.0)), "rise_24h": F.coalesce(v - F.lag(v, 24).over(w), F.lit(0.0)), "quiet": F.lag(v).over(w) <= 60})
+    ago = lambda h: F.lag(v, h).over(w)
+    base = d.withColumns({"lvl_1": ago(1), "rise_6h": F.coalesce(ago(1) - ago(7), F.lit(0.0)), "rise_24h": F.coalesce(ago(1) - ago(25), F.lit(0.0)), "quiet": ago(1) <= 60})
     middle = d.agg(F.percentile_approx("ts", 0.5, 1_000_000)).first()[0]
     half = F.col("ts") <= F.lit(str(middle)).cast("timestamp_ntz")
     out = []
     for h in (6, 12, 24, 48, 72):
         x = base.withColumn("y", (F.max(v).over(w.rowsBetween(0, h - 1)) > 60).cast("int")).where("quiet")
-        x = D.matrix(x.withColumn("cls", F.when(F.col("y") == 1, "onset").otherwise("calm")), ["lvl", "rise_6h", "rise_24h"], "cls")
+        x = D.matrix(x.withColumn("cls", F.when(F.col("y") == 1, "onset").otherwise("calm")), ["lvl_1", "rise_6h", "rise_24h"], "cls")
         train = D.balanced(x.where(half))
         if train.select("label").distinct().count() < 2:
             continue

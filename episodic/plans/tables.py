@@ -454,10 +454,12 @@ def fold_by_water_year(orders):
     return n.withColumn("n_train", F.sum("n_test").over(Window.orderBy("test_year").rowsBetween(Window.unboundedPreceding, -1)))
 
 
-@query("readings", sql=f"""WITH {FC} SELECT series_id, ts, round(v - lag(v, 6) OVER w, 5) + 0.0 AS rise_6h, round(v - lag(v, 24) OVER w, 5) + 0.0 AS rise_24h, lag(v) OVER w <= 60 AND max(v) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) > 60 AS onset FROM f WINDOW w AS (PARTITION BY series_id ORDER BY ts)""")
+@query("readings", sql=f"""WITH {FC} SELECT series_id, ts, round(lag(v) OVER w - lag(v, 7) OVER w, 5) + 0.0 AS rise_6h, round(lag(v) OVER w - lag(v, 25) OVER w, 5) + 0.0 AS rise_24h, lag(v) OVER w <= 60 AND max(v) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) > 60 AS onset FROM f WINDOW w AS (PARTITION BY series_id ORDER BY ts)""")
 def onset_features(readings):
+    """Features end before the hours in which an onset is looked for."""
     w, v = W.series(), F.col("lvl")
-    return rounded(_filled(readings).select("series_id", "ts", (v - F.lag(v, 6).over(w)).alias("rise_6h"), (v - F.lag(v, 24).over(w)).alias("rise_24h"), ((F.lag(v).over(w) <= 60) & (F.max(v).over(w.rowsBetween(0, 5)) > 60)).alias("onset")))
+    ago = lambda h: F.lag(v, h).over(w)
+    return rounded(_filled(readings).select("series_id", "ts", (ago(1) - ago(7)).alias("rise_6h"), (ago(1) - ago(25)).alias("rise_24h"), ((F.lag(v).over(w) <= 60) & (F.max(v).over(w.rowsBetween(0, 5)) > 60)).alias("onset")))
 
 
 # ---- scalar functions
