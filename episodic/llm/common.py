@@ -60,8 +60,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read again; for large tables.
+def stored(df: DataFrame, *parts: str) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder, a folder for each value of parts, and read again; for large tables.
 
     Spark removes the write's own shuffle files at its end, so that steps don't add up on disk.
     """
@@ -70,7 +70,7 @@ def stored(df: DataFrame) -> DataFrame:
     was = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.partitionBy(*parts).option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)

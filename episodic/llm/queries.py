@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html, licenses, lsh_forest, mixing, quality, suffix_array, suffix_tree, toxicity
+from . import bpe, fingerprint, html, lexical, licenses, lsh_forest, mixing, phrases, quality, secrets, suffix_array, suffix_tree, toxicity
 from .common import table
 
 
@@ -36,7 +36,9 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    return done.select(*named, *(c for c in done.columns if c not in named))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), n=3, threshold=85)
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), n=3, threshold=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +58,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def tokenizer_path() -> str:
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.best(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = secrets.found(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return done.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -73,9 +88,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_bpe": op10_bpe,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 
 _W = r"[^\x20\x09-\x0D]+"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
     "op1_quality_rules": rf"""
@@ -145,4 +165,30 @@ p AS (SELECT doc_id, size, o, (cum + pass * source_size) / target AS finish FROM
 x AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, o, doc_id ROWS UNBOUNDED PRECEDING) AS spent FROM p),
 y AS (SELECT doc_id, count(*) AS n FROM x WHERE spent <= (SELECT sum(source_size) FROM t) GROUP BY doc_id)
 SELECT c.doc_id, c.size, source_size, target, CAST(c.size * coalesce(n, 0) AS BIGINT) AS taken FROM c LEFT JOIN y ON c.doc_id = y.doc_id""",
+    "op11_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS ts FROM documents),
+i AS (SELECT row_number() OVER () AS item_no, * FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT item_no, term, count(*) AS reps FROM (SELECT item_no, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM i) GROUP BY ALL),
+t AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(ts) AS term FROM d) GROUP BY ALL),
+a AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS words FROM d WHERE len(ts) > 0),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM t, a GROUP BY term, docs),
+m AS (SELECT row_no, doc_id, 25 + (75 * CAST(len(ts) AS BIGINT) * docs) // words AS m FROM d, a WHERE len(ts) > 0),
+s AS (SELECT item_no, row_no, CAST(sum(reps * w.w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (row_no) GROUP BY ALL),
+r AS (SELECT item_no, doc_id, score, CAST(row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s JOIN m USING (row_no) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r JOIN i USING (item_no) WHERE rank <= 10""",
+    "op13_phrase_mining": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM documents),
+g AS (SELECT lang, n, array_to_string(ws[i:i + n - 1], ' ') AS phrase FROM (SELECT lang, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM p, range(1, 5) AS x(n))),
+f AS (SELECT lang, n AS len, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+s AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT f.*, k, string_split(phrase, ' ') AS ws FROM f, range(1, 4) AS x(k) WHERE k < len),
+e AS (SELECT c.lang, c.len, c.phrase, c.a, x.a AS l, y.a AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score,
+  row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 2000000 * CAST(c.a AS HUGEINT) // (x.a + y.a), k) AS cut
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+o AS (SELECT lang, phrase, unnest([array_to_string(ws[:-2], ' '), array_to_string(ws[2:], ' ')]) AS part, a FROM (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE len > 2)),
+b AS (SELECT lang, part AS phrase, max(a) AS most FROM o GROUP BY ALL),
+z AS (SELECT e.*, row_number() OVER (PARTITION BY e.lang ORDER BY score DESC, a DESC, e.phrase) AS rank FROM e LEFT JOIN b ON b.lang = e.lang AND b.phrase = e.phrase
+  WHERE cut = 1 AND (most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT)))
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN s USING (lang) WHERE rank <= 2000""",
 }
