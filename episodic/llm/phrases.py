@@ -11,7 +11,7 @@ by array operations. Which those are they know from two Bloom filters of a bound
 the threshold, and those that have done so within the last cycle (only these can have active longer ones). A
 filter errs on one side: phrases that are counted in vain are left out exactly afterwards, when counts meet the
 table of reached phrases. Counts, reached and complete phrases are tables in the shared folder; only the filters'
-words pass through the driver. Each task adds up its phrases before the shuffle, FLUSH words at a time.
+words pass through the driver. Each task adds up its phrases before the shuffle, FLUSH bytes of texts at a time.
 
 Words are runs of anything but space and tab, A-Z lower-cased, in pieces between any of . , ; : ! ? and line
 breaks; phrases stay inside a piece and a language (null: und). A null or empty text has no words. Texts are read
@@ -27,21 +27,26 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, discard, stored
+from .common import checkpointed, discard, small, stored
 
-SHARDS = 4
+SHARDS = 3
 LONGEST = 4
 LEAST = 30
 TOP = 2000
 #: Bits of a Bloom filter for each phrase that it holds (1.4 % of false alarms), and at most (8 MB): it gives more false alarms beyond 4 million phrases, which cost time, not results.
 PER_PHRASE, BITS = 16, 1 << 26
-#: Words whose phrases a task adds up at a time.
-FLUSH = 2_000_000
+#: Bytes of texts whose phrases a task adds up at a time.
+FLUSH = 12_000_000
+#: Rows of a batch that a task hands on.
+ROWS = 200_000
+#: Keys that are broadcast, to pick the rows that are added up; beyond that the join shuffles.
+HEAVY = 1_000_000
 #: Bytes of a text that are looked at a time.
 PIECE = 8_000_000
 
@@ -81,14 +86,6 @@ def filter_bits(reached: DataFrame, lately: Column, size: int = BITS) -> Filter:
     return bits
 
 
-class Words(dict):
-    """Numbers of words in order of their first coming."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def slices(text: bytes) -> Iterator[bytes]:
     """A folded text, cut at ends of pieces where it is long."""
     start = 0
@@ -99,83 +96,87 @@ def slices(text: bytes) -> Iterator[bytes]:
         start = end
 
 
+def numbered(buffer: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers of the words of a folded text, and the words by number."""
+    buffer = buffer.replace(b"\xff", b" \xff ") + b" "
+    ends = np.flatnonzero(np.frombuffer(buffer, np.uint8) == 32) + 1
+    offsets = np.concatenate([np.zeros(1, np.int64), ends])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(buffer)])  # each with the space after it
+    coded = words.filter(pa.array(np.diff(offsets) > 1)).dictionary_encode()
+    return coded.indices.to_numpy(), [w[:-1] for w in coded.dictionary.to_pylist()]
+
+
 class Counter:
-    """Counts the active phrases of one language in one scan."""
+    """Counts the active phrases of one language in one scan. Keys are the language, a tab and the phrase; the empty phrase counts all words."""
 
     def __init__(self, lang: str, words: bool, filters: Filter | None, limit: int):
-        self.lang, self.words, self.filters, self.limit = lang, words, filters, limit
-        self.root = np.uint64(xxhash.xxh64_intdigest(lang.encode(), SEED))
-        self.clear()
-
-    def clear(self) -> None:
-        self.number, self.parts, self.held = Words({b"\xff": 0}), [], 0
+        self.lang, self.words, self.filters, self.limit = lang.encode(), words, filters, limit
+        self.root = turned(np.uint64(xxhash.xxh64_intdigest(self.lang, SEED)))
+        self.parts, self.held = [], 0
 
     def add(self, text: bytes) -> Iterator[pa.RecordBatch]:
         for part in slices(text.translate(FOLD)):
-            found = part.replace(b"\xff", b" \xff ").split(b" ")
-            ids = np.fromiter(map(self.number.__getitem__, filter(None, found)), np.int64)
-            self.parts += [ids, np.zeros(1, np.int64)]
-            self.held += len(ids)
+            self.parts.append(part)
+            self.held += len(part)
             if self.held >= self.limit:
                 yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.held:
+        ids, names = numbered(b"\xff".join(self.parts))
+        self.parts, self.held = [], 0
+        real = np.array([w != b"\xff" for w in names], bool)
+        if not real.any():
             return
-        ids, names = np.concatenate(self.parts), list(self.number)
-        names[0] = b""
-        at = [ids]  # at[n]: the words of each place, n words further on
+        first, rest = pa.array([self.lang + b"\t" + w for w in names], pa.binary()), pa.array(names, pa.binary())
         if self.words:
-            n = np.bincount(ids, minlength=len(names))
-            seen = np.flatnonzero(n[1:]) + 1
-            yield self.batch(1, [names[i] for i in seen.tolist()], n[seen])
-        if self.filters is not None:
-            word = np.array([self.root, *(np.uint64(xxhash.xxh64_intdigest(w, SEED)) for w in names[1:])], np.uint64)
-            h = turned(self.root) ^ word
-            inside = ids > 0
-            whole, fresh = ((holds(bits, h) & (np.arange(len(h)) > 0))[ids] for bits in self.filters)
-            hashes = h[ids]
-            for n in range(2, LONGEST + 1):
-                # from phrases of n - 1 words at each place to those of n: both halves reached, one of them lately
-                may = whole[:-1] & whole[1:] & inside[n - 1 :]
-                active = np.flatnonzero(may & (fresh[:-1] | fresh[1:]))
-                if len(active):
-                    yield from self.distinct(n, ids, active, names)
-                if n == LONGEST or not may.any():
-                    break
-                hashes = turned(hashes[:-1]) ^ word[ids[n - 1 :]]
-                some = np.flatnonzero(may)
-                whole, fresh = np.zeros(len(may), bool), np.zeros(len(may), bool)
-                whole[some] = holds(self.filters[0], hashes[some])
-                fresh[some] = holds(self.filters[1], hashes[some])
-        self.clear()
-
-    def distinct(self, n: int, ids: np.ndarray, places: np.ndarray, names: list[bytes]) -> Iterator[pa.RecordBatch]:
-        """The phrases of n words at these places, each once with its count."""
-        key = ids[places]
-        for k in range(1, n):
-            key = (key << 32) | ids[places + k]
-            if k < n - 1:
-                key = np.unique(key, return_inverse=True)[1]
-        _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        start = places[first]
-        cut = 200_000
-        for i in range(0, len(start), cut):
-            columns = [map(names.__getitem__, ids[start[i : i + cut] + k].tolist()) for k in range(n)]
-            yield self.batch(n, list(map(b" ".join, zip(*columns, strict=True))), counts[i : i + cut])
-
-    def batch(self, n: int, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
-        size = len(phrases)
-        return pa.record_batch({"lang": pa.array([self.lang] * size, pa.string()), "n": pa.array(np.full(size, n), pa.int32()), "phrase": pa.array(phrases, pa.binary()), "cnt": pa.array(counts, pa.int64())})
+            n = np.bincount(ids, minlength=len(names))[real]
+            yield batch(first.filter(pa.array(real)), n)
+            yield batch(pa.array([self.lang + b"\t"], pa.binary()), np.array([n.sum()]))
+        if self.filters is None:
+            return
+        word = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in names), np.uint64, len(names))
+        whole, fresh = ((holds(bits, self.root ^ word) & real)[ids] for bits in self.filters)
+        hashes, inside = (self.root ^ word)[ids], real[ids]
+        for n in range(2, LONGEST + 1):
+            # from phrases of n - 1 words at each place to those of n: both halves reached, one of them lately
+            may = whole[:-1] & whole[1:] & inside[n - 1 :]
+            active = np.flatnonzero(may & (fresh[:-1] | fresh[1:]))
+            if len(active):
+                start, counts = distinct(n, ids, active)
+                for i in range(0, len(start), ROWS):
+                    at = start[i : i + ROWS]
+                    columns = [first.take(pa.array(ids[at])), *(rest.take(pa.array(ids[at + k])) for k in range(1, n))]
+                    yield batch(pc.binary_join_element_wise(*columns, b" "), counts[i : i + ROWS])
+            some = np.flatnonzero(may)
+            if n == LONGEST or not len(some):
+                break
+            hashes = turned(hashes[:-1]) ^ word[ids[n - 1 :]]
+            whole, fresh = np.zeros(len(may), bool), np.zeros(len(may), bool)
+            whole[some], fresh[some] = (holds(bits, hashes[some]) for bits in self.filters)
+
+
+def distinct(n: int, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each phrase of n words at these places, and its count."""
+    key = ids[places].astype(np.int64)
+    for k in range(1, n):
+        key = key << 32 | ids[places + k]
+        if k < n - 1:
+            key = np.unique(key, return_inverse=True)[1]
+    _, first, counts = np.unique(key, return_index=True, return_counts=True)
+    return places[first], counts
+
+
+def batch(keys: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"key": keys, "cnt": pa.array(counts, pa.int64())})
 
 
 def scan(shard: DataFrame, step: int, words: bool, shipped: Broadcast, limit: int = FLUSH) -> DataFrame:
-    """(lang, n, phrase, cnt, step): counts of the phrases of a shard that may be active by the shipped filters."""
+    """(key, cnt, step): counts of the phrases of a shard that may be active by the shipped filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[str, Counter] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for rows in batches:
+            for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True):
                 if lang not in counters:
                     counters[lang] = Counter(lang, words, shipped.value, limit)
                 yield from counters[lang].add(text)
@@ -184,9 +185,8 @@ def scan(shard: DataFrame, step: int, words: bool, shipped: Broadcast, limit: in
         for c in counters.values():
             yield from c.flush()
 
-    rows = shard.mapInArrow(run, "lang string, n int, phrase binary, cnt long")
-    rows = rows.select("lang", "n", F.col("phrase").cast("string").alias("phrase"), "cnt")
-    return rows.groupBy("lang", "n", "phrase").agg(F.sum("cnt").alias("cnt")).withColumn("step", F.lit(step))
+    counted = shard.mapInArrow(run, "key binary, cnt long").select(F.col("key").cast("string").alias("key"), "cnt")
+    return counted.groupBy("key").agg(F.sum("cnt").alias("cnt")).withColumn("step", F.lit(step))
 
 
 def halves(df: DataFrame) -> DataFrame:
@@ -209,8 +209,10 @@ def frequent(documents: DataFrame, least: int = LEAST, shards: int = SHARDS, flu
         counts[step] = stored(scan(texts.where(F.col("shard") == step % shards).select("lang", "text"), step, step < shards, shipped, flush))
         shipped.destroy()
         if step < shards:
-            totals.append(checkpointed(counts[step].where("n = 1").groupBy("lang").agg(F.sum("cnt").alias("n"))))  # a row a language
-        judged.append(stored(judge(list(counts.values()), union(judged), step, shards, least)))
+            totals.append(checkpointed(counts[step].where(F.endswith("key", F.lit("\t"))).select(F.expr("left(key, length(key) - 1)").alias("lang"), "cnt")))  # a row a language
+        heavy = stored(union(list(counts.values())).where(F.col("cnt") >= -(-least // shards)).select("key").distinct())
+        judged.append(stored(judge(counts, heavy, union(judged), step, shards, least)))
+        discard(heavy)
         if step + 1 - shards in counts:
             discard(counts.pop(step + 1 - shards))
         reached = union(judged).where((F.col("reach") >= 0) & (F.col("n") < LONGEST))
@@ -219,30 +221,33 @@ def frequent(documents: DataFrame, least: int = LEAST, shards: int = SHARDS, flu
         step += 1
     out = stored(union(judged).where("complete").select("lang", "n", "phrase", "a"))
     discard(texts, *counts.values(), *judged)
-    return out, union(totals).groupBy("lang").agg(F.sum("n").alias("n"))
+    return out, union(totals).groupBy("lang").agg(F.sum("cnt").alias("n"))
 
 
 def union(tables: list[DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, tables) if tables else None
 
 
-def judge(counts: list[DataFrame], judged: DataFrame | None, step: int, shards: int, least: int) -> DataFrame:
+def judge(counts: dict[int, DataFrame], heavy: DataFrame, judged: DataFrame | None, step: int, shards: int, least: int) -> DataFrame:
     """(lang, n, phrase, a, reach, complete) of phrases that reach the threshold in this scan (reach, else -1) or complete their cycle with it.
 
     counts: of the scans of the last cycle. A phrase starts after the later of its halves' reach, a word at 0;
-    counts of scans before that are of no account.
+    counts of scans before that are of no account. Whoever reaches the threshold in a cycle has its part of it in
+    one scan at least, so the many rare phrases needn't meet: only rows of keys that have that (heavy) are added up.
     """
-    per = union(counts).groupBy("lang", "n", "phrase").agg(F.sum("cnt").alias("a"), F.collect_list(F.struct("step", "cnt")).alias("per")).where(F.col("a") >= least)
+    rows = union(list(counts.values()))
+    upto = lambda end: sum((F.when(F.col("start") <= s, F.col(f"c{s}")).otherwise(0) for s in counts if s <= end), F.lit(0).cast("long"))
+    per = rows.join(small(heavy, HEAVY), "key", "left_semi").groupBy("key").agg(*(F.coalesce(F.sum(F.when(F.col("step") == s, F.col("cnt"))), F.lit(0)).alias(f"c{s}") for s in counts))
+    per = per.where(sum(F.col(f"c{s}") for s in counts) >= least).withColumn("phrase", F.substring_index("key", "\t", -1)).where("phrase != ''")
+    per = per.withColumns({"lang": F.expr("left(key, length(key) - length(phrase) - 1)"), "n": F.expr("length(phrase) - length(replace(phrase, ' ', '')) + 1")})
     if judged is None:
-        started = per.withColumn("start", F.lit(0))
+        started = per.where("n = 1").withColumn("start", F.lit(0))
     else:
         reach = judged.where("reach >= 0").select("lang", "phrase", "reach")
-        longer = halves(per.where("n > 1"))
-        longer = longer.join(reach.select("lang", F.col("phrase").alias("head"), F.col("reach").alias("r1")), ["lang", "head"]).join(reach.select("lang", F.col("phrase").alias("tail"), F.col("reach").alias("r2")), ["lang", "tail"])
-        started = per.where("n = 1").withColumn("start", F.lit(0)).unionByName(longer.withColumn("start", F.greatest("r1", "r2") + 1).select(*per.columns, "start"))
-    upto = lambda end: F.aggregate(F.filter("per", lambda x: (x["step"] >= F.col("start")) & (x["step"] <= end)), F.lit(0).cast("long"), lambda s, x: s + x["cnt"])
-    open_ = started.where((F.col("start") <= step) & (F.col("start") > step - shards)).withColumns({"a": upto(step), "before": upto(step - 1)}).where(F.col("a") >= least)
-    out = open_.select("lang", "n", "phrase", "a", F.when(F.col("before") < least, step).otherwise(-1).alias("reach"), (F.col("start") == step + 1 - shards).alias("complete"))
+        both = halves(per).join(reach.select("lang", F.col("phrase").alias("head"), F.col("reach").alias("r1")), ["lang", "head"], "left").join(reach.select("lang", F.col("phrase").alias("tail"), F.col("reach").alias("r2")), ["lang", "tail"], "left")
+        started = both.withColumn("start", F.when(F.col("n") == 1, 0).when(F.col("r1").isNotNull() & F.col("r2").isNotNull(), F.greatest("r1", "r2") + 1))
+    active = started.where((F.col("start") <= step) & (F.col("start") > step - shards)).withColumns({"a": upto(step), "before": upto(step - 1)}).where(F.col("a") >= least)
+    out = active.select("lang", "n", "phrase", "a", F.when(F.col("before") < least, step).otherwise(-1).alias("reach"), (F.col("start") == step + 1 - shards).alias("complete"))
     return out.where("reach >= 0 OR complete")
 
 

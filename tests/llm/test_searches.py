@@ -195,7 +195,7 @@ def phrase_rows():
     return rows + [("en", None), ("fr", ""), ("de", " ".join(["Ha"] * 500)), ("it", "rare words here")] + rows[:3] * 4
 
 
-@pytest.mark.parametrize(("shards", "flush"), [(4, 2_000_000), (3, 50), (1, 2_000_000)])
+@pytest.mark.parametrize(("shards", "flush"), [(3, 12_000_000), (2, 300)])
 def test_mining_equals_brute_force(spark, shards, flush):
     rows = phrase_rows()
     d = spark.createDataFrame(rows, "lang string, text string").withColumns({"n": F.lit("x"), "phrase": F.lit(1), "shard": F.lit(9)}).repartition(4)
