@@ -15,18 +15,19 @@ def confusion(df: DataFrame, true: str, pred: str, labels: list) -> DataFrame:
     return grid.join(n, ["true", "pred"], "left").select("true", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def class_metrics(cells: DataFrame) -> DataFrame:
-    """One row: accuracy, macro_f1 (classes that are true or predicted), balanced (true classes), kappa, mcc, from cells (true, pred, n)."""
-    by_true = cells.groupBy(F.col("true").alias("c")).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
-    by_pred = cells.groupBy(F.col("pred").alias("c")).agg(F.sum("n").alias("p"))
-    m = by_true.join(by_pred, "c", "full").select("c", *(F.coalesce(x, F.lit(0)).cast("double").alias(x) for x in ("t", "p", "tp")))
-    a = m.agg(
+def class_metrics(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A row (for each key): accuracy, macro_f1 (classes that are true or predicted), balanced (true classes), kappa, mcc, from cells (keys, true, pred, n)."""
+    keys = keys or []
+    by_true = cells.groupBy(*keys, F.col("true").alias("c")).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
+    by_pred = cells.groupBy(*keys, F.col("pred").alias("c")).agg(F.sum("n").alias("p"))
+    m = by_true.join(by_pred, [*keys, "c"], "full").select(*keys, "c", *(F.coalesce(x, F.lit(0)).cast("double").alias(x) for x in ("t", "p", "tp")))
+    a = m.groupBy(*keys).agg(
         F.sum("tp").alias("hit"), F.sum("t").alias("n"), F.sum(F.col("t") * F.col("p")).alias("tp_sum"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("p") * F.col("p")).alias("pp"),
         F.avg(F.when(F.col("t") + F.col("p") > 0, 2 * F.col("tp") / (F.col("t") + F.col("p")))).alias("macro_f1"), F.avg(F.when(F.col("t") > 0, F.col("tp") / F.col("t"))).alias("balanced"),
     )
     n, chance = F.col("n"), F.col("tp_sum") / (F.col("n") * F.col("n"))
     root = F.sqrt((n * n - F.col("pp")) * (n * n - F.col("tt")))
-    return a.select((F.col("hit") / n).alias("accuracy"), "macro_f1", "balanced", F.when(chance < 1, (F.col("hit") / n - chance) / (1 - chance)).alias("kappa"), F.when(root > 0, (F.col("hit") * n - F.col("tp_sum")) / root).otherwise(0.0).alias("mcc"))
+    return a.select(*keys, (F.col("hit") / n).alias("accuracy"), "macro_f1", "balanced", F.when(chance < 1, (F.col("hit") / n - chance) / (1 - chance)).alias("kappa"), F.when(root > 0, (F.col("hit") * n - F.col("tp_sum")) / root).otherwise(0.0).alias("mcc"))
 
 
 def _by_score(df: DataFrame, y: str, score: str, keys: list[str]) -> DataFrame:

@@ -94,15 +94,6 @@ def lead_time_skill(readings):
     return rounded(reduce(lambda a, b: a.unionByName(b), out), 4)
 
 
-@query("scored")
-def cv_logo(scored):
-    """Pooled predictions of models that did not see the row's group, for groups dealt to sources of one language family; groups are a bounded set."""
-    d = units(scored).withColumn("fold", F.substring("grp", 4, 1))
-    p = D.out_of_fold(d, D.logistic(1.0))
-    cells = p.groupBy(F.col("label").alias("true"), F.col("prediction").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
-    return rounded(M.class_metrics(cells))
-
-
 @query("scored")
 def sampling_shapley(scored):
     """Mean absolute Shapley values of a logistic model's probability, by sampled orders of three features against the mean row."""
