@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import heldout as H
+from ..operators import rocket as R
+from ..operators import windows as W
 from .registry import query, rounded
 from .tables import with_group_folds
 
@@ -89,3 +91,35 @@ def boundary_panel(scored):
     """How close to the boundary are a group's units: entropy of their held-out probabilities against the median of all other groups' units."""
     _, p = by_group(scored, {"bayes": H.bayes()})
     return rounded(H.boundary(p, "grp"))
+
+
+KERNELS = 10_000
+HEADS = {"pca_lda": H.components(0.95, H.lda()), "pca_ridge": H.components(0.95, H.ridge())}
+
+
+def labelled_days(readings):
+    """One row per series and day: level, salinity and temperature of 24 hours; y: is the target above 0 in most of them; folds of whole weeks."""
+    d = W.forward_fill(W.complete_grid(readings), {"lvl": 50.0, "sal": 50.0, "temp": 50.0, "target": 0.0})
+    g = d.groupBy("series_id", F.date_trunc("day", "ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "lvl", "sal", "temp"))).alias("v"), F.count_if(F.col("target") > 0).alias("on")).where(F.size("v") == 24)
+    field = lambda c: F.transform("v", lambda x: x[c])
+    seq = F.array(field("lvl"), field("sal"), field("temp"))
+    return g.select("series_id", "day", (F.col("on") >= 6).cast("long").alias("y"), F.pmod(F.weekofyear("day"), F.lit(5)).cast("long").alias("fold"), seq.alias("seq"))
+
+
+@query("readings")
+def rocket_heads(readings):
+    """Scores of linear heads on 95 % components of 10,000 kernels' columns, weeks held out."""
+    rows = R.projected(labelled_days(readings), R.bank(KERNELS, 3, 24), "seq", "fold")
+    return rounded(H.results(H.scores(R.heads(rows, "y", "fold", HEADS), "y", ["model"]), "rocket"), 4)
+
+
+@query("readings")
+def rocket_attribution(readings):
+    """Importance of channels, and of dilations by pool, in a ridge head on all days."""
+    kernels = R.bank(1_000, 3, 24)
+    days = labelled_days(readings)
+    found = R.importance(days, kernels, "seq", *R.head_weights(days, kernels, "seq", "y"))
+    told = R.described(readings.sparkSession, kernels)
+    one = R.by_tag(found, told, ["channel"]).select(F.lit("channel").alias("tag"), F.col("channel").cast("string").alias("value"), F.lit("all").alias("pool"), "importance")
+    two = R.by_tag(found, told, ["dilation", "pool"]).select(F.lit("dilation").alias("tag"), F.col("dilation").cast("string").alias("value"), "pool", "importance")
+    return rounded(one.unionByName(two), 4)
