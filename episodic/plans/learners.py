@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import information as I
 from ..operators import models as D
 from ..operators import rocket as R
 from ..operators import windows as W
@@ -113,3 +114,21 @@ def time_permutation(iv):
     """One permutation of steps for all units."""
     steps = F.array(*(F.col("interval_id") + i for i in range(4)))
     return iv.select("interval_id", F.get(F.transform(F.array(*(F.lit(p) for p in PERM)), lambda i: F.get(steps, i)), F.lit(1)).alias("second"))
+
+
+def _psi(n: str) -> str:
+    steps = " + ".join(f"1 / (CAST({n} AS DOUBLE) + {i})" for i in range(8))
+    return f"(ln({n} + 8) - 1 / (2.0::DOUBLE * ({n} + 8)) - 1 / (12.0::DOUBLE * pow({n} + 8, 2)) + 1 / (120.0::DOUBLE * pow({n} + 8, 4)) - 1 / (252.0::DOUBLE * pow({n} + 8, 6)) - ({steps}))"
+
+
+@query("orders", sql=f"""WITH u AS (SELECT o_orderstatus AS y, unnest([{{'f': 'price', 'x': CAST(o_totalprice AS DOUBLE)}}, {{'f': 'day', 'x': CAST(dayofyear(o_orderdate) AS DOUBLE)}}, {{'f': 'year', 'x': CAST(year(o_orderdate) AS DOUBLE)}}]) AS p FROM orders),
+s AS (SELECT y, p.f AS f, p.x AS x, count(*) OVER (PARTITION BY p.f, y) AS size FROM u), q AS (SELECT * FROM s WHERE size > 1),
+d AS (SELECT *, least(3, size - 1) AS k, list_sort(list_filter([{", ".join(f"abs(x - {way}(x, {i}) OVER w)" for way in ("lag", "lead") for i in (1, 2, 3))}], lambda v: v IS NOT NULL)) AS ds FROM q WINDOW w AS (PARTITION BY f, y ORDER BY x)),
+r AS (SELECT f, y, x, size, k, ds[k] AS r, count(*) AS c FROM d GROUP BY ALL), v AS (SELECT f, x, count(*) AS c FROM q GROUP BY ALL),
+m AS (SELECT r.f, r.y, r.x, r.size, r.k, r.c, CAST(sum(v.c) AS BIGINT) AS m FROM r JOIN v ON v.f = r.f AND v.x >= r.x - r.r AND v.x <= r.x + r.r AND (r.r = 0 OR (v.x > r.x - r.r AND v.x < r.x + r.r)) GROUP BY ALL),
+t AS (SELECT f, CAST(sum(c) AS BIGINT) AS n, sum(c * {_psi("k")}) / sum(c) AS a, sum(c * {_psi("size")}) / sum(c) AS b, sum(c * {_psi("m")}) / sum(c) AS e FROM m GROUP BY 1)
+SELECT f AS feature, n, round(greatest({_psi("n")} + a - b - e, 0), 5) AS information FROM t""")
+def mutual_info_neighbours(orders):
+    """Information that price, day of the year and year hold about an order's status, from three neighbours."""
+    d = orders.select("o_orderstatus", F.col("o_totalprice").alias("price"), F.dayofyear("o_orderdate").alias("day"), F.year("o_orderdate").alias("year"))
+    return rounded(I.neighbour_information(d, ["price", "day", "year"], "o_orderstatus"))

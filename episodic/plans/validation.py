@@ -109,7 +109,7 @@ def labelled_days(readings):
 @query("readings")
 def rocket_heads(readings):
     """Scores of linear heads on 95 % components of 10,000 kernels' columns, weeks held out."""
-    rows = R.projected(labelled_days(readings), R.bank(KERNELS, 3, 24), "seq", "fold")
+    rows = R.projected(labelled_days(readings), R.bank(KERNELS, 3, 24), "seq", "fold").persist()  # read for fits, predictions and scores
     return rounded(H.results(H.scores(R.heads(rows, "y", "fold", HEADS), "y", ["model"]), "rocket"), 4)
 
 
