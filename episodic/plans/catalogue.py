@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import forecasts, learners, routes, series, tables, validation  # noqa: F401
+from . import backtests, forecasts, learners, routes, series, tables, validation  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
