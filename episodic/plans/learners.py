@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import clustering as C
 from ..operators import information as I
 from ..operators import models as D
 from ..operators import rocket as R
@@ -132,3 +133,22 @@ def mutual_info_neighbours(orders):
     """Information that price, day of the year and year hold about an order's status, from three neighbours."""
     d = orders.select("o_orderstatus", F.col("o_totalprice").alias("price"), F.dayofyear("o_orderdate").alias("day"), F.year("o_orderdate").alias("year"))
     return rounded(I.neighbour_information(d, ["price", "day", "year"], "o_orderstatus"))
+
+
+def swept(embeddings):
+    d = embeddings.select(F.col(embeddings.columns[0]).alias("id"), F.transform(_vector(embeddings), lambda v: v.cast("double")).alias("x"))
+    return d, *C.sweep(d, "x", list(range(2, 9)))
+
+
+@query("embeddings")
+def kmeans_sweep(embeddings):
+    """The least cost of 20 starts for each k from 2 to 8."""
+    _, costs, _ = swept(embeddings)
+    return rounded(costs.groupBy("k").agg(F.min("cost").alias("cost"), F.count(F.lit(1)).alias("starts")), 4)
+
+
+@query("embeddings")
+def kmeans_labels(embeddings):
+    """Each vector's cluster for every k, numbered by the median length of its vectors."""
+    d, _, best = swept(embeddings)
+    return C.assigned(d.withColumn("norm", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)), "x", best, "norm").select("id", "k", "cluster")

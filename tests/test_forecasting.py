@@ -45,8 +45,8 @@ def test_backtest_of_nothing(spark):
 
 
 def test_decomposition(spark):
-    x = [1.0, 2, 4, 8, 16, 3, 2]
-    (r,) = P.decomposed(spark.createDataFrame([(x,)], "v array<double>"), "v", 5).collect()
+    x = [1.0, 2.0, 4.0, 8.0, 16.0, 3.0, 2.0]
+    (r,) = P.decomposed(spark.createDataFrame([(1, x)], "i long, v array<double>"), "v", 5).collect()
     padded = np.pad(x, 2, mode="edge")
     want = [padded[i : i + 5].mean() for i in range(7)]
     assert np.allclose(r.trend, want) and np.allclose(np.add(r.trend, r.remainder), x)
@@ -54,7 +54,7 @@ def test_decomposition(spark):
 
 def test_lines_between_anchors(spark):
     anchors, v = [1, 4, 5, 9], [2.0, 8.0, -1.0, 3.0]
-    (r,) = spark.createDataFrame([(v,)], "v array<double>").select(P.between(anchors, F.col("v"), 12).alias("f")).collect()
+    (r,) = spark.createDataFrame([(1, v)], "i long, v array<double>").select(P.between(anchors, F.col("v"), 12).alias("f")).collect()
     assert np.allclose(r.f, np.interp(np.arange(12), anchors, v))
 
 
