@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, discard, small, stored
 
-SHARDS = 3
+SHARDS = 2
 LONGEST = 4
 LEAST = 30
 TOP = 2000
@@ -135,35 +135,40 @@ class Counter:
         if self.filters is None:
             return
         word = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in names), np.uint64, len(names))
-        whole, fresh = ((holds(bits, self.root ^ word) & real)[ids] for bits in self.filters)
-        hashes, inside = (self.root ^ word)[ids], real[ids]
+        every, lately = self.filters
+        inside, hashes = real[ids], (self.root ^ word)[ids]
+        fresh, real_here = (holds(lately, self.root ^ word) & real)[ids], inside
         for n in range(2, LONGEST + 1):
-            # from phrases of n - 1 words at each place to those of n: both halves reached, one of them lately
-            may = whole[:-1] & whole[1:] & inside[n - 1 :]
-            active = np.flatnonzero(may & (fresh[:-1] | fresh[1:]))
+            # from phrases of n - 1 words at each place to those of n: one half reached lately, both at all
+            inside = inside[:-1] & real_here[n - 1 :]
+            active = np.flatnonzero(inside & (fresh[:-1] | fresh[1:]))
+            active = active[holds(every, hashes[active])]
+            active = active[holds(every, hashes[active + 1])]
             if len(active):
-                start, counts = distinct(n, ids, active)
-                for i in range(0, len(start), ROWS):
-                    at = start[i : i + ROWS]
-                    columns = [first.take(pa.array(ids[at])), *(rest.take(pa.array(ids[at + k])) for k in range(1, n))]
-                    yield batch(pc.binary_join_element_wise(*columns, b" "), counts[i : i + ROWS])
-            some = np.flatnonzero(may)
-            if n == LONGEST or not len(some):
+                for at, counts in distinct(n, ids, active):
+                    columns = [first.take(pa.array(at[0])), *(rest.take(pa.array(a)) for a in at[1:])]
+                    yield batch(pc.binary_join_element_wise(*columns, b" "), counts)
+            places = np.flatnonzero(inside)
+            if n == LONGEST or not len(places):
                 break
             hashes = turned(hashes[:-1]) ^ word[ids[n - 1 :]]
-            whole, fresh = np.zeros(len(may), bool), np.zeros(len(may), bool)
-            whole[some], fresh[some] = (holds(bits, hashes[some]) for bits in self.filters)
+            fresh = np.zeros(len(hashes), bool)
+            fresh[places] = holds(lately, hashes[places])
 
 
-def distinct(n: int, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each phrase of n words at these places, and its count."""
-    key = ids[places].astype(np.int64)
-    for k in range(1, n):
-        key = key << 32 | ids[places + k]
-        if k < n - 1:
-            key = np.unique(key, return_inverse=True)[1]
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    return places[first], counts
+def distinct(n: int, ids: np.ndarray, places: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Word numbers of each phrase of n words at these places, word by word, and its count; ROWS at a time."""
+    key = ids[places].astype(np.int64) << 32 | ids[places + 1]
+    if n == 2:
+        pairs, counts = np.unique(key, return_counts=True)
+        words = [pairs >> 32, pairs & 0xFFFFFFFF]
+    else:
+        for k in range(2, n):
+            key = np.unique(key, return_inverse=True)[1] << 32 | ids[places + k]
+        _, first, counts = np.unique(key, return_index=True, return_counts=True)
+        words = [ids[places[first] + k] for k in range(n)]
+    for i in range(0, len(counts), ROWS):
+        yield [w[i : i + ROWS] for w in words], counts[i : i + ROWS]
 
 
 def batch(keys: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
@@ -237,7 +242,8 @@ def judge(counts: dict[int, DataFrame], heavy: DataFrame, judged: DataFrame | No
     """
     rows = union(list(counts.values()))
     upto = lambda end: sum((F.when(F.col("start") <= s, F.col(f"c{s}")).otherwise(0) for s in counts if s <= end), F.lit(0).cast("long"))
-    per = rows.join(small(heavy, HEAVY), "key", "left_semi").groupBy("key").agg(*(F.coalesce(F.sum(F.when(F.col("step") == s, F.col("cnt"))), F.lit(0)).alias(f"c{s}") for s in counts))
+    hashed = heavy.select(F.xxhash64("key").alias("h")).distinct()  # a key that shares a hash is added up in vain
+    per = rows.join(small(hashed, HEAVY), F.xxhash64(rows["key"]) == F.col("h"), "left_semi").groupBy("key").agg(*(F.coalesce(F.sum(F.when(F.col("step") == s, F.col("cnt"))), F.lit(0)).alias(f"c{s}") for s in counts))
     per = per.where(sum(F.col(f"c{s}") for s in counts) >= least).withColumn("phrase", F.substring_index("key", "\t", -1)).where("phrase != ''")
     per = per.withColumns({"lang": F.expr("left(key, length(key) - length(phrase) - 1)"), "n": F.expr("length(phrase) - length(replace(phrase, ' ', '')) + 1")})
     if judged is None:
