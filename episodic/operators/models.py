@@ -90,5 +90,19 @@ def components(df: DataFrame, k: int) -> DataFrame:
     return PCA(k=k, inputCol="features", outputCol="pc").fit(df).transform(df).withColumn("pcs", vector_to_array("pc")).drop("pc")
 
 
+def explained(df: DataFrame, share: float) -> DataFrame:
+    """(component, share, total): the first principal components of features that together hold a share of the variance."""
+    size = len(df.select("features").first()[0])
+    held = PCA(k=size, inputCol="features", outputCol="pc").fit(df).explainedVariance.toArray()
+    totals = held.cumsum()
+    kept = int((totals < share - 1e-12).sum()) + 1
+    return df.sparkSession.createDataFrame([(i + 1, float(held[i]), float(totals[i])) for i in range(min(kept, size))], "component long, share double, total double")
+
+
+def components_holding(df: DataFrame, share: float) -> DataFrame:
+    """df(features, ...) with pcs, as many principal components as hold a share of the variance."""
+    return components(df, explained(df, share).count())
+
+
 def vectors(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.transform(column, lambda x: x.cast("double"))))

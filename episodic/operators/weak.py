@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 #: voter -> (column, lower share, upper share, vote below, vote above, whether the value's size counts without its sign)
 Voters = dict[str, tuple[str, float, float, int, int, bool]]
 
@@ -16,10 +18,12 @@ def votes(df: DataFrame, voters: Voters) -> DataFrame:
     """df with a column per voter: its vote below the lower or above the upper quantile (above wins ties), 0 between and on null; voters without their column are left out."""
     used = {k: v for k, v in voters.items() if v[0] in df.columns}
     value = {k: F.abs(v[0]) if v[5] else F.col(v[0]) for k, v in used.items()}
-    q = df.agg(*(F.percentile(value[k], F.lit(p)).alias(f"__{k}_{s}") for k, v in used.items() for s, p in (("lo", v[1]), ("hi", v[2]))))
-    d = df.crossJoin(F.broadcast(q))  # q is one row
-    out = {k: F.when(value[k] >= F.col(f"__{k}_hi"), v[4]).when(value[k] <= F.col(f"__{k}_lo"), v[3]).otherwise(0) for k, v in used.items()}
-    return d.withColumns(out).drop(*q.columns)
+    ready = df.withColumns({f"__v_{k}": v for k, v in value.items()})
+    shares = sorted({p for v in used.values() for p in v[1:3]})
+    cuts = exact_quantiles(ready, [f"__v_{k}" for k in used], shares)
+    cut = lambda k, p: F.lit(cuts[f"__v_{k}"][shares.index(p)])
+    out = {k: F.when(value[k] >= cut(k, v[2]), v[4]).when(value[k] <= cut(k, v[1]), v[3]).otherwise(0) for k, v in used.items()}
+    return df.withColumns(out)
 
 
 def agreement(voted: DataFrame, names: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import micros
+from .quantiles import exact_quantiles
 
 HOUR_US = 3_600_000_000
 
@@ -48,6 +49,12 @@ def forward_fill(df: DataFrame, columns: dict[str, float]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(v)) for c, v in columns.items()})
 
 
+def causal_fill(df: DataFrame, levels: list[str], fluxes: list[str]) -> DataFrame:
+    """Nulls take the last value before them; where there is none, a level takes its median over all rows and a flux 0. A level without any value stays null."""
+    middles = exact_quantiles(df, levels, [0.5])
+    return forward_fill(df, {**{c: m for c, (m,) in middles.items()}, **{c: 0.0 for c in fluxes}})
+
+
 def leading_null_guard(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per series and column, nulls left and whether they are all at the beginning after filling forward."""
     d = df.withColumn("__i", F.row_number().over(series()))

@@ -10,7 +10,6 @@ from ..operators import metrics as M
 from ..operators import models as D
 from ..operators import regression as G
 from ..operators import windows as W
-from .learners import units
 from .registry import query, rounded
 from .tables import _filled, forecast_score
 
@@ -92,22 +91,3 @@ def lead_time_skill(readings):
     if not out:
         return readings.sparkSession.createDataFrame([], "lead_h long, auc double, ap double")
     return rounded(reduce(lambda a, b: a.unionByName(b), out), 4)
-
-
-@query("scored")
-def sampling_shapley(scored):
-    """Mean absolute Shapley values of a logistic model's probability, by sampled orders of three features against the mean row."""
-    d = D.balanced(units(scored))
-    model = D.logistic(1.0)(d).fit(d)
-    names = ["score", "pred", "toxic"]
-    x = d.select("unit_id", D.vector_to_array("features").alias("x"))
-    orders = [(0, 1, 2), (1, 2, 0), (2, 0, 1), (0, 2, 1), (1, 0, 2), (2, 1, 0)]
-    steps = [(o, k, o[:k]) for o in orders for k in range(4)]
-    made = F.array(*(F.struct(F.lit(str(o)).alias("o"), F.lit(k).alias("k"), F.array(*(F.get("x", F.lit(i)) if i in on else F.lit(0.0) for i in range(3))).alias("v"), F.lit(o[k - 1] if k else -1).alias("added")) for o, k, on in steps))
-    rows = x.select("unit_id", F.inline(made)).withColumn("features", D.array_to_vector("v"))
-    p = model.transform(rows).select("unit_id", "o", "k", "added", F.get(D.vector_to_array("probability"), F.lit(1)).alias("p"))
-    w = W.Window.partitionBy("unit_id", "o").orderBy("k")
-    gain = p.withColumn("gain", F.col("p") - F.lag("p").over(w)).where("k > 0")
-    phi = gain.groupBy("unit_id", "added").agg(F.avg("gain").alias("phi"))
-    feature = F.get(F.array(*(F.lit(n) for n in names)), F.col("added"))
-    return rounded(phi.groupBy(feature.alias("feature")).agg(F.avg(F.abs("phi")).alias("mean_abs")), 4)

@@ -34,10 +34,11 @@ def cv_boosted(scored):
     return rounded(D.fold_metrics(D.out_of_fold(units(scored), D.boosted(5))))
 
 
-@query("scored", sql="SELECT y, count(*) AS n FROM scored GROUP BY 1")
+@query("scored", sql="""WITH a AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) AS i FROM scored), b AS (SELECT y, row_number() OVER (ORDER BY substr(md5('3:' || unit_id), 1, 13)) AS i FROM scored)
+SELECT unit_id, b.y FROM a JOIN b USING (i)""")
 def label_permutation(scored):
-    """Totals per label after a seeded permutation are those before it."""
-    return D.permuted(scored.select("unit_id", "y"), "y", "unit_id", 3).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    """Labels dealt anew in a seeded order."""
+    return D.permuted(scored.select("unit_id", "y"), "y", "unit_id", 3)
 
 
 @query("embeddings")
@@ -53,6 +54,12 @@ def pca2(embeddings):
     return rounded(d.select(embeddings.columns[0], F.get("pcs", F.lit(0)).alias("pc1"), F.get("pcs", F.lit(1)).alias("pc2")), 4)
 
 
+@query("embeddings")
+def pca95(embeddings):
+    """How many components hold 95 % of the variance, and how much each of them holds."""
+    return rounded(D.explained(D.vectors(embeddings, _vector(embeddings)), 0.95), 4)
+
+
 def _vector(df) -> str:
     return next(c for c, t in df.dtypes if t.startswith("array"))
 
@@ -70,33 +77,6 @@ def rocket_features(readings):
     return R.transform(R.scale_channels(sequences(readings), "unit_id", "seq"), R.bank(32, 3, 24), "unit_id", "seq").select("unit_id", F.size("rocket").cast("long").alias("n"), F.round(F.get("rocket", F.lit(0)), 4).alias("max0"), F.round(F.get("rocket", F.lit(1)), 4).alias("ppv0"))
 
 
-@query("scored", sql="""WITH m AS (SELECT avg(score) AS ms, avg(pred) AS mp FROM scored), a AS (SELECT unit_id, 2.0::DOUBLE * (score - ms) AS a_score, -0.5::DOUBLE * (pred - mp) AS a_pred FROM scored, m)
-SELECT unit_id, round(a_score, 5) + 0.0 AS a_score, round(a_pred, 5) + 0.0 AS a_pred FROM a""")
-def linear_shap(scored):
-    return rounded(attributions(scored).select("unit_id", "a_score", "a_pred"))
-
-
-def attributions(scored, weights=(("score", 2.0), ("pred", -0.5))):
-    means = scored.agg(*(F.avg(c).alias(f"m_{c}") for c, _ in weights))
-    d = scored.crossJoin(F.broadcast(means))  # one row
-    return d.withColumns({f"a_{c}": F.lit(w) * (F.col(c) - F.col(f"m_{c}")) for c, w in weights})
-
-
-@query("scored", sql="""WITH m AS (SELECT avg(score) AS ms, avg(pred) AS mp FROM scored)
-SELECT 'score' AS feature, round(avg(abs(2.0::DOUBLE * (score - ms))), 5) AS mean_abs FROM scored, m UNION ALL SELECT 'pred', round(avg(abs(-0.5::DOUBLE * (pred - mp))), 5) FROM scored, m""")
-def attribution_rank(scored):
-    a = attributions(scored).agg(F.avg(F.abs("a_score")).alias("score"), F.avg(F.abs("a_pred")).alias("pred"))
-    return rounded(a.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean_abs")) for c in ("score", "pred"))))))
-
-
-@query("scored", sql="""WITH m AS (SELECT avg(score) AS ms FROM scored) SELECT unit_id, 'score' AS feature, round(2.0::DOUBLE * (score - ms), 5) + 0.0 AS attribution,
-round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 5) AS scaled, round(score, 5) AS raw FROM scored, m""")
-def beeswarm_long(scored):
-    ends = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    d = attributions(scored).crossJoin(F.broadcast(ends))  # one row
-    return rounded(d.select("unit_id", F.lit("score").alias("feature"), F.col("a_score").alias("attribution"), ((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("scaled"), F.col("score").alias("raw")))
-
-
 @query("scored", sql="""WITH b AS (SELECT y, least(CAST(floor(score * 10) AS BIGINT), 9) AS bin FROM scored), n AS (SELECT count(*)::DOUBLE AS n FROM b),
 j AS (SELECT bin, y, count(*)::DOUBLE AS c FROM b GROUP BY 1, 2), p AS (SELECT bin, y, c, sum(c) OVER (PARTITION BY bin) AS cb, sum(c) OVER (PARTITION BY y) AS cy FROM j)
 SELECT round(sum(c / n * ln(c * n / (cb * cy))), 5) AS mi FROM p, n""")

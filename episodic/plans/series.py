@@ -9,6 +9,7 @@ from ..functions import scalar as S
 from ..operators import events as E
 from ..operators import intervals as I
 from ..operators import windows as W
+from ..operators.quantiles import exact_quantiles
 from .registry import query, rounded
 
 GAP, PEAK = 2, 0.1
@@ -197,10 +198,10 @@ def calendar_encoding(readings):
     return rounded(frame(readings).select("series_id", "ts", "hour_sin", "hour_cos", "doy_sin", "doy_cos"))
 
 
-@query("readings", sql=f"""WITH {GRID} SELECT series_id, ts, round(coalesce(last_value(lvl IGNORE NULLS) OVER w, 50.0), 5) AS lvl, round(coalesce(last_value(precip IGNORE NULLS) OVER w, 0.0), 5) AS precip
+@query("readings", sql=f"""WITH {GRID} SELECT series_id, ts, round(coalesce(last_value(lvl IGNORE NULLS) OVER w, (SELECT median(lvl) FROM readings)), 5) AS lvl, round(coalesce(last_value(precip IGNORE NULLS) OVER w, 0.0), 5) AS precip
 FROM gc WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
 def causal_fill(readings):
-    return rounded(W.forward_fill(W.complete_grid(readings), {"lvl": 50.0, "precip": 0.0}).select("series_id", "ts", "lvl", "precip"))
+    return rounded(W.causal_fill(W.complete_grid(readings), ["lvl"], ["precip"]).select("series_id", "ts", "lvl", "precip"))
 
 
 @query("readings", sql=f"""WITH {GRID}, x AS (SELECT series_id, row_number() OVER w AS i, last_value(lvl IGNORE NULLS) OVER w AS lvl, last_value(precip IGNORE NULLS) OVER w AS precip FROM gc WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING)),
@@ -280,7 +281,8 @@ def bin_rollup_flux(readings):
 
 @query("readings", sql="SELECT round(min(target), 5) AS low, round(max(target), 5) AS high, round(avg(target), 5) AS mean, round(median(target), 5) AS mid, round(avg((target < 1)::INT), 5) AS below, count(*) FILTER (WHERE target IS NULL) AS n_null FROM readings")
 def global_stats(readings):
-    return rounded(readings.agg(F.min("target").alias("low"), F.max("target").alias("high"), F.avg("target").alias("mean"), F.median("target").alias("mid"), F.avg((F.col("target") < 1).cast("int")).alias("below"), F.count_if(F.col("target").isNull()).alias("n_null")))
+    middle = F.lit(exact_quantiles(readings, ["target"], [0.5])["target"][0])
+    return rounded(readings.agg(F.min("target").alias("low"), F.max("target").alias("high"), F.avg("target").alias("mean"), middle.alias("mid"), F.avg((F.col("target") < 1).cast("int")).alias("below"), F.count_if(F.col("target").isNull()).alias("n_null")))
 
 
 @query("readings", sql="SELECT series_id, round(quantile_cont(lvl, 0.33), 5) AS p33, round(quantile_cont(lvl, 0.67), 5) AS p67, round(quantile_cont(lvl, 0.95), 5) AS p95 FROM readings GROUP BY 1")

@@ -10,6 +10,7 @@ from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import weak as K
 from ..operators import windows as W
+from ..operators.quantiles import exact_quantiles
 from .registry import query, rounded
 from .series import GRID
 
@@ -55,9 +56,10 @@ def union_promote(customer, supplier):
     return a.unionByName(supplier.select(F.lit("supplier").alias("route"), F.col("s_suppkey").alias("k"), F.col("s_acctbal").cast("double").alias("bal")), allowMissingColumns=True)
 
 
-@query("customer", "orders", sql="SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("customer", "orders", sql="SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def id_set_diff(customer, orders):
-    return customer.select(F.col("c_custkey").alias("id")).distinct().join(orders.select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    """Customers without an order of status P."""
+    return customer.select(F.col("c_custkey").alias("id")).distinct().join(orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")), "id", "left_anti")
 
 
 @query("customer", "orders", sql="""SELECT coalesce(c_custkey, o_custkey) AS id, CASE WHEN o_custkey IS NULL THEN 'missing' ELSE 'extra' END AS what FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') c
@@ -361,7 +363,7 @@ def cluster_composition(scored):
 
 @query("readings", sql="SELECT series_id, ts, round(coalesce(lvl, m), 5) AS lvl FROM readings, (SELECT median(lvl) AS m FROM readings)")
 def impute_median(readings):
-    return rounded(readings.crossJoin(F.broadcast(readings.agg(F.median("lvl").alias("m")))).select("series_id", "ts", F.coalesce("lvl", "m").alias("lvl")))  # one row
+    return rounded(readings.select("series_id", "ts", F.coalesce("lvl", F.lit(exact_quantiles(readings, ["lvl"], [0.5])["lvl"][0])).alias("lvl")))
 
 
 @query("readings", sql="SELECT series_id, ts, round((lvl - m) / s, 5) + 0.0 AS lvl FROM readings, (SELECT avg(lvl) AS m, stddev_pop(lvl) AS s FROM readings)")
@@ -371,7 +373,7 @@ def scale_population(readings):
 
 @query("readings", sql="SELECT series_id, ts, round(ln(1 + coalesce(precip, m)), 5) AS precip FROM readings, (SELECT median(precip) AS m FROM readings)")
 def log_mix(readings):
-    return rounded(readings.crossJoin(F.broadcast(readings.agg(F.median("precip").alias("m")))).select("series_id", "ts", F.log1p(F.coalesce("precip", "m")).alias("precip")))  # one row
+    return rounded(readings.select("series_id", "ts", F.log1p(F.coalesce("precip", F.lit(exact_quantiles(readings, ["precip"], [0.5])["precip"][0]))).alias("precip")))
 
 
 # ---- folds
