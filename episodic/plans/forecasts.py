@@ -6,11 +6,14 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..operators import heldout as H
 from ..operators import metrics as M
 from ..operators import models as D
+from ..operators import onsets as O
 from ..operators import regression as G
 from ..operators import windows as W
 from .registry import query, rounded
+from .series import GRID
 from .tables import _filled, forecast_score
 
 
@@ -91,3 +94,34 @@ def lead_time_skill(readings):
     if not out:
         return readings.sparkSession.createDataFrame([], "lead_h long, auc double, ap double")
     return rounded(reduce(lambda a, b: a.unionByName(b), out), 4)
+
+
+EVENT_OVER = 20.0
+
+
+def hours(readings):
+    """The complete grid, filled from the past, with the week as fold."""
+    return W.causal_fill(W.complete_grid(readings), ["lvl", "sal"], ["target", "precip"]).withColumn("fold", F.weekofyear("ts").cast("long"))
+
+
+CHANNELS = {"event": "target", "threshold": EVENT_OVER, "level": "lvl", "salinity": "sal", "rain": "precip"}
+
+
+@query("readings", sql=f"""WITH {GRID}, f AS (SELECT series_id, ts, coalesce(last_value(lvl IGNORE NULLS) OVER w, (SELECT median(lvl) FROM readings)) AS lvl, coalesce(last_value(sal IGNORE NULLS) OVER w, (SELECT median(sal) FROM readings)) AS sal,
+  coalesce(last_value(target IGNORE NULLS) OVER w, 0.0) AS target, coalesce(last_value(precip IGNORE NULLS) OVER w, 0.0) AS precip, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i FROM gc WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT series_id, ts, i, lag(lvl) OVER w AS level, lag(lvl) OVER w - lag(lvl, 7) OVER w AS level_rise_6h, lag(lvl) OVER w - lag(lvl, 25) OVER w AS level_rise_24h, lag(sal) OVER w AS salinity, lag(sal) OVER w - lag(sal, 7) OVER w AS salinity_rise_6h,
+  sum(precip) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS rain_24h, sum(precip) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 72 PRECEDING AND 1 PRECEDING) AS rain_72h,
+  sin(2 * pi() * dayofyear(ts) / 365.25::DOUBLE) AS doy_sin, cos(2 * pi() * dayofyear(ts) / 365.25::DOUBLE) AS doy_cos, year(ts) + dayofyear(ts) / 365.25::DOUBLE AS year,
+  {", ".join(f"CAST(lag(target) OVER w <= {EVENT_OVER} AND max(target) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING) > {EVENT_OVER} AS INT) AS onset_{h}" for h in O.LEADS)} FROM f WINDOW w AS (PARTITION BY series_id ORDER BY ts))
+SELECT series_id, ts, {", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in O.PAST)}, {", ".join(f"onset_{h}" for h in O.LEADS)} FROM o WHERE i >= 168 AND (i - 168) % 6 = 0""")
+def onset_inputs(readings):
+    """What is known an hour before every sixth hour, and whether an event starts within each lead time."""
+    return rounded(O.origins(hours(readings), **CHANNELS).select("series_id", "ts", *O.PAST, *(f"onset_{h}" for h in O.LEADS)))
+
+
+@query("readings")
+def lead_time_table(readings):
+    """Skill at all lead times, from the past only and with the tides ahead, over the last three weeks, each foretold from the weeks before it."""
+    d = hours(readings)
+    weeks = sorted(r.fold for r in d.select("fold").distinct().collect())[-3:]  # weeks are a bounded set
+    return rounded(O.lead_times(d, "fold", weeks, models={"ridge": H.ridge(), "lda": H.lda()}, **CHANNELS), 4)
