@@ -17,6 +17,10 @@ HOURS = {"M2": 12.4206, "S2": 12.0, "N2": 12.6583, "K1": 23.9345, "O1": 25.8193,
 BANDS = {"seasonal": ("half_year", "year"), "fortnightly": ("fortnight",), "diurnal": ("K1", "O1", "day"), "semidiurnal": ("M2", "S2", "N2")}
 
 
+#: Share of the largest eigenvalue of the scaled products below which columns count as dependent.
+DEPENDENT = 1e-9
+
+
 def harmonics(t_hours: Column, periods: dict[str, float]) -> dict[str, list[Column]]:
     """Block of columns by name: an intercept, and a cosine and a sine per period."""
     out = {"intercept": [F.lit(1.0)]}
@@ -27,14 +31,21 @@ def harmonics(t_hours: Column, periods: dict[str, float]) -> dict[str, list[Colu
 
 
 def solve(df: DataFrame, columns: list[Column], y: Column, ridge: float = 0.0) -> np.ndarray:
-    """Coefficients of y on columns from one aggregate of their products; k columns give k * k sums, whatever the rows."""
+    """Coefficients of y on columns from one aggregate of their products; k columns give k * k sums, whatever the rows.
+
+    Directions in which the scaled columns hardly differ from dependent ones get no weight: their share would be the rounding of
+    the sums, which changes with the order in which tasks end.
+    """
     k = len(columns)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     row = df.agg(*(F.sum(columns[i] * columns[j]).alias(f"g{i}_{j}") for i, j in pairs), *(F.sum(c * y).alias(f"b{i}") for i, c in enumerate(columns))).first()
     gram = np.zeros((k, k))
     for i, j in pairs:
         gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
-    return np.linalg.lstsq(gram + ridge * np.eye(k), np.array([row[f"b{i}"] or 0.0 for i in range(k)]), rcond=None)[0]
+    size = np.sqrt(np.diag(gram))
+    size[size == 0] = 1.0
+    cross = np.array([row[f"b{i}"] or 0.0 for i in range(k)]) / size
+    return np.linalg.lstsq(gram / np.outer(size, size) + ridge * np.diag(size**-2.0), cross, rcond=DEPENDENT)[0] / size
 
 
 def harmonic_fit(df: DataFrame, column: str, train: Column, periods: dict[str, float] = HOURS) -> DataFrame:
