@@ -10,12 +10,14 @@ classes evenly. A fit that fails becomes a row with its error, and the others go
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import mean_std_text
 from .metrics import average_precision, class_metrics, roc_auc
 
 #: Fitted models that are broadcast to the rows they score; beyond that the join shuffles by fold.
@@ -199,11 +201,16 @@ def predictions(df: DataFrame, x: str, fold: str, models: DataFrame, run: str |
 METRICS = ["macro_f1", "balanced", "kappa", "mcc", "roc_auc", "pr_auc"]
 
 
+def against_rest(predicted: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """(keys, cls, y, p): a row for each row and class, whether it is the row's class and its probability."""
+    one = predicted.select(*keys, F.col(label).alias("__l"), F.explode(F.arrays_zip("classes", "probability")).alias("__z"))
+    return one.select(*keys, F.col("__z.classes").alias("cls"), (F.col("__l") == F.col("__z.classes")).cast("int").alias("y"), F.col("__z.probability").alias("p"))
+
+
 def scores(predicted: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """(keys, metric, value) of predictions; the two areas are one class against the rest, averaged over classes."""
     cells = predicted.groupBy(*keys, F.col(label).alias("true"), F.col("predicted").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
-    one = predicted.select(*keys, F.col(label).alias("__l"), F.explode(F.arrays_zip("classes", "probability")).alias("__z"))
-    one = one.select(*keys, F.col("__z.classes").alias("cls"), (F.col("__l") == F.col("__z.classes")).cast("int").alias("y"), F.col("__z.probability").alias("p"))
+    one = against_rest(predicted, label, keys)
     areas = roc_auc(one, "y", "p", [*keys, "cls"]).join(average_precision(one, "y", "p", [*keys, "cls"]), [*keys, "cls"])
     areas = areas.groupBy(*keys).agg(F.avg("auc").alias("roc_auc"), F.avg("ap").alias("pr_auc"))
     wide = class_metrics(cells, keys).join(areas, keys)
@@ -216,6 +223,38 @@ def results(values: DataFrame, table: str) -> DataFrame:
     return g.select(F.lit(table).alias("table"), "model", "metric", "mean", "std")
 
 
+def with_chance(tidy: DataFrame, classes: int) -> DataFrame:
+    """results with lo and hi, a deviation below and above the mean (the mean itself where there is none), and chance: what even guessing reaches among so many classes, null for metrics without one."""
+    even = F.when(F.col("metric").isin("macro_f1", "balanced"), F.lit(1.0 / classes)).when(F.col("metric") == "roc_auc", 0.5)
+    return tidy.withColumns({"lo": F.col("mean") - F.coalesce("std", F.lit(0.0)), "hi": F.col("mean") + F.coalesce("std", F.lit(0.0)), "chance": even})
+
+
+def per_pass(cells: DataFrame, repeats: int) -> DataFrame:
+    """confusion_frame with per_pass, the count of an average repeat, and share, that among rows of its true class (null where a class is never true)."""
+    n = F.sum("count").over(Window.partitionBy("table", "model", "true"))
+    return cells.withColumns({"per_pass": F.col("count") / repeats, "share": F.when(n > 0, F.col("count") / n)})
+
+
+def compare_routes(frames: dict[str, DataFrame], table: str, metrics: list[str]) -> DataFrame:
+    """A row a model: its rank and, for each route and metric, "mean ± std" (the mean alone without a deviation) as a column "route · metric".
+
+    Models are ranked by the first route's first metric, best first, models without it last, equal ones by name. A model that a
+    route lacks has nulls there; a route without the table gives no columns.
+    """
+    tidy = [f.where(F.col("table") == table).select(F.lit(r).alias("route"), "model", "metric", "mean", "std").where(F.col("metric").isin(metrics)) for r, f in frames.items()]
+    every = reduce(DataFrame.unionByName, tidy).persist()  # read for the routes that there are, and pivoted
+    there = {r.route for r in every.select("route").distinct().collect()}
+    names = [f"{r} · {m}" for r in frames if r in there for m in metrics]
+    text = F.when(F.col("std").isNull(), F.format_string("%.3f", "mean")).otherwise(mean_std_text(F.col("mean"), F.col("std")))
+    first = F.concat_ws(" · ", "route", "metric") == f"{next(iter(frames))} · {metrics[0]}"
+    ranks = every.groupBy("model").agg(F.max(F.when(first, F.col("mean"))).alias("by"))
+    ranks = ranks.withColumn("rank", F.row_number().over(Window.orderBy(F.col("by").desc_nulls_last(), "model")).cast("long"))  # a row a model
+    if not names:
+        return ranks.select("rank", "model")
+    wide = every.groupBy("model").agg(*(F.max(F.when(F.concat_ws(" · ", "route", "metric") == n, text)).alias(n) for n in names))
+    return ranks.join(wide, "model").select("rank", "model", *(F.col(f"`{n}`") for n in names))
+
+
 def confusion_frame(predicted: DataFrame, label: str, table: str) -> DataFrame:
     """(table, model, true, pred, count) with every pair of classes, summed over folds and runs."""
     n = predicted.groupBy("model", F.col(label).alias("true"), F.col("predicted").alias("pred")).agg(F.count(F.lit(1)).alias("count"))

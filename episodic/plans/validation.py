@@ -67,10 +67,14 @@ def by_repeats(scored, models):
     return H.predictions(d, "x", "fold", H.fitted(d, "x", "y", "fold", models, "run"), "run")
 
 
-@query("scored", sql=f"""WITH {REPEATED},
-c AS (SELECT run, fold, count(*) FILTER (WHERE y = 1 AND predicted = 1)::DOUBLE AS tp, count(*) FILTER (WHERE y = 0 AND predicted = 0)::DOUBLE AS tn, count(*) FILTER (WHERE y = 0 AND predicted = 1)::DOUBLE AS fp, count(*) FILTER (WHERE y = 1 AND predicted = 0)::DOUBLE AS fn FROM best GROUP BY 1, 2),
+#: Macro-F1 and balanced accuracy of each fold of each repeat.
+FOLD_SCORES = """c AS (SELECT run, fold, count(*) FILTER (WHERE y = 1 AND predicted = 1)::DOUBLE AS tp, count(*) FILTER (WHERE y = 0 AND predicted = 0)::DOUBLE AS tn, count(*) FILTER (WHERE y = 0 AND predicted = 1)::DOUBLE AS fp, count(*) FILTER (WHERE y = 1 AND predicted = 0)::DOUBLE AS fn FROM best GROUP BY 1, 2),
 m AS (SELECT CASE WHEN tp + fn + fp = 0 THEN 2 * tn / (2 * tn + fp + fn) WHEN tn + fp + fn = 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2 END AS f1,
-  CASE WHEN tp + fn = 0 THEN tn / (tn + fp) WHEN tn + fp = 0 THEN tp / (tp + fn) ELSE (tp / (tp + fn) + tn / (tn + fp)) / 2 END AS bal FROM c)
+  CASE WHEN tp + fn = 0 THEN tn / (tn + fp) WHEN tn + fp = 0 THEN tp / (tp + fn) ELSE (tp / (tp + fn) + tn / (tn + fp)) / 2 END AS bal FROM c)"""
+
+
+@query("scored", sql=f"""WITH {REPEATED},
+{FOLD_SCORES}
 SELECT 'macro_f1' AS metric, round(avg(f1), 5) AS mean, round(stddev_pop(f1), 5) AS std FROM m UNION ALL SELECT 'balanced', round(avg(bal), 5), round(stddev_pop(bal), 5) FROM m""")
 def repeated_group_cv(scored):
     """Five repeats of five group folds: mean and deviation over all 25."""
@@ -78,6 +82,61 @@ def repeated_group_cv(scored):
     return rounded(r.where(F.col("metric").isin("macro_f1", "balanced")).select("metric", "mean", "std"))
 
 
+def _route_sql(group: str) -> str:
+    folds = REPEATED if group == "grp" else REPEATED.replace("SELECT unit_id, grp, CAST", f"SELECT unit_id, {group} AS grp, CAST")
+    return f"SELECT * FROM (WITH {folds},\n{FOLD_SCORES} SELECT avg(f1) AS f, stddev_pop(f1) AS fs, avg(bal) AS b, stddev_pop(bal) AS bs FROM m)"
+
+
+@query("scored", sql=f"""WITH r AS ({_route_sql("grp")}), q AS ({_route_sql("lang")}) SELECT 1 AS rank, 'bayes' AS model, printf('%.3f ± %.3f', r.f, r.fs) AS "source · macro_f1", printf('%.3f ± %.3f', r.b, r.bs) AS "source · balanced",
+printf('%.3f ± %.3f', q.f, q.fs) AS "language · macro_f1", printf('%.3f ± %.3f', q.b, q.bs) AS "language · balanced" FROM r, q""")
+def route_comparison(scored):
+    """Repeated folds of whole sources beside repeated folds of whole languages."""
+    kept = {"source": scored, "language": scored.withColumn("grp", F.col("lang"))}
+    frames = {k: H.results(H.scores(by_repeats(d, {"bayes": H.bayes()}), "y", ["model", "run", "fold"]), "repeated") for k, d in kept.items()}
+    return H.compare_routes(frames, "repeated", ["macro_f1", "balanced"])
+
+
+@query("scored", sql=f"""WITH {REPEATED},
+{FOLD_SCORES}, v AS (SELECT 'macro_f1' AS metric, avg(f1) AS a, stddev_pop(f1) AS s FROM m UNION ALL SELECT 'balanced', avg(bal), stddev_pop(bal) FROM m)
+SELECT metric, round(a, 5) AS mean, round(a - s, 5) AS lo, round(a + s, 5) AS hi, 0.5::DOUBLE AS chance FROM v""")
+def chance_reference(scored):
+    """Scores of repeated folds between a deviation below and above, and what guessing reaches."""
+    r = H.results(H.scores(by_repeats(scored, {"bayes": H.bayes()}), "y", ["model", "run", "fold"]), "repeated")
+    return rounded(H.with_chance(r.where(F.col("metric").isin("macro_f1", "balanced")), 2).select("metric", "mean", "lo", "hi", "chance"))
+
+
+@query("scored", sql=f"""WITH {REPEATED}, n AS (SELECT y AS t, predicted AS p, count(*) AS c FROM best GROUP BY 1, 2), k AS (SELECT t.c AS t, q.c AS p FROM (VALUES (0), (1)) AS t(c) CROSS JOIN (VALUES (0), (1)) AS q(c))
+SELECT k.t AS "true", k.p AS pred, round(coalesce(n.c, 0) / 5.0::DOUBLE, 5) AS per_pass, round(coalesce(n.c, 0) / sum(n.c) OVER (PARTITION BY k.t), 5) AS share FROM k LEFT JOIN n ON n.t = k.t AND n.p = k.p""")
+def confusion_per_pass(scored):
+    """Cells of the confusion of an average repeat."""
+    cells = H.confusion_frame(by_repeats(scored, {"bayes": H.bayes()}), "y", "repeated")
+    return rounded(H.per_pass(cells, 5).select("true", "pred", "per_pass", "share"))
+
+
+# held-out naive Bayes of three classes from two features, and each class's area against the rest
+THREE = """u AS (SELECT o_orderkey AS id, o_orderpriority AS fold, o_orderstatus AS y, CAST(o_totalprice AS DOUBLE) / 100000 AS a, date_diff('day', DATE '1995-06-01', CAST(o_orderdate AS DATE)) / 1000.0::DOUBLE AS b FROM orders),
+own AS (SELECT fold, y, count(*) AS n, sum(a) AS sa, sum(b) AS sb, sum(a * a) AS qa, sum(b * b) AS qb FROM u GROUP BY 1, 2),
+rest AS (SELECT p.fold, o.y, sum(n) AS n, sum(sa) AS sa, sum(sb) AS sb, sum(qa) AS qa, sum(qb) AS qb FROM (SELECT DISTINCT fold FROM u) p JOIN own o ON o.fold <> p.fold GROUP BY 1, 2),
+eps AS (SELECT fold, 1e-9 * greatest(sum(qa) / sum(n) - pow(sum(sa) / sum(n), 2), sum(qb) / sum(n) - pow(sum(sb) / sum(n), 2)) AS e FROM rest GROUP BY 1),
+par AS (SELECT fold, y, sa / n AS ma, sb / n AS mb, qa / n - pow(sa / n, 2) + e AS va, qb / n - pow(sb / n, 2) + e AS vb FROM rest JOIN eps USING (fold)),
+s AS (SELECT u.id, u.y, p.y AS c, -0.5::DOUBLE * (ln(2 * pi() * va) + pow(a - ma, 2) / va + ln(2 * pi() * vb) + pow(b - mb, 2) / vb) AS s FROM u JOIN par p USING (fold)),
+e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM s), p AS (SELECT c, (y = c)::INT AS hit, round(e / sum(e) OVER (PARTITION BY id), 9) AS p FROM e),
+v AS (SELECT c, p, sum(hit) AS pos, sum(1 - hit) AS neg FROM p GROUP BY 1, 2), k AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY c ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM v),
+a AS (SELECT c, sum(pos * (under + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) AS auc FROM k GROUP BY 1)"""
+
+
+@query("orders", sql=f"WITH {THREE} SELECT c AS class, round(auc, 4) AS auc FROM a UNION ALL SELECT 'macro', round(avg(auc), 4) FROM a")
+def roc_auc_macro(orders):
+    """Area under the curve of each order status against the others, and their mean, each priority held out in turn."""
+    day = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1995-06-01").cast("date")) / 1000.0
+    d = orders.select("o_orderpriority", "o_orderstatus", F.array(F.col("o_totalprice").cast("double") / 100000, day).alias("x"))
+    p = H.predictions(d, "x", "o_orderpriority", H.fitted(d, "x", "o_orderstatus", "o_orderpriority", {"bayes": H.bayes()}))
+    p = p.withColumn("probability", F.transform("probability", lambda v: F.round(v, 9))).select("o_orderstatus", "classes", "probability")
+    one = H.against_rest(p, "o_orderstatus", [])
+    each = H.roc_auc(one, "y", "p", ["cls"])
+    return rounded(each.select(F.col("cls").alias("class"), "auc").unionByName(each.agg(F.lit("macro").alias("class"), F.avg("auc").alias("auc"))), 4)
+
+
 @query("scored")
 def repeated_results(scored):
     """All models and scores, tidy."""

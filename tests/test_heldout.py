@@ -120,3 +120,38 @@ def test_boundary_is_the_median_of_the_others(spark):
         own, others = [v for v, r in zip(h, rows) if r[0] == name], [v for v, r in zip(h, rows) if r[0] != name]
         assert got[name].median_bits == pytest.approx(np.median(own), abs=1e-6) and got[name].others_bits == pytest.approx(np.median(others), abs=1e-6)
         assert got[name].above == pytest.approx(np.mean([v > np.median(others) for v in own]))
+
+
+def test_routes_side_by_side(spark):
+    schema = "table string, model string, metric string, mean double, std double"
+    a = spark.createDataFrame([("cv", "lda", "macro_f1", 0.5, 0.1), ("cv", "bayes", "macro_f1", 0.75, None), ("cv", "lda", "kappa", 0.2, 0.1), ("logo", "lda", "macro_f1", 0.1, None)], schema)
+    b = spark.createDataFrame([("cv", "lda", "macro_f1", 0.9, 0.05), ("cv", "ridge", "macro_f1", 0.8, 0.05)], schema)
+    none = a.where("table = 'gone'")
+    got = [r.asDict() for r in H.compare_routes({"one": a, "two": b, "three": none}, "cv", ["macro_f1"]).orderBy("rank").collect()]
+    assert got == [
+        {"rank": 1, "model": "bayes", "one · macro_f1": "0.750", "two · macro_f1": None},
+        {"rank": 2, "model": "lda", "one · macro_f1": "0.500 ± 0.100", "two · macro_f1": "0.900 ± 0.050"},
+        {"rank": 3, "model": "ridge", "one · macro_f1": None, "two · macro_f1": "0.800 ± 0.050"},
+    ]
+    assert H.compare_routes({"one": a}, "gone", ["macro_f1"]).count() == 0
+
+
+def test_chance_and_cells_of_a_pass(spark):
+    tidy = spark.createDataFrame([("cv", "lda", "macro_f1", 0.5, 0.1), ("cv", "lda", "roc_auc", 0.7, None), ("cv", "lda", "mcc", 0.2, 0.1)], "table string, model string, metric string, mean double, std double")
+    got = {r.metric: (r.lo, r.hi, r.chance) for r in H.with_chance(tidy, 3).collect()}
+    assert got["macro_f1"] == pytest.approx((0.4, 0.6, 1 / 3)) and got["roc_auc"] == (0.7, 0.7, 0.5) and got["mcc"][2] is None
+    cells = spark.createDataFrame([("cv", "lda", 0, 0, 8), ("cv", "lda", 0, 1, 2), ("cv", "lda", 1, 0, 0), ("cv", "lda", 1, 1, 0)], "table string, model string, true long, pred long, count long")
+    cell = {(r["true"], r["pred"]): (r.per_pass, r.share) for r in H.per_pass(cells, 5).collect()}
+    assert cell == {(0, 0): (1.6, 0.8), (0, 1): (0.4, 0.2), (1, 0): (0.0, None), (1, 1): (0.0, None)}
+
+
+def test_three_classes_against_the_rest(spark):
+    x, y, g = data(180, 9, 3)
+    p = H.predictions(frame(spark, x, y, g), "x", "grp", H.fitted(frame(spark, x, y, g), "x", "y", "grp", {"lda": H.lda()}))
+    rows = p.collect()
+    areas = []
+    for c in range(3):
+        pos, neg = (np.array([r.probability[r.classes.index(c)] for r in rows if (r.y == c) is is_c]) for is_c in (True, False))
+        areas.append(((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg)))
+    value = {r.metric: r.value for r in H.scores(p, "y", ["model"]).collect()}
+    assert value["roc_auc"] == pytest.approx(np.mean(areas))
