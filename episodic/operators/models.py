@@ -23,6 +23,18 @@ def matrix(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     return Pipeline(stages=steps).fit(df).transform(df).drop("raw", *filled)
 
 
+def require_same_units(a: DataFrame, b: DataFrame, key: str, shown: int = 5) -> None:
+    """Raise ValueError unless both hold each key equally often (null counts as a key), naming how many differ and the first of them."""
+    n = lambda d, name: d.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias(name))
+    x, y = n(a, "left"), n(b, "right").withColumnRenamed("k", "k2")
+    both = x.join(y, F.col("k").eqNullSafe(F.col("k2")), "full").select(F.coalesce("k", "k2").alias("k"), F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right"))
+    odd = both.where(F.col("left") != F.col("right"))
+    total = odd.count()
+    if total:
+        first = ", ".join(f"{r.k} ({r.left} against {r.right})" for r in odd.orderBy(F.col("k").asc_nulls_first()).limit(shown).collect())
+        raise ValueError(f"{total} units differ: {first}")
+
+
 def balanced(df: DataFrame) -> DataFrame:
     """df with weight: n / (classes * rows of the class)."""
     n = df.groupBy("label").agg(F.count(F.lit(1)).alias("c"))

@@ -405,6 +405,14 @@ def temporal_cut(iv):
     return d.crossJoin(F.broadcast(n)).select("interval_id", (F.col("running") <= F.col("k")).alias("is_train"))  # one row
 
 
+@query("iv", sql="""WITH c AS (SELECT label, row_number() OVER (ORDER BY start_time, interval_id) <= floor(0.7 * count(*) OVER ()) AS is_train FROM iv)
+SELECT is_train, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY is_train), 5) AS share FROM c GROUP BY 1, 2""")
+def temporal_class_counts(iv):
+    """Classes before and after the cut in time."""
+    n = temporal_cut(iv).join(iv.select("interval_id", "label"), "interval_id").groupBy("is_train", "label").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("is_train"))))  # a row a class
+
+
 # ---- forecasting
 
 

@@ -117,3 +117,11 @@ def test_components_that_hold_a_share(spark):
     got = D.explained(d, 0.95).collect()
     assert len(got) == want and [r.share for r in got] == pytest.approx(list(values[:want] / values.sum()))
     assert len(D.components_holding(d, 0.95).first().pcs) == want
+
+
+def test_units_that_differ_are_named(spark):
+    a = spark.createDataFrame([(1,), (2,), (2,), (None,)], "unit long")
+    D.require_same_units(a, a.orderBy("unit"), "unit")
+    D.require_same_units(a.limit(0), a.limit(0), "unit")
+    with pytest.raises(ValueError, match=r"^3 units differ: None \(1 against 0\), 2 \(2 against 1\), 3 \(0 against 1\)$"):
+        D.require_same_units(a, spark.createDataFrame([(1,), (2,), (3,)], "unit long"), "unit")
