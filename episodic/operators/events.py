@@ -59,11 +59,11 @@ def register_feature(name: str, aggregate: Callable[[], Column]) -> None:
     FEATURES[name] = aggregate
 
 
-def shape_features(members: DataFrame) -> DataFrame:
-    """One row per (series_id, eid) with FEATURES and what follows from them; times assume 5-minute readings."""
+def shape_features(members: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """One row per (series_id, eid) with FEATURES, further aggregates by name, and what follows from them; times assume 5-minute readings."""
     w = Window.partitionBy("series_id", "eid")
     d = members.withColumns({"prev": F.lag("target").over(w.orderBy("ts")), "top": F.max("target").over(w)})
-    f = d.groupBy("series_id", "eid").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), *(fn().alias(name) for name, fn in FEATURES.items()))
+    f = d.groupBy("series_id", "eid").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), *(fn().alias(name) for name, fn in FEATURES.items()), *(c.alias(name) for name, c in (more or {}).items()))
     last = F.greatest(F.col("n_samples") - 1, F.lit(1))
     f = f.withColumns({
         "dur_min": F.floor(seconds_between(F.col("start_time"), F.col("end_time")) / 60).cast("long"),
@@ -83,19 +83,36 @@ def driver_steps(features: DataFrame, readings: DataFrame) -> DataFrame:
     return out.withColumns({f"{s}_step": F.col(f"{s}_in") - F.col(f"{s}_pre") for s in ("sal", "wl", "temp")})
 
 
-def hysteresis(members: DataFrame, driver: str, points: int = 10) -> DataFrame:
-    """(series_id, eid, hysteresis): mean gap between the rising and the falling limb over the scaled driver; null if the driver is flat or the peak at an edge. Equal driver values are in order of time."""
-    w = Window.partitionBy("series_id", "eid")
-    d = members.where(F.col("target").isNotNull() & F.col(driver).isNotNull())
-    d = d.withColumn("idx", F.row_number().over(w.orderBy("ts")) - 1)
-    d = d.withColumns({"lo": F.min(driver).over(w), "hi": F.max(driver).over(w), "top": F.max("target").over(w), "n": F.count(F.lit(1)).over(w), "ap": F.max_by("idx", F.struct("target", -F.col("idx"))).over(w)})
-    d = d.where("hi - lo >= 1e-9 AND ap >= 1 AND ap < n - 1")
-    point = F.struct(((F.col(driver) - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("x"), "idx", (F.col("target") / F.col("top")).alias("y"))
-    g = d.groupBy("series_id", "eid").agg(F.sort_array(F.collect_list(F.when(F.col("idx") <= F.col("ap"), point))).alias("r"), F.sort_array(F.collect_list(F.when(F.col("idx") >= F.col("ap"), point))).alias("f"))
-    at = lambda limb, x: interpolate(x, F.transform(limb, lambda p: p.x), F.transform(limb, lambda p: p.y))
+def hystereses(members: DataFrame, drivers: dict[str, str], points: int = 10) -> DataFrame:
+    """(series_id, eid, a column per name): mean gap between the rising and the falling limb over each scaled driver, all drivers in one shuffle.
+
+    Null if the driver is flat, the peak at an edge or nothing known. Equal driver values are in order of time.
+    """
+    each = F.inline(F.array(*(F.struct(F.lit(name).alias("driver"), F.col(c).alias("drv")) for name, c in drivers.items())))
+    long = members.repartition("series_id", "eid").select("series_id", "eid", "ts", "target", each)
+    keys = ("series_id", "eid", "driver")
+    known = F.col("target").isNotNull() & F.col("drv").isNotNull()
+    w = Window.partitionBy(*keys)
+    # rows in which something is unknown stand behind the others and only keep their unit in the result
+    d = long.withColumn("known", known).withColumn("idx", F.when(F.col("known"), F.row_number().over(w.orderBy(F.col("known").desc(), "ts")) - 1))
+    if_known = lambda c: F.when(F.col("known"), c)
+    d = d.withColumns({
+        "lo": F.min(if_known(F.col("drv"))).over(w), "hi": F.max(if_known(F.col("drv"))).over(w), "top": F.max(if_known(F.col("target"))).over(w), "n": F.count_if("known").over(w),
+        "ap": F.max_by("idx", if_known(F.struct("target", -F.col("idx")))).over(w),
+    })
+    fit = F.col("known") & (F.col("hi") - F.col("lo") >= 1e-9) & (F.col("ap") >= 1) & (F.col("ap") < F.col("n") - 1)
+    point = F.struct(((F.col("drv") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("x"), "idx", (F.col("target") / F.col("top")).alias("y"))
+    limb = lambda side: F.sort_array(F.collect_list(F.when(fit & side, point)))
+    g = d.groupBy(*keys).agg(limb(F.col("idx") <= F.col("ap")).alias("r"), limb(F.col("idx") >= F.col("ap")).alias("f"))
+    at = lambda side, x: interpolate(x, F.transform(side, lambda p: p.x), F.transform(side, lambda p: p.y))
     gaps = F.transform(linspace(F.lit(0.05), F.lit(0.95), points), lambda x: at(F.col("r"), x) - at(F.col("f"), x))
-    mean = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) / points
-    return members.select("series_id", "eid").distinct().join(g.select("series_id", "eid", mean.alias("hysteresis")), ["series_id", "eid"], "left")
+    mean = F.when(F.size("r") > 0, F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) / points)
+    return g.withColumn("v", mean).groupBy("series_id", "eid").agg(*(F.max(F.when(F.col("driver") == name, F.col("v"))).alias(name) for name in drivers))
+
+
+def hysteresis(members: DataFrame, driver: str, points: int = 10) -> DataFrame:
+    """(series_id, eid, hysteresis) over one driver."""
+    return hystereses(members, {"hysteresis": driver}, points)
 
 
 def curves(readings: DataFrame, intervals: DataFrame, channels: list[str], steps: int = 128, pad_frac: float = 0.5, cap_h: float = 12.0) -> DataFrame:

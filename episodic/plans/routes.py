@@ -11,7 +11,7 @@ from ..operators import labels as L
 from ..operators import routes as R
 from ..operators import weak as K
 from .registry import OFF_TIES, QUERIES, SQL, query, rounded
-from .series import DETECT, GAP, MEMBERS, PEAK
+from .series import DETECT, GAP, MEMBERS, PAIRS, PEAK
 from .tables import CELLS, cells
 from .views import VIEWS
 
@@ -45,8 +45,10 @@ def hysteresis_salinity(readings):
 
 # ---- feature tables of the three routes
 
-PARTS = ("event_shape_features", "centroid_plateau", "max_step", "driver_steps", "hysteresis_index")
-SHOWN = ["n_samples", "peak_do", "mean_do", "area", "dur_min", "peak_frac", "rise_min", "fall_min", "rise_rate", "fall_rate", "centroid_frac", "plateau_frac", "max_rise_norm", "precip_24h", "wl_step", "hyst_wl"]
+PARTS = ("event_shape_features", "centroid_plateau", "max_step", "driver_steps", "driver_context", "hysteresis_index", "hysteresis_salinity")
+#: What a part's columns are called in the table.
+NAMED = {"hysteresis_index": "hysteresis AS hyst_wl", "hysteresis_salinity": "hysteresis AS hyst_sal"}
+SHOWN = R.NUMERIC
 #: The units of a route in place of detected excursions.
 UNITS = {
     "auto": DETECT,
@@ -60,9 +62,9 @@ def route_sql(route: str) -> str:
     joined = ""
     for i, part in enumerate(PARTS):
         text = SQL[part].replace(DETECT, UNITS[route])
+        text = f"SELECT series_id, eid, {NAMED[part]} FROM ({text})" if part in NAMED else text
         joined += f"({text}) AS p{i}" if not i else f" JOIN ({text}) AS p{i} USING (series_id, eid)"
-    columns = [c if c != "hyst_wl" else "hysteresis AS hyst_wl" for c in SHOWN]
-    return f"SELECT series_id, eid, {', '.join(columns)} FROM {joined}"
+    return f"SELECT series_id, eid, {', '.join(SHOWN)} FROM {joined}"
 
 
 def feature_rows(route, readings, iv, moments):
@@ -79,28 +81,71 @@ for _route in R.ROUTES:
     SQL[_table.__name__] = route_sql(_route)
 
 
+#: Subtype codes of labelled intervals, in turn; the last has no meaning listed under any letter.
+CODES = [*R.MEANINGS, "o9", "z1"]
+#: Readings before this time count as spliced in.
+SPLICED = "2024-01-09 00:00:00"
+_code = "(['" + "', '".join(CODES) + f"'])[CAST(interval_id % {len(CODES)} AS INT) + 1]"
+
+
+def coded(iv):
+    """Labelled intervals with a subtype, and flooding, which is unknown for some."""
+    return iv.withColumns({"subtype": F.element_at(F.array(*(F.lit(c) for c in CODES)), (F.col("interval_id") % len(CODES)).cast("int") + 1), "flooding": F.when(F.col("interval_id") % 5 != 0, F.col("interval_id") % 2 == 0)})
+
+
 @query("readings", "iv", "moments")
 def feature_table_full(readings, iv, moments):
     """All three routes with all features and what is known of the units."""
-    parts = [feature_rows(r, readings, iv, moments).withColumn("route", F.lit(r)) for r in R.ROUTES]
+    flagged = readings.withColumn("is_backfill", F.col("ts") < F.lit(SPLICED).cast("timestamp_ntz"))
+    parts = [feature_rows(r, flagged, coded(iv), moments).withColumn("route", F.lit(r)) for r in R.ROUTES]
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
+def _full_sql() -> str:
+    """Each route's features beside its units' metadata."""
+    views = f"readings AS ({VIEWS['readings'].format(ntz='TIMESTAMP')}), iv AS ({VIEWS['iv'].format(ntz='TIMESTAMP')}), moments AS ({VIEWS['moments'].format(ntz='TIMESTAMP')})"
+    meta = {
+        "auto": "SELECT ev.series_id, ev.eid, 'auto#' || ev.eid AS unit_id, be.interval_id AS event_id, ev.start_time, ev.end_time, be.label FROM ev LEFT JOIN be ON ev.series_id = be.series_id AND ev.eid = be.eid",
+        "events": "SELECT series_id, interval_id, CAST(interval_id AS VARCHAR), interval_id, start_time, end_time, label FROM iv",
+        "moments": "SELECT series_id, parent_id * 100 + moment_idx, parent_id || '#' || moment_idx, parent_id, start_time, end_time, type FROM moments",
+    }
+    route = lambda r: f"""SELECT m.*, '{r}' AS route, {", ".join(SHOWN)} FROM ({meta[r]}) m (series_id, eid, unit_id, event_id, start_time, end_time, label) JOIN ({SQL[f"feature_table_{r}"]}) f ON m.series_id = f.series_id AND m.eid = f.eid"""
+    rows = " UNION ALL ".join(route(r) for r in R.ROUTES)
+    # a unit's first reading is the first one at or after its start
+    return f"""WITH {views}, {PAIRS}, u AS ({rows}), b AS (SELECT u.*, r.ts AS first_ts FROM u ASOF LEFT JOIN (SELECT series_id, ts FROM readings) r ON u.series_id = r.series_id AND u.start_time <= r.ts)
+SELECT b.* EXCLUDE (first_ts), {_code.replace("interval_id", "event_id")} AS subtype, CASE WHEN event_id IS NULL THEN 'inferred' ELSE 'expert' END AS label_source, CASE WHEN event_id IS NULL THEN 'holdout' ELSE 'train' END AS split,
+first_ts < TIMESTAMP '{SPLICED}' AS is_backfill FROM b"""
+
+
+SQL["feature_table_full"] = _full_sql()
 EVENTS = f"({SQL['feature_table_events']})"
 
 
 @query("readings", "iv", "moments")
 def summary_card(readings, iv, moments):
-    f = rounded(feature_rows("events", readings, iv, moments))
-    shown = f.withColumns({c: F.round(F.col(c) + OFF_TIES, n) for c, n in (("peak_do", 2), ("wl_step", 2), ("precip_24h", 1))})
-    return R.summary_card(shown).where("field NOT IN ('salinity step')").select("series_id", "eid", "ord", "field", "value")
-
-
-SQL["summary_card"] = f"""WITH f AS (SELECT e.*, iv.label, iv.start_time, iv.end_time FROM {EVENTS} e JOIN ({VIEWS['iv'].format(ntz='TIMESTAMP')}) iv ON e.series_id = iv.series_id AND e.eid = iv.interval_id)
-SELECT series_id, eid, CAST(o AS BIGINT) AS ord, k AS field, v AS value FROM (
-SELECT series_id, eid, unnest([0, 1, 2, 3, 4, 6, 7, 8]) AS o, unnest(['unit', 'class', 'window', 'duration', 'peak', 'water-level step', 'precipitation before (24 h)', 'readings']) AS k,
-unnest([CAST(eid AS VARCHAR), label, strftime(start_time, '%Y-%m-%d %H:%M') || ' to ' || strftime(end_time, '%Y-%m-%d %H:%M'), format('{{:.1f}}', dur_min / 60) || ' h', coalesce(format('{{:.2f}}', round(peak_do + {OFF_TIES}, 2)) || ' mg/L', '-'),
-coalesce(format('{{:+.2f}}', round(wl_step + {OFF_TIES}, 2)), '-'), coalesce(format('{{:.1f}}', round(precip_24h + {OFF_TIES}, 1)) || ' mm', '-'), CAST(n_samples AS VARCHAR)]) AS v FROM f)"""
+    of = coded(iv)
+    f = rounded(feature_rows("events", readings, of, moments))
+    f = f.join(of.select(F.col("interval_id").alias("event_id"), "flooding"), "event_id", "left").join(R.segments(R.units("auto", readings, of, moments, PEAK, GAP)), "event_id", "left")
+    shown = f.withColumns({c: F.round(F.col(c) + OFF_TIES, n) for c, n in (("peak_do", 2), ("sal_step", 2), ("wl_step", 2), ("precip_24h", 1))})
+    return R.summary_card(shown)
+
+
+def _card_sql() -> str:
+    views = f"readings AS ({VIEWS['readings'].format(ntz='TIMESTAMP')}), iv AS ({VIEWS['iv'].format(ntz='TIMESTAMP')})"
+    means = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.MEANINGS.items()) + " ELSE coalesce(CASE left(code, 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.MEANINGS.items() if len(k) == 1) + " END, '-') END"
+    number = lambda c, form, n, unit="": f"coalesce(format('{form}', round({c} + {OFF_TIES}, {n})) || '{unit}', '-')"
+    lines = {
+        "unit": "CAST(eid AS VARCHAR)", "class": "label || '  (' || code || ')'", "code means": means, "window": "strftime(start_time, '%Y-%m-%d %H:%M') || ' to ' || strftime(end_time, '%Y-%m-%d %H:%M')", "duration": "format('{:.1f}', dur_min / 60) || ' h'",
+        "peak": number("peak_do", "{:.2f}", 2, " mg/L"), "salinity step": number("sal_step", "{:+.2f}", 2), "water-level step": number("wl_step", "{:+.2f}", 2), "precipitation before (24 h)": number("precip_24h", "{:.1f}", 1, " mm"),
+        "flooding": "CASE WHEN eid % 5 = 0 THEN '-' WHEN eid % 2 = 0 THEN 'true' ELSE 'false' END", "excursions": "coalesce(n_seg, 0) || ' segment(s)'", "readings": "CAST(n_samples AS VARCHAR)",
+    }
+    names = ", ".join(f"'{k}'" for k in lines)
+    return f"""WITH {views}, {PAIRS}, s AS (SELECT interval_id, count(*) AS n_seg FROM be GROUP BY 1),
+f AS (SELECT e.*, iv.label, iv.start_time, iv.end_time, {_code} AS code, n_seg FROM {EVENTS} e JOIN iv ON e.series_id = iv.series_id AND e.eid = iv.interval_id LEFT JOIN s USING (interval_id))
+SELECT series_id, eid, CAST(o AS BIGINT) AS ord, k AS field, v AS value FROM (SELECT series_id, eid, unnest(range({len(lines)})) AS o, unnest([{names}]) AS k, unnest([{", ".join(lines.values())}]) AS v FROM f)"""
+
+
+SQL["summary_card"] = _card_sql()
 
 # ---- seven voters over the labelled events
 
@@ -117,7 +162,7 @@ def voted_events(readings, iv, moments):
 
 @query("readings", "iv", "moments")
 def event_votes(readings, iv, moments):
-    """The votes of the voters whose features the SQL has; all seven are in event_weak_labels. Rounded features vote alike."""
+    """The votes of all seven voters. Rounded features vote alike."""
     shown = rounded(feature_rows("events", readings, iv, moments).select("series_id", "eid", *SHOWN))
     return K.votes(shown, BAND_VOTERS).select("series_id", "eid", *IN_SQL)
 

@@ -242,6 +242,20 @@ def driver_steps(readings):
     return rounded(E.driver_steps(f, readings).select("series_id", "eid", "precip_24h", "wl_step"))
 
 
+_rain = lambda h: f"sum(precip) OVER (PARTITION BY series_id ORDER BY ts RANGE BETWEEN INTERVAL {h * 3600 - 1} SECOND PRECEDING AND CURRENT ROW) AS p{h}"
+_pre = lambda c: f"avg({c}) OVER (PARTITION BY series_id ORDER BY ts RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND CURRENT ROW) AS {c}_pre"
+
+
+@query("readings", sql=f"""WITH {MEMBERS}, cx AS (SELECT series_id, ts, {_rain(72)}, {_rain(168)}, {_pre("sal")}, {_pre("temp")} FROM readings),
+g AS (SELECT series_id, eid, min(start_time) AS s, avg(sal) AS sal_in, avg(lvl) AS wl_in, avg(temp) AS temp_in FROM mem GROUP BY 1, 2)
+SELECT g.series_id, eid, round(sal_in, 5) AS sal_in, round(wl_in, 5) AS wl_in, round(temp_in, 5) AS temp_in, round(sal_in - sal_pre, 5) + 0.0 AS sal_step, round(temp_in - temp_pre, 5) + 0.0 AS temp_step,
+round(p72, 5) AS precip_72h, round(p168, 5) AS precip_168h FROM g ASOF LEFT JOIN cx ON g.series_id = cx.series_id AND g.s >= cx.ts""")
+def driver_context(readings):
+    """What the drivers are inside each event, and how they and the rain before it compare."""
+    f = E.shape_features(E.member_rows(E.excursions(readings, PEAK, GAP), readings))
+    return rounded(E.driver_steps(f, readings).select("series_id", "eid", "sal_in", "wl_in", "temp_in", "sal_step", "temp_step", "precip_72h", "precip_168h"))
+
+
 CURVE = """ex AS (SELECT series_id, interval_id, start_time - least(0.5::DOUBLE * epoch(end_time - start_time), 43200) * INTERVAL 1 SECOND AS a, end_time + least(0.5::DOUBLE * epoch(end_time - start_time), 43200) * INTERVAL 1 SECOND AS b FROM iv),
 mm AS (SELECT ex.series_id, interval_id, a, b, ts, lvl FROM ex JOIN readings r ON ex.series_id = r.series_id AND ts BETWEEN a AND b),
 sp AS (SELECT series_id, interval_id, epoch(any_value(a)) AS a, epoch(any_value(b)) AS b, min(epoch(ts)) AS f, max(epoch(ts)) AS l, count(lvl) AS n FROM mm GROUP BY 1, 2),
