@@ -1,4 +1,4 @@
-"""Least squares from one pass of sums: harmonic fits, variance bands, ridge forecasts; and spectra."""
+"""Least squares from one pass of sums: harmonic fits, variance bands, ridge forecasts."""
 
 from __future__ import annotations
 
@@ -79,22 +79,6 @@ def variance_bands(df: DataFrame, column: str, bands: dict[str, tuple[str, ...]]
     return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("band"), F.col(k).alias("share")) for k in named))))
 
 
-def periodogram(df: DataFrame, column: str, per_day: float, bins_per_decade: int = 120) -> DataFrame:
-    """(series_id, freq, power) of a complete grid's column: power of the demeaned values, the largest per log bin, by the series' largest. A series is one transform."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("ts")[column].to_numpy(float)
-        y = np.nan_to_num(y - np.nanmean(y)) if len(y) and not np.isnan(y).all() else np.zeros(len(y))
-        power, freq = np.abs(np.fft.rfft(y)) ** 2, np.fft.rfftfreq(max(len(y), 1), 1 / per_day)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "freq": freq[1:], "power": power[1 : len(freq)]})
-
-    raw = df.select("series_id", "ts", column).groupBy("series_id").applyInPandas(run, "series_id long, freq double, power double")
-    raw = raw.where(F.col("freq").between(1 / 2000, 48)).withColumn("bin", F.round(F.log10("freq") * bins_per_decade).cast("long"))
-    g = raw.groupBy("series_id", "bin").agg(F.max("power").alias("power"), F.median("freq").alias("freq"))
-    top = g.groupBy("series_id").agg(F.max("power").alias("top"))
-    return g.join(top, "series_id").select("series_id", "freq", (F.col("power") / F.col("top")).alias("power"))
-
-
 def ridge_forecast(train: DataFrame, test: DataFrame, alpha: float = 10.0, last: int = 48) -> DataFrame:
     """test with forecast: all horizons at once from the last values of each history, by ridge on scaled inputs. Tasks add up their own Gram matrices; only those sums meet."""
     k = last + 1

@@ -11,6 +11,7 @@ from ..operators import metrics as M
 from ..operators import models as D
 from ..operators import onsets as O
 from ..operators import regression as G
+from ..operators import spectra as P
 from ..operators import windows as W
 from .registry import query, rounded
 from .series import GRID
@@ -28,9 +29,20 @@ def variance_bands(readings):
     return rounded(G.variance_bands(readings, "lvl"))
 
 
-@query("readings")
+SPECTRAL = ["lvl", "sal", "temp", "target"]
+_filled_sql = lambda c: f"""SELECT series_id, '{c}' AS variable, ts, coalesce({c}, pv + (nv - pv) * epoch(ts - pt) / epoch(nt - pt), pv, nv) AS v FROM (SELECT series_id, ts, {c}, last_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER w AS pt, last_value({c} IGNORE NULLS) OVER w AS pv,
+ first_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER f AS nt, first_value({c} IGNORE NULLS) OVER f AS nv FROM gc WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+@query("readings", sql=f"""WITH {GRID}, v AS ({" UNION ALL ".join(_filled_sql(c) for c in SPECTRAL)}),
+x AS (SELECT series_id, variable, v - avg(v) OVER p AS v, row_number() OVER (PARTITION BY series_id, variable ORDER BY ts) - 1 AS i, count(*) OVER p AS n FROM v WINDOW p AS (PARTITION BY series_id, variable)),
+q AS (SELECT series_id, variable, n, k, pow(sum(coalesce(v, 0) * cos(2 * pi() * ((i * k) % n) / n)), 2) + pow(sum(coalesce(v, 0) * sin(2 * pi() * ((i * k) % n) / n)), 2) AS power FROM (SELECT *, unnest(range(1, n // 2 + 1)) AS k FROM x) GROUP BY ALL),
+b AS (SELECT series_id, variable, round(log10(k * 24.0::DOUBLE / n) * 120) AS bin, median(k * 24.0::DOUBLE / n) AS freq, max(power) AS power FROM q WHERE k * 24.0::DOUBLE / n BETWEEN 1 / 2000.0 AND 48 GROUP BY 1, 2, 3)
+SELECT series_id, variable, round(freq, 5) AS freq, round(power / max(power) OVER (PARTITION BY series_id, variable), 5) + 0.0 AS power FROM b""")
 def log_bin_spectrum(readings):
-    return rounded(G.periodogram(W.interpolate_gaps(W.complete_grid(readings), "lvl"), "lvl", 24))
+    """Spectra of four channels of each series on the complete grid, gaps on straight lines."""
+    filled = reduce(W.interpolate_gaps, SPECTRAL, W.complete_grid(readings))
+    return rounded(P.periodogram(filled.select("series_id", "ts", *SPECTRAL), SPECTRAL, 24))
 
 
 def folds(readings):
