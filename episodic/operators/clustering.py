@@ -92,6 +92,12 @@ def assigned(df: DataFrame, x: str, best: dict[int, np.ndarray], rank_by: str) -
     return d.join(F.broadcast(rank.select("k", "raw", "cluster")), ["k", "raw"]).drop("raw")  # a row a cluster
 
 
+def composition(df: DataFrame, keys: list[str], cls: str) -> DataFrame:
+    """(keys, class, n, share): how many rows of each class a cluster has, and their share of it; a null class is one of its own."""
+    n = df.groupBy(*keys, cls).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))  # a row a class
+
+
 def _nearest(x: str, centres: np.ndarray):
     apart = [F.aggregate(F.zip_with(x, F.array(*(F.lit(float(v)) for v in c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v) for c in centres]
     all_ = F.array(*apart)

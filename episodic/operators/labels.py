@@ -55,8 +55,8 @@ def counted_with_total(df: DataFrame, key: str, cls: str) -> DataFrame:
 
 
 def strays(df: DataFrame, column: str) -> DataFrame:
-    """df with a time nulled out where it lies outside the row's own start and end, and stray to report it."""
-    stray = F.coalesce((F.col(column) < F.col("start_time")) | (F.col(column) > F.col("end_time")), F.lit(False))
+    """df with a time nulled out where it lies outside the row's own start and end, and stray to report it. A row without a start or an end has no strays."""
+    stray = F.coalesce(~F.col(column).between(F.col("start_time"), F.col("end_time")), F.lit(False)) & F.col("start_time").isNotNull() & F.col("end_time").isNotNull()
     return df.withColumn("stray", stray).withColumn(column, F.when(~F.col("stray"), F.col(column)))
 
 

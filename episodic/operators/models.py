@@ -35,6 +35,20 @@ def require_same_units(a: DataFrame, b: DataFrame, key: str, shown: int = 5) ->
         raise ValueError(f"{total} units differ: {first}")
 
 
+def sequences(curves: DataFrame, units: DataFrame, channels: list[str], steps: int) -> DataFrame:
+    """(unit_id, seq): channel x step values of each training unit of curves(unit_id, split, step, channels).
+
+    Raises ValueError unless the training units of both tables (unit_id, split) are the same and each has every step from 0 to steps - 1 once.
+    """
+    d = curves.where("split = 'train'")
+    require_same_units(d.select("unit_id").distinct(), units.where("split = 'train'").select("unit_id"), "unit_id")
+    g = d.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct("step", *channels))).alias("v"), F.count_distinct("step").alias("n"), F.min("step").alias("lo"), F.max("step").alias("hi"))
+    odd = g.where((F.size("v") != steps) | (F.col("n") != steps) | (F.col("lo") != 0) | (F.col("hi") != steps - 1)).select("unit_id").orderBy("unit_id").limit(5).collect()
+    if odd:
+        raise ValueError(f"units without each of {steps} steps once, such as {', '.join(str(r.unit_id) for r in odd)}")
+    return g.select("unit_id", F.array(*(F.col(f"v.{c}") for c in channels)).alias("seq"))
+
+
 def balanced(df: DataFrame) -> DataFrame:
     """df with weight: n / (classes * rows of the class)."""
     n = df.groupBy("label").agg(F.count(F.lit(1)).alias("c"))

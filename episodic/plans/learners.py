@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -19,9 +20,18 @@ def units(scored):
     return with_group_folds(D.matrix(d, ["score", "pred", "toxic"], "cls"), "grp", "cls", 3, 7)
 
 
-@query("scored")
+_inputs = {"score": "score", "pred": "CAST(pred AS DOUBLE)", "toxic": "CAST(toxic AS DOUBLE)"}
+
+
+@query("scored", sql=f"""WITH d AS (SELECT unit_id, grp, CASE y WHEN 1 THEN 'good' ELSE 'bad' END AS cls, {", ".join(f"{v} AS {k}" for k, v in _inputs.items())} FROM scored WHERE y IS NOT NULL),
+c AS (SELECT grp, cls, count(*) AS n FROM d GROUP BY 1, 2), t AS (SELECT grp, cls FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, cls) AS rn FROM c) WHERE rn = 1),
+f AS (SELECT grp, (row_number() OVER (PARTITION BY cls ORDER BY md5('7' || grp), grp) - 1) % 3 AS fold FROM t), m AS (SELECT {", ".join(f"avg({k}) AS {k}_m, stddev_samp({k}) AS {k}_s" for k in _inputs)} FROM d)
+SELECT unit_id, CAST(cls = 'good' AS DOUBLE) AS label, CAST(fold AS BIGINT) AS fold, {", ".join(f"round(({k} - {k}_m) / {k}_s, 5) + 0.0 AS {k}" for k in _inputs)} FROM d JOIN f USING (grp), m""")
 def feature_matrix(scored):
-    return units(scored).select("unit_id", "label", "fold")
+    """The training matrix: scaled features, label and fold of each unit."""
+    x = D.vector_to_array("features")
+    d = units(scored).select("unit_id", "label", "fold", *(F.get(x, F.lit(i)).alias(k) for i, k in enumerate(_inputs)))
+    return rounded(d.withColumns({k: F.coalesce(F.col(k), F.lit(0.0)) for k in _inputs}))
 
 
 @query("scored")
@@ -132,3 +142,27 @@ def kmeans_labels(embeddings):
     """Each vector's cluster for every k, numbered by the median length of its vectors."""
     d, _, best = swept(embeddings)
     return C.assigned(d.withColumn("norm", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)), "x", best, "norm").select("id", "k", "cluster")
+
+
+_apart = lambda c: f"list_sum(list_transform(range(1, len(x) + 1), lambda i: pow(x[i] - {c}[i], 2)))"
+
+
+@query("embeddings", "documents", sql=f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), s AS (SELECT {", ".join(f"max(x) FILTER (WHERE id = (SELECT min(id) + {i} FROM e)) AS c{i}" for i in range(4))} FROM e),
+d AS (SELECT id, list_sum(list_transform(x, lambda v: v * v)) AS norm, [{", ".join(_apart(f"c{i}") for i in range(4))}] AS ds FROM e, s), a AS (SELECT id, norm, list_position(ds, list_min(ds)) AS raw FROM d),
+r AS (SELECT raw, row_number() OVER (ORDER BY m, raw) - 1 AS cluster FROM (SELECT raw, quantile_disc(norm, 0.5) AS m FROM a GROUP BY 1)), j AS (SELECT CAST(cluster AS BIGINT) AS cluster, source AS cls, count(*) AS n FROM a JOIN r USING (raw) JOIN documents ON doc_id = id GROUP BY ALL)
+SELECT cluster, cls, n, round(n / sum(n) OVER (PARTITION BY cluster), 5) AS share FROM j""")
+def cluster_classes(embeddings, documents):
+    """What sources the documents of each cluster come from; clusters are those nearest to four given vectors."""
+    d = embeddings.select(F.col(embeddings.columns[0]).alias("id"), F.transform(_vector(embeddings), lambda v: v.cast("double")).alias("x"))
+    four = np.array([list(r.x) for r in d.orderBy("id").limit(4).collect()])
+    a = C.assigned(d.withColumn("norm", F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v)), "x", {4: four}, "norm")
+    joined = a.select("cluster", F.col("id").alias("doc_id")).join(documents.select("doc_id", F.col("source").alias("cls")), "doc_id")
+    return rounded(C.composition(joined, ["cluster"], "cls"))
+
+
+@query("embeddings", "documents")
+def kmeans_classes(embeddings, documents):
+    """The same for the best of 20 starts, every k from 2 to 8."""
+    d, _, best = swept(embeddings)
+    a = C.assigned(d.withColumn("norm", F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v)), "x", best, "norm")
+    return rounded(C.composition(a.join(documents.select(F.col("doc_id").alias("id"), F.col("source").alias("cls")), "id"), ["k", "cluster"], "cls"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import null_tokens
+from ..operators.labels import parted, strays
 
-GLYPHS = {"°": "deg", "µ": "u", "μ": "u", "–": "-"}
+GLYPHS = {"©": "(C)", "°": "deg", "µ": "u", "μ": "u", "–": "-"}
 
 
 def read_cells(spark: SparkSession, path: str, tokens: tuple[str, ...] = ("#REF!", ""), drop_last: bool = False) -> DataFrame:
@@ -25,6 +27,80 @@ def data_rows(df: DataFrame, column: str, pattern: str) -> DataFrame:
     return df.withColumn(column, ts).where(F.col(f"`{column}`").isNotNull())
 
 
+def files_in(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Paths of the files in a folder whose names fit a glob, sorted; raises if there are none. Contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").distinct().collect()  # a row a file
+    if not found:
+        raise FileNotFoundError(f"no files like {pattern} in {folder}")
+    return sorted(r.path for r in found)
+
+
+def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row per key, the first in an order (nulls last); rows with a null in the key go, ties go to the smallest other values."""
+    rest = [c for c in df.columns if c not in key and c not in order]
+    rank = [F.struct(F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}")) for i, c in enumerate([*order, *rest])]
+    d = df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in key)))
+    return d.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*rank)).alias("r")).select("r.*")
+
+
+def read_many(spark: SparkSession, folder: str, pattern: str, key: list[str], tokens: tuple[str, ...] = ("#REF!", ""), keep: tuple[str, ...] | None = None, first: tuple[str, ...] = ()) -> DataFrame:
+    """All sheet-like files of a folder as one table of text cells with file, one row per key.
+
+    Files may have unlike columns; what a file lacks is null. Of rows with one key that of the earliest file stays: those whose
+    path holds an earlier token of first come before others, then paths in order, then rows in the file's order. keep: only these columns.
+    """
+    prior = lambda p: next((i for i, t in enumerate(first) if t in p), len(first))
+    parts = []
+    for i, path in enumerate(sorted(files_in(spark, folder, pattern), key=lambda p: (prior(p), p))):
+        d = read_cells(spark, path, tokens)
+        d = d.select(*(c for c in d.columns if keep is None or c in keep))
+        parts.append(d.withColumns({"file": F.lit(path), "__file": F.lit(i), "__row": F.monotonically_increasing_id()}))
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return first_per_key(whole, key, ["__file", "__row"]).drop("__file", "__row")
+
+
+# Columns of the tidy label file by what their text is read as.
+TIDY = {
+    "long": ("year", "moment_idx", "n_hot_moments", "n_oxic_pulses", "n_mixed_moments"),
+    "boolean": ("concurrent_precip", "flooding", "xf_qc_checked"),
+    "timestamp_ntz": ("start_time", "end_time", "m_peak_do_ts", "m_do_inflection_ts"),
+    "double": ("m_sal_at_peak", "m_do_rise_pct", "m_peak_do", "m_consumption_rate"),
+}
+
+
+def tidy_labels(cells: DataFrame, pattern: str = "yyyy-MM-dd HH:mm:ss") -> tuple[DataFrame, DataFrame]:
+    """Parents and children of a tidy label table of text cells (parent_id, type, moment_idx and any of TIDY).
+
+    Text that doesn't fit its column's type is null, as are times of a child's own (m_) outside its start and end; flags are numbers, 0 or
+    not. Parents come without the columns of children; children have unit_id. Other columns stay text.
+    """
+    known = {c: t for t, names in TIDY.items() for c in names if c in cells.columns}
+    text = {c: F.nullif(F.col(c), F.lit("")) for c in cells.columns}
+    typed = {
+        "long": lambda c: text[c].try_cast("long"), "double": lambda c: text[c].try_cast("double"), "boolean": lambda c: text[c].try_cast("tinyint").cast("boolean"),
+        "timestamp_ntz": lambda c: F.try_to_timestamp(text[c], F.lit(pattern)).cast("timestamp_ntz"),
+    }
+    d = cells.select(*((typed[known[c]](c) if c in known else text[c]).alias(c) for c in cells.columns), F.lit("expert").alias("source"))
+    if {"start_time", "end_time"} <= set(d.columns):
+        for c in ("m_peak_do_ts", "m_do_inflection_ts"):
+            d = strays(d, c).drop("stray") if c in d.columns else d
+    parents, children = parted(d)
+    return parents.drop(*(c for c in parents.columns if c.startswith("m_"))), children
+
+
+def under_banner(cells: DataFrame, top: int, order: str = "row_idx") -> DataFrame:
+    """The rows of a table of text cells below its first `top` ones, columns named by the banner in those (see banner_names); names that come twice get _2 and so on."""
+    columns = [c for c in cells.columns if c != order]
+    rows = [[r[c] for c in columns] for r in cells.orderBy(order).limit(top).collect()]  # the banner only
+    last = cells.orderBy(order).limit(top).agg(F.max(order)).first()[0]
+    names, seen = [], {}
+    for n in banner_names(rows) if rows else [f"unnamed_{i}" for i in range(len(columns))]:
+        seen[n] = seen.get(n, 0) + 1
+        names.append(n if seen[n] == 1 else f"{n}_{seen[n]}")
+    below = cells if last is None else cells.where(F.col(order) > F.lit(last))
+    return below.select(order, *(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)))
+
+
 def banner_names(rows: list[list[str | None]]) -> list[str]:
     """One name a column from the cells of its header rows, joined by ' | '; unnamed_i where all are blank."""
     out = []
