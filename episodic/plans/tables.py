@@ -349,7 +349,8 @@ c AS (SELECT *, sum(z) OVER (PARTITION BY series_id ORDER BY lvl, ts ROWS UNBOUN
 SELECT series_id, CASE WHEN abs(min(cs)) >= abs(max(cs)) THEN 'bowl' ELSE 'dome' END AS form, round(CASE WHEN abs(min(cs)) >= abs(max(cs)) THEN arg_min(lvl, cs) ELSE arg_max(lvl, cs) END, 5) AS turning FROM c GROUP BY 1""")
 def cusum_inflection(readings):
     w = Window.partitionBy("series_id")
-    z = readings.where("lvl IS NOT NULL AND target IS NOT NULL").withColumn("z", (F.col("target") - F.avg("target").over(w)) / F.stddev_pop("target").over(w)).withColumn("rows", F.count(F.lit(1)).over(w)).where("rows >= 10 AND z IS NOT NULL")
+    d = readings.where("lvl IS NOT NULL AND target IS NOT NULL").withColumns({"mean": F.avg("target").over(w), "sd": F.stddev_pop("target").over(w), "rows": F.count(F.lit(1)).over(w)})
+    z = d.where("rows >= 10 AND sd > 0").withColumn("z", (F.col("target") - F.col("mean")) / F.col("sd"))  # a target that never changes has no turning
     c = z.withColumn("cs", F.sum("z").over(w.orderBy("lvl", "ts").rowsBetween(Window.unboundedPreceding, 0)))
     bowl = F.abs(F.min("cs")) >= F.abs(F.max("cs"))
     return rounded(c.groupBy("series_id").agg(F.when(bowl, "bowl").otherwise("dome").alias("form"), F.when(bowl, F.min_by("lvl", "cs")).otherwise(F.max_by("lvl", "cs")).alias("turning")))
