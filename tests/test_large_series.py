@@ -49,3 +49,9 @@ def both(spark, folder, name):
 def test_cusum_leaves_out_a_flat_target(spark, folder):
     got, want = both(spark, folder, "cusum_inflection")
     assert got == want and {r[0] for r in got} == {1, 2}
+
+
+def test_lag_correlation_of_a_flat_series_is_nan(spark, folder):
+    got, want = both(spark, folder, "lag_crosscorr")
+    assert got == want and len(got) == 15
+    assert {(s, c == "NaN") for s, _, c in got} == {(0, True), (1, True), (2, False)}
