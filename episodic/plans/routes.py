@@ -121,12 +121,17 @@ SQL["feature_table_full"] = _full_sql()
 EVENTS = f"({SQL['feature_table_events']})"
 
 
+def _signed_round(x, digits: int):
+    """x rounded half up, with its sign where it comes to zero (-0.0 is shown as -0.00)."""
+    return F.round(F.abs(x), digits) * F.when(x < 0, -1.0).otherwise(1.0)
+
+
 @query("readings", "iv", "moments")
 def summary_card(readings, iv, moments):
     of = coded(iv)
     f = rounded(feature_rows("events", readings, of, moments))
     f = f.join(of.select(F.col("interval_id").alias("event_id"), "flooding"), "event_id", "left").join(R.segments(R.units("auto", readings, of, moments, PEAK, GAP)), "event_id", "left")
-    shown = f.withColumns({c: F.round(F.col(c) + OFF_TIES, n) for c, n in (("peak_do", 2), ("sal_step", 2), ("wl_step", 2), ("precip_24h", 1))})
+    shown = f.withColumns({c: _signed_round(F.col(c) + OFF_TIES, n) for c, n in (("peak_do", 2), ("sal_step", 2), ("wl_step", 2), ("precip_24h", 1))})
     return R.summary_card(shown)
 
 

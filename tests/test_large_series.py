@@ -55,3 +55,9 @@ def test_lag_correlation_of_a_flat_series_is_nan(spark, folder):
     got, want = both(spark, folder, "lag_crosscorr")
     assert got == want and len(got) == 15
     assert {(s, c == "NaN") for s, _, c in got} == {(0, True), (1, True), (2, False)}
+
+
+def test_card_keeps_the_sign_of_a_step_that_rounds_to_zero(spark, folder):
+    got, want = both(spark, folder, "summary_card")
+    assert got == want
+    assert {r[4] for r in got if r[3] == "salinity step"} == {"+0.00", "-0.00"}
