@@ -61,3 +61,8 @@ def test_card_keeps_the_sign_of_a_step_that_rounds_to_zero(spark, folder):
     got, want = both(spark, folder, "summary_card")
     assert got == want
     assert {r[4] for r in got if r[3] == "salinity step"} == {"+0.00", "-0.00"}
+
+
+def test_customers_without_any_order(spark, folder):
+    got, want = both(spark, folder, "id_set_diff")
+    assert got == want == Counter([(3,)])
