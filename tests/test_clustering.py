@@ -32,3 +32,24 @@ def test_sweep_of_nothing(spark):
     costs, best = C.sweep(d, "x", [2], 2, 3)
     assert [r.cost for r in costs.collect()] == [0.0, 0.0] and best[2].shape == (2, 2)
     assert C.sweep(d.limit(0), "x", [2])[0].count() == 0
+
+
+def test_runs_that_stand_still_take_no_more_steps(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(30, 2)), rng.normal(size=(30, 2)) + 9])
+    d = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").coalesce(1)
+    seen, step = [], C.step_sums
+    monkeypatch.setattr(C, "step_sums", lambda df, c, centres: seen.append((len(centres), df.rdd.getNumPartitions())) or step(df, c, centres))
+    C.sweep(d, "x", [2, 5], 3, 25, 1)
+    runs = [n for n, _ in seen]
+    assert runs[0] == runs[-1] == 6 and min(runs) < 6 and runs[:-1] == sorted(runs[:-1], reverse=True)
+    assert {p for _, p in seen} == {4}  # one file's rows are spread
+
+
+def test_equally_near_centres_and_vectors_without_a_place(spark):
+    d = spark.createDataFrame([([0.0, 0.0],), ([2.0, 0.0],)], "x array<double>")
+    one, two = np.array([[0.0, 0.0], [2.0, 0.0], [2.0, 0.0]]), np.array([[1.0, 0.0], [1.0, 5.0]])
+    sums, cost = C.step_sums(d, "x", [one, two])
+    assert sums[0].tolist() == [[1, 0, 0], [1, 2, 0], [0, 0, 0]] and sums[1].tolist() == [[2, 2, 0], [0, 0, 0]] and cost.tolist() == [0, 2]
+    odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [2.0, None]), (4, [2.0, 0.0])], "id long, x array<double>")
+    assert {(r.id, r.k, r.cluster) for r in C.assigned(odd, "x", {3: one, 2: two}, "id").collect()} == {(1, 3, 0), (4, 3, 1), (1, 2, 0), (4, 2, 0)}
