@@ -67,6 +67,9 @@ START = ALPHABET - 1
 CACHE = 300_000
 PREDICT_AT = 0.7
 
+#: Words whose triples are looked up together.
+TOGETHER = 1_000
+
 EDGE = ".,;:!?\"'()[]{}|"
 
 
@@ -96,6 +99,10 @@ def letters(word: str) -> list[int]:
     return out
 
 
+#: The classes of all code points, as letters() gives them; 0 is what stands between words.
+CLASSES = (28 + np.arange(0x110000) % (START - 28)).astype(np.uint8)
+CLASSES[97:123], CLASSES[48:58], CLASSES[0] = np.arange(1, 27), 27, 0
+
 #: (j - i, k - i, weight) of the places of a triple.
 PLACES = [(j, k, DECAY ** (k + 1)) for k in range(2, SPAN) for j in range(1, k)]
 
@@ -148,22 +155,36 @@ class WordKernels:
             norm = sum(v * v for v in m.values()) or 1
             for t, v in m.items():
                 self.table[at[t], i] = v / norm
+        self.most = self.table.max(1).astype(float)  # what a triple adds to any kernel, at most
+        slots, self.owner = np.nonzero(self.table)
+        self.value = self.table[slots, self.owner].astype(float)
+        self.ends = np.searchsorted(slots, np.arange(len(self.table) + 1))
         self.known: dict[str, np.ndarray | None] = {}
-        self.words: dict[str, np.ndarray | None] = {}  # by the best of their readings
+        self.words: set[str] = set()  # those met
+        self.near: dict[str, int] = {}  # the rows of held that such words have
+        self.held = np.empty((1, self.n), np.float32)
 
     def learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        self.known.update(dict.fromkeys(words))
+        self.known.update(zip(*self.entries(words), strict=True))
+
+    def entries(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words that have an entry, and their kernels, a row each."""
+        found, values = [], [np.empty((0, self.n), np.float32)]
+        for i in range(0, len(words) if self.n else 0, TOGETHER):
+            part = words[i : i + TOGETHER]
             cut = [w for w in part if len(w) <= LONGEST]
-            self.known.update(dict.fromkeys(part))
-            for w in part:
+            for w in part if len(cut) < len(part) else ():
                 if len(w) > LONGEST:  # a long word is as alike as its best stretch
-                    pieces = [w[k : k + LONGEST] for k in range(0, len(w), LONGEST - SPAN)]
-                    self.known[w] = self.best(pieces)
-            if cut and self.n:
-                rows, values = self.batch(cut)
-                for r, v in zip(rows.tolist(), values, strict=True):
-                    self.known[cut[r]] = v
+                    v = self.best([w[k : k + LONGEST] for k in range(0, len(w), LONGEST - SPAN)])
+                    if v is not None:
+                        found.append(w)
+                        values.append(v[None])
+            if cut:
+                rows, v = self.batch(cut)
+                found += [cut[r] for r in rows.tolist()]
+                values.append(v)
+        return found, np.concatenate(values)
 
     def best(self, pieces: list[str]) -> np.ndarray | None:
         rows, values = self.batch(pieces) if self.n else ([], [])
@@ -172,62 +193,67 @@ class WordKernels:
     def batch(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of words with some kernel over the floor, and their kernels."""
         n = len(words)
-        raw = np.frombuffer("".join(w.ljust(LONGEST + SPAN, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, -1).astype(np.int32)
-        code = np.where((raw >= 97) & (raw <= 122), raw - 96, np.where((raw >= 48) & (raw <= 57), 27, np.where(raw == 0, 0, 28 + raw % (START - 28))))
-        code = np.hstack([np.full((n, 1), START), code])
-        longest = max(map(len, words)) + 1
-        hits: list[tuple[np.ndarray, np.ndarray, float]] = []
-        for j, k, weight in PLACES:
-            m = max(longest - k, 0)
-            if not m:
-                continue
-            slot = self.slot[(code[:, :m] * ALPHABET + code[:, j : j + m]) * ALPHABET + code[:, k : k + m]]
-            slot[(code[:, k : k + m] == 0)] = 0
-            row, col = np.nonzero(slot)
-            hits.append((row, slot[row, col], weight))
-        row = np.concatenate([h[0] for h in hits]) if hits else np.empty(0, np.int64)
-        if not len(row):
-            return np.empty(0, np.int64), np.empty((0, self.n), np.float32)
+        gap = "\0" * SPAN  # the last of it is the next word's start; the rest keeps triples from crossing words
+        lengths = np.fromiter(map(len, words), np.int64, n) + SPAN
+        code = CLASSES[np.frombuffer(("\0" + gap.join(words) + gap[1:]).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        code[np.cumsum(lengths) - lengths] = START
+        word = np.repeat(np.arange(n), lengths)
+        high, middle = code * ALPHABET**2, code * ALPHABET
+        row, slots, weight = [], [], []
+        for j, k, w in PLACES:
+            m = max(len(code) - k, 0)
+            slot = self.slot[high[:m] + middle[j : j + m] + code[k:]]  # no landmark's triple has a 0
+            at = np.flatnonzero(slot != 0)
+            row.append(word[at])
+            slots.append(slot[at])
+            weight.append(np.full(len(at), w))
+        row, slots, weight = np.concatenate(row), np.concatenate(slots), np.concatenate(weight)
         # few words have enough triples to come over the floor
-        weight = np.concatenate([np.full(len(h[0]), h[2]) for h in hits])
-        enough = np.bincount(row, weight, n) >= self.floor / self.table.max()
-        some = np.nonzero(enough)[0]
-        place = np.full(n, -1)
-        place[some] = np.arange(len(some))
+        enough = np.bincount(row, weight * self.most[slots], n) >= self.floor * (1 - 1e-5)
+        some, place = np.flatnonzero(enough), np.cumsum(enough) - 1
         keep = enough[row]
-        row, weight, slots = place[row[keep]], weight[keep], np.concatenate([h[1] for h in hits])[keep]
-        order = np.argsort(row, kind="stable")
-        row, weight, slots = row[order], weight[order], slots[order]
-        dots, wide, step = np.zeros((len(some), self.n), np.float32), len(self.table), 1_000
-        edges = np.searchsorted(row, np.arange(0, len(some) + step, step))
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            m = min(step, len(some) - i * step)
-            held = np.bincount((row[a:b] - i * step) * wide + slots[a:b], weight[a:b], m * wide).reshape(m, wide)
-            dots[i * step : i * step + m] = held.astype(np.float32) @ self.table
+        row, slots, weight = place[row[keep]], slots[keep], weight[keep]
+        many = self.ends[slots + 1] - self.ends[slots]  # a triple is in few landmarks
+        ends = np.cumsum(many)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ends[slots] - ends + many, many)
+        dots = np.bincount(np.repeat(row * self.n, many) + self.owner[at], np.repeat(weight, many) * self.value[at], len(some) * self.n).astype(np.float32).reshape(-1, self.n)
         over = dots.max(1, initial=0) >= self.floor
         dots[dots < self.floor] = 0
         return some[over], np.minimum(dots[over], 1) ** SHARPEN
 
     def text(self, words: set[str]) -> np.ndarray:
-        total = np.zeros(self.n, np.float32)
-        for v in filter(lambda v: v is not None, map(self.words.get, words)):
-            total += v
-        return np.minimum(total, MOST)
+        near = self.near
+        return np.minimum(self.held[np.array([near[w] for w in words if w in near], np.int64)].sum(0), MOST)
 
     def texts(self, texts: list[str]) -> np.ndarray:
-        split = [{w.strip(EDGE) for w in t.lower().split()} for t in texts]
+        split = [{w.strip(EDGE) for w in set(t.lower().split())} for t in texts]
         if len(self.words) > CACHE:
             self.words.clear()
-        new = {w: readings(w) for w in set().union(*split) - self.words.keys()}
-        self.learn(list({r for rs in new.values() for r in rs}))
-        near = [w for w in new if (v := self.known.get(w)) is not None and 4 < len(w) <= LONGEST and NEAR**SHARPEN <= v.max() < 0.999]
-        for w in near:
-            new[w] += [w[:i] + w[i + 1 :] for i in range(1, len(w))]
-        self.learn(list({r for w in near for r in new[w]} - self.known.keys()))
+            self.near.clear()
+        new = {w: readings(w) for w in set().union(*split).difference(self.words)}
+        first, more = set().union(*new.values()), set()
+        found, values = self.entries(list(first))
+        at = dict(zip(found, range(len(found)), strict=True))
+        for w, top in zip(found, values.max(1, initial=0).tolist(), strict=True):
+            if top < 0.999 and top >= NEAR**SHARPEN * (1 - 1e-5) and 4 < len(w) <= LONGEST and w in new:  # NEAR itself, too, whatever the rounding
+                less = [w[:i] + w[i + 1 :] for i in range(1, len(w))]
+                new[w] += less
+                more.update(less)
+        found, others = self.entries(list(more.difference(first)))
+        at.update(zip(found, range(len(values), len(values) + len(found)), strict=True))
+        rows, starts = [], []
         for w, rs in new.items():
-            found = [v for v in map(self.known.get, rs) if v is not None]
-            self.words[w] = (found[0] if len(found) == 1 else np.max(found, 0)) if found else None
-        self.known.clear()
+            start = len(rows)
+            rows += [at[r] for r in rs if r in at]
+            if len(rows) > start:
+                starts.append(start)
+                self.near[w] = len(self.near)
+        if starts:
+            while len(self.near) > len(self.held):
+                self.held = np.concatenate([self.held, np.empty_like(self.held)])
+            best = np.maximum.reduceat(np.concatenate([values, others])[rows], starts, axis=0)
+            self.held[len(self.near) - len(starts) : len(self.near)] = best
+        self.words.update(new)
         return np.array([self.text(words) for words in split], np.float32).reshape(len(texts), self.n)
 
 

@@ -315,3 +315,24 @@ def test_bpe_frame(spark):
     d = spark.createDataFrame([(1, None, b"x"), (2, "Hi there", b"y")], "doc_id long, text string, ids binary")
     got = {r.doc_id: (r.n_tokens, r.decoded) for r in bpe.encode_decode(d, public_tokenizers.path("word_bpe_49k.json")).collect()}
     assert got[1] == (0, "") and got[2][0] == 2
+
+
+def test_word_kernels_look_at_words_without_padding(monkeypatch):
+    """Many short words beside a long one are looked up in as many places as they have letters; a kernel of NEAR itself is near."""
+    k = toxicity.WordKernels(["idiot", "moron"])
+    looked = []
+
+    class Slots(np.ndarray):
+        def __getitem__(self, at):
+            looked.append(np.size(at))
+            return np.asarray(self)[at]
+
+    k.slot = k.slot.view(Slots)
+    words = [f"w{i}" for i in range(500)] + ["x" * 32, "idiot"]
+    rows, values = k.batch(words)
+    assert [words[r] for r in rows] == ["idiot"] and values[0][0] == 1
+    assert sum(looked) <= len(toxicity.PLACES) * sum(len(w) + toxicity.SPAN for w in words)
+    texts = ["idiot\0s and mor on", "", "idXiot " + "z" * 90 + "moron", "\ud800 moron"]
+    one, again = k.texts(texts), k.texts(texts[::-1])[::-1]
+    assert np.array_equal(one, again) and one[1].max() == 0 and one[0][0] > 0.9 and one[2][0] > 0.9 and one[3][1] == 1
+    assert np.array_equal(toxicity.WordKernels([]).texts(["a b", ""]), np.zeros((2, 0)))
