@@ -54,3 +54,50 @@ def test_no_point_meets_all_others(spark):
 def test_psi(spark):
     got = [r.p for r in spark.range(1, 60).select(I.psi(F.col("id")).alias("p"), "id").orderBy("id").collect()]
     assert np.allclose(got, [digamma(n) for n in range(1, 60)], atol=1e-11)
+
+
+def shuffles(spark):
+    """Rows written to shuffles, by stage."""
+    context = spark.sparkContext
+    store, none = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0)
+    stages = store.stageList(context._jvm.java.util.ArrayList(), False, False, none, context._jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_rows_are_read_three_times_and_shuffled_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    n = 5_003  # all values differ
+    d = spark.range(n).select(F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("y"), (F.col("id") * 7919 % n).cast("double").alias("x"))
+    d = d.mapInArrow(count, "y string, x double")
+    last = max(shuffles(spark), default=-1)
+    assert I.neighbour_information(d, ["x"], "y").first().n == n
+    assert read.value <= 3 * n
+    assert 2 * n < sum(rows for stage, rows in shuffles(spark).items() if stage > last) < 2.5 * n
+
+
+def test_slices_grow_with_the_rows_and_settle_most_points(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    y = ["a"] * 900 + ["b"] * 700 + ["rare"] * 3 + ["two"] * 2 + [f"alone{i}" for i in range(40)]
+    x = [float(v) for v in np.concatenate([rng.normal(size=900), rng.normal(1, 2, size=700), [-50, 0.1, 60], [-4.0, 4.0], rng.normal(size=40)])]
+    for i in range(0, 600, 3):
+        x[i] = 0.25  # more rows on one value than a slice is meant to hold
+    shown = [v if i % 5 else None for i, v in enumerate(x)]
+    cuts, asked, cut, near = [], [], I.cut_points, I.neighbours
+    monkeypatch.setattr(I, "SLICE", 100)
+    monkeypatch.setattr(I, "FEW", 10)  # so that classes of one row are taken out by a shuffle
+    monkeypatch.setattr(I, "cut_points", lambda *a: cuts.extend(cut(*a)) or cuts)
+    monkeypatch.setattr(I, "neighbours", lambda ends, *a: asked.append(ends.where("asked").count()) or near(ends, *a))
+    order = rng.permutation(len(x)).tolist()
+    d = spark.createDataFrame([(y[i], x[i], shown[i]) for i in order], "y string, x double, shown double").repartition(3)
+    got = {r.feature: r for r in I.neighbour_information(d, ["x", "shown"], "y").collect()}
+    for name, values in (("x", x), ("shown", shown)):
+        size, value = by_hand(values, y, 3)
+        assert got[name].n == size and got[name].information == pytest.approx(value, abs=1e-9), name
+    assert 12 <= len(cuts[0]) <= 16 and 9 <= len(cuts[1]) <= 13
+    assert asked[0] <= 2 * 3 * 2 * sum(len(c) + 1 for c in cuts) + 10
