@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -57,6 +58,18 @@ def test_lag_correlation_of_a_flat_series_is_nan(spark, folder):
     assert {(s, c == "NaN") for s, _, c in got} == {(0, True), (1, True), (2, False)}
 
 
+def test_lag_correlation_looks_at_every_third_hour_of_two_days(spark, folder):
+    got, want = both(spark, folder, "lag_crosscorr")
+    assert got == want
+    assert Counter((s, k) for s, k, _ in got.elements()) == Counter((s, k) for s in range(3) for k in range(0, 49, 3))
+    assert {(s, c == "NaN") for s, _, c in got} == {(0, True), (1, True), (2, False)}
+    rain = np.array([value(2, "purchase", h) for h in range(60)])
+    target = np.array([max(value(2, "error", h) - 60, 0) for h in range(60)])
+    x, y = rain - rain.mean(), target - target.mean()
+    corr = {k: (x[: 60 - k] * y[k:]).mean() / (x[: 60 - k].std() * y[k:].std()) for k in range(0, 49, 3)}
+    assert all(abs(c - corr[k]) < 2e-5 for s, k, c in got if s == 2)
+
+
 def test_card_keeps_the_sign_of_a_step_that_rounds_to_zero(spark, folder):
     got, want = both(spark, folder, "summary_card")
     assert got == want
